@@ -92,12 +92,12 @@ def quoted(name: str) -> str:
     return f"`{name}`"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double; adding 0.0 turns -0.0 into 0.0."""
+def rounded(df: DataFrame, digits: int = 6, raw: Iterable[str] = ()) -> DataFrame:
+    """Round every double but `raw`; adding 0.0 turns -0.0 into 0.0."""
     return df.select(
         *[
             (F.round(F.col(quoted(f.name)), digits) + F.lit(0.0)).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
+            if isinstance(f.dataType, T.DoubleType) and f.name not in raw
             else F.col(quoted(f.name))
             for f in df.schema.fields
         ]
