@@ -227,7 +227,7 @@ def efficiency_ratios(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     with_bars()
     + """, s AS (SELECT *, generate_series(0, greatest(0, floor((log10(n_rows - 1) - 1.0) * 4)::INT)) AS i FROM ix WHERE n_rows >= 100),
-    z AS (SELECT * EXCLUDE (i), unnest(list_distinct(list_append(list_filter(list_transform(i, k -> floor(pow(10.0, 1.0 + k * 0.25))::BIGINT), w -> w < n_rows - 1), n_rows))) AS size FROM s),
+    z AS (SELECT * EXCLUDE (i), unnest(list_distinct(list_append(list_filter(list_transform(i, lambda k: floor(pow(10.0, 1.0 + k * 0.25))::BIGINT), lambda w: w < n_rows - 1), n_rows))) AS size FROM s),
     """
     + f"p AS (SELECT symbol, rn, close / nullif({lag('close')}, 0) - 1 AS ret FROM ix), "
     + """b AS (SELECT z.symbol, size, rn // size AS block, count(*) AS c, max(close) / nullif(min(close), 0) - 1 AS rg,

@@ -22,6 +22,7 @@ from tickloom.plans.series import (
     running,
     time_slice,
 )
+from tickloom.plans.storage import once
 
 _CALENDAR = {"day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months", "year": "1 year"}
 
@@ -118,6 +119,7 @@ def detect_outliers(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Add a Boolean `<column>__outlier` per column, judged within each key."""
+    df = once(df)
     numeric = set(numeric_columns(df))
     columns = list(columns or [c for c in df.columns if c in numeric and c not in {RN, N_ROWS}])
     checked = [c for c in columns if c in numeric]
@@ -157,7 +159,7 @@ def drop_masks(df: DataFrame) -> DataFrame:
 
 def winsorize(df: DataFrame, lower: float = 0.05, upper: float = 0.95, keys: Sequence[str] = KEYS) -> DataFrame:
     """Clamp each column with outliers to percentiles of its other values."""
-    columns = _masked(df)
+    df, columns = once(df), _masked(df)
     kept = df.select(*keys, *[F.when(~F.col(mask_name(c)), F.col(c)).alias(c) for c in columns])
     bounds = quantiles(kept, {f"__{n}_{c}": (c, p) for c in columns for n, p in (("lo", lower), ("hi", upper))}, keys)
     return _clamp_flagged(df, bounds, columns, keys)
@@ -167,7 +169,7 @@ def clip(
     df: DataFrame, min_val: float | None = None, max_val: float | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Clamp each column with outliers to the range of its other values, or to given limits."""
-    columns = _masked(df)
+    df, columns = once(df), _masked(df)
     aggs = []
     for c in columns:
         inlier = F.when(~F.col(mask_name(c)), F.col(c).cast("double"))
@@ -203,7 +205,7 @@ def blank_outliers(df: DataFrame) -> DataFrame:
 def fill_outliers(df: DataFrame, fill: str = "ffill", keys: Sequence[str] = KEYS) -> DataFrame:
     """Replace flagged values by ffill, bfill, interpolate, mean or median of the rest."""
     columns = _masked(df)
-    blank = blank_outliers(df)
+    blank = blank_outliers(once(df))
     if fill in ("ffill", "bfill"):
         return fill_nulls(blank, fill, columns, keys=keys)
     if fill == "interpolate":

@@ -30,6 +30,7 @@ from tickloom.functions.columns import (
 from tickloom.operators.clean import fill_nulls
 from tickloom.operators.indicators import add_indicators
 from tickloom.plans.series import KEYS, N_ROWS, RN, TS, index_series, over_chunks
+from tickloom.plans.storage import once
 
 
 @dataclass(frozen=True)
@@ -280,7 +281,7 @@ def hurst(df: DataFrame, column: str = "close", min_window: int = 10, keys: Sequ
     Every step is a merged aggregate, so long series need no single task.
     Series under 100 rows get 0.5.
     """
-    ready = df if RN in df.columns else index_series(df, keys)
+    ready = once(df if RN in df.columns else index_series(df, keys))
     start = math.log10(min_window)
     steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.log10(F.col(N_ROWS) - 1) - start) * 4).cast("int")))
     sizes = F.transform(steps, lambda i: F.floor(F.pow(F.lit(10.0), F.lit(start) + i * 0.25)))
@@ -364,7 +365,7 @@ def build_features(df: DataFrame, spec: FeatureSpec, keys: Sequence[str] = KEYS)
     if spec.difference:
         out = add_features(out, [differenced(spec.difference, spec.difference_period)], keys)
     if spec.correlation_threshold is not None:
-        out = filter_correlated(out, spec.correlation_threshold, keys)
+        out = filter_correlated(once(out), spec.correlation_threshold, keys)
     out = feature_nulls(out, keys)
     out = add_label(out, spec.label, spec.indicators, keys)
     return clean_names(out.drop(RN, N_ROWS))

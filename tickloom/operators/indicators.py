@@ -1,204 +1,268 @@
 """Technical indicators: windows for bounded ones, the chunked average for the rest.
 
-Every function takes bars indexed by `index_series` (columns `rn`, `n_rows`)
-and returns them with the new columns. A series shorter than an indicator
-needs gets NULL throughout.
+An `Indicator` says which bounded windows it needs, then which averages, then
+which averages of those. `apply_indicators` runs any number of them level by
+level: one window pass, one pass for all first averages, one for all second
+ones, one for running sums. A series shorter than an indicator needs gets NULL
+throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import div, quoted, require, rolling_mean, rolling_std, rolling_sum
 from tickloom.plans.series import KEYS, N_ROWS, RN, Ewm, ewm, first_rows, index_series, over_chunks, running
 
 
-def _indexed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df if RN in df.columns and N_ROWS in df.columns else index_series(df, keys)
+@dataclass(frozen=True)
+class Indicator:
+    """Steps of one indicator; helper columns carry the `tag` given to its builder."""
+
+    results: Mapping[str, Column]
+    windows: Callable[[DataFrame, WindowSpec], DataFrame] | None = None
+    back: int = 0
+    averages: Mapping[str, Ewm] = field(default_factory=dict)
+    between: Mapping[str, Column] = field(default_factory=dict)
+    seeds: Mapping[str, Column] = field(default_factory=dict)
+    second: Mapping[str, Ewm] = field(default_factory=dict)
+    totals: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+
+
+def apply_indicators(df: DataFrame, indicators: Sequence[Indicator], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Add the results of all indicators with one pass per level."""
+    out = df if RN in df.columns and N_ROWS in df.columns else index_series(df, keys)
+    kept = out.columns
+    windows = [i for i in indicators if i.windows]
+    if windows:
+
+        def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+            for i in windows:
+                d = i.windows(d, w)
+            return d
+
+        out = over_chunks(out, build, back=max(i.back for i in windows), keys=keys)
+
+    def merged(part: str) -> dict:
+        return {n: c for i in indicators for n, c in getattr(i, part).items()}
+
+    if totals := merged("totals"):
+        out = running(out, totals, keys)
+    if averages := merged("averages"):
+        out = ewm(out, averages, keys)
+    for i in indicators:
+        for name, c in i.between.items():
+            out = out.withColumn(name, c)
+    if seeds := merged("seeds"):
+        out = first_rows(out, seeds, keys)
+    if second := merged("second"):
+        out = ewm(out, second, keys)
+    results = merged("results")
+    return out.withColumns(results).select(*[F.col(quoted(c)) for c in kept if c not in results], *[F.col(quoted(c)) for c in results])
 
 
 def _long_enough(value: Column, rows: int) -> Column:
     return F.when(F.col(N_ROWS) >= rows, value)
 
 
-def sma(df: DataFrame, length: int = 50, column: str = "close", name: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Simple moving average over full windows."""
-    out = name or f"sma_length{length}"
-    return over_chunks(
-        _indexed(df, keys), lambda d, w: d.withColumn(out, rolling_mean(column, w, length)), back=length - 1, keys=keys
-    )
+def sma_plan(tag: str, out: str, length: int = 50, column: str = "close") -> Indicator:
+    mean = f"{tag}mean"
+    return Indicator({out: F.col(mean)}, lambda d, w: d.withColumn(mean, rolling_mean(column, w, length)), length - 1)
 
 
-def bollinger(df: DataFrame, length: int = 20, std: float = 2.0, prefix: str = "", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Moving average and bands `std` sample deviations around it."""
+def bollinger_plan(tag: str, prefix: str = "", length: int = 20, std: float = 2.0) -> Indicator:
+    mid, dev = f"{tag}mid", f"{tag}dev"
 
-    def build(d: DataFrame, w) -> DataFrame:
-        mid, dev = rolling_mean("close", w, length), rolling_std("close", w, length)
-        return d.withColumns(
-            {
-                f"{prefix}BBL_{length}_{std}": mid - dev * std,
-                f"{prefix}BBM_{length}_{std}": mid,
-                f"{prefix}BBU_{length}_{std}": mid + dev * std,
-            }
-        )
+    def windows(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return d.withColumns({mid: rolling_mean("close", w, length), dev: rolling_std("close", w, length)})
 
-    return over_chunks(_indexed(df, keys), build, back=length - 1, keys=keys)
+    m, s = F.col(mid), F.col(dev)
+    names = [f"{prefix}{b}_{length}_{std}" for b in ("BBL", "BBM", "BBU")]
+    return Indicator(dict(zip(names, (m - s * std, m, m + s * std))), windows, length - 1)
 
 
-def ema(df: DataFrame, length: int = 50, column: str = "close", name: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Exponential moving average with span `length`."""
-    return ewm(_indexed(df, keys), {name or f"ema_length{length}": Ewm.span(column, length)}, keys)
+def ema_plan(tag: str, out: str, length: int = 50, column: str = "close") -> Indicator:
+    return Indicator({out: F.col(f"{tag}ema")}, averages={f"{tag}ema": Ewm.span(column, length)})
 
 
-def true_range(d: DataFrame, w) -> Column:
+def true_range(w: WindowSpec) -> Column:
     before = F.lag("close").over(w)
     spread = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     return F.when(before.isNotNull(), spread)
 
 
-def atr(df: DataFrame, length: int = 14, name: str | None = None, ratio: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Average true range; with `ratio` also ATRr_{length}, the range relative to the close."""
-    out = name or f"atr_length{length}"
-    ranged = over_chunks(_indexed(df, keys), lambda d, w: d.withColumn("__tr", true_range(d, w)), back=1, keys=keys)
-    done = ewm(ranged, {out: Ewm.wilder("__tr", length, seed=1)}, keys).drop("__tr")
-    done = done.withColumn(out, _long_enough(F.col(quoted(out)), length))
-    return done.withColumn(f"ATRr_{length}", F.coalesce(div(quoted(out), "close"), F.lit(0.0))) if ratio else done
+def atr_plan(tag: str, out: str, length: int = 14, ratio: bool = True) -> Indicator:
+    tr, mean = f"{tag}tr", f"{tag}atr"
+    value = _long_enough(F.col(mean), length)
+    results = {out: value}
+    if ratio:
+        results[f"ATRr_{length}"] = F.coalesce(div(value, "close"), F.lit(0.0))
+    return Indicator(results, lambda d, w: d.withColumn(tr, true_range(w)), 1, {mean: Ewm.wilder(tr, length, seed=1)})
 
 
-def rsi(df: DataFrame, length: int = 14, name: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Relative strength index; NULL while there has been no loss."""
-    out = name or f"rsi_length{length}"
+def rsi_plan(tag: str, out: str, length: int = 14) -> Indicator:
+    gain, loss, g, l = (f"{tag}{n}" for n in ("gain", "loss", "g", "l"))  # noqa: E741
 
-    def moves(d: DataFrame, w) -> DataFrame:
+    def windows(d: DataFrame, w: WindowSpec) -> DataFrame:
         change = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
-        return d.withColumns({"__gain": F.greatest(change, F.lit(0.0)), "__loss": F.greatest(-change, F.lit(0.0))})
+        return d.withColumns({gain: F.greatest(change, F.lit(0.0)), loss: F.greatest(-change, F.lit(0.0))})
 
-    moved = over_chunks(_indexed(df, keys), moves, back=1, keys=keys)
-    means = ewm(
-        moved,
-        {"__g": Ewm.wilder("__gain", length), "__l": Ewm.wilder("__loss", length)},
-        keys,
-    )
-    strength = F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + F.try_divide(F.col("__g"), F.col("__l")))
-    value = F.when(F.col(RN) >= length, strength)
-    return means.withColumn(out, _long_enough(value, length + 1)).drop("__gain", "__loss", "__g", "__l")
+    strength = F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + F.try_divide(F.col(g), F.col(l)))
+    value = _long_enough(F.when(F.col(RN) >= length, strength), length + 1)
+    return Indicator({out: value}, windows, 1, {g: Ewm.wilder(gain, length), l: Ewm.wilder(loss, length)})
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, prefix: str = "", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Difference of two EMAs, its own EMA and the gap between them."""
-    line, sig, hist = f"{prefix}MACD_{fast}_{slow}", f"{prefix}MACDs_{signal}", f"{prefix}MACDh_{fast}_{slow}_{signal}"
-    both = ewm(_indexed(df, keys), {"__fast": Ewm.span("close", fast), "__slow": Ewm.span("close", slow)}, keys)
-    lined = both.withColumn(line, F.col("__fast") - F.col("__slow"))
-    out = ewm(lined, {sig: Ewm.span(line, signal, seed=max(fast, slow) - 1)}, keys)
-    out = out.withColumn(hist, F.col(line) - F.col(sig)).drop("__fast", "__slow")
+def macd_plan(tag: str, prefix: str = "", fast: int = 12, slow: int = 26, signal: int = 9) -> Indicator:
+    f, s, line, sig = (f"{tag}{n}" for n in ("fast", "slow", "line", "sig"))
     need = max(fast, slow) + signal - 1
-    return out.withColumns({c: _long_enough(F.col(c), need) for c in (line, sig, hist)})
-
+    values = {
+        f"{prefix}MACD_{fast}_{slow}": F.col(line),
+        f"{prefix}MACDs_{signal}": F.col(sig),
+        f"{prefix}MACDh_{fast}_{slow}_{signal}": F.col(line) - F.col(sig),
+    }
+    return Indicator(
+        {n: _long_enough(c, need) for n, c in values.items()},
+        averages={f: Ewm.span("close", fast), s: Ewm.span("close", slow)},
+        between={line: F.col(f) - F.col(s)},
+        second={sig: Ewm.span(line, signal, seed=max(fast, slow) - 1)},
+    )
 
-def adx(df: DataFrame, length: int = 14, prefix: str = "", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Average directional index with its two directional lines.
 
-    The directional index is undefined until the first directional move and
-    defined from then on, so its average starts at its first value.
-    """
+def adx_plan(tag: str, prefix: str = "", length: int = 14) -> Indicator:
+    """The directional index is undefined until the first directional move and
+    defined from then on, so its average starts at its first value."""
+    tr, up, down, a, p, n, plus, minus, dx, seed, mean = (
+        f"{tag}{c}" for c in ("tr", "pdm", "ndm", "atr", "p", "n", "plus", "minus", "dx", "seed", "adx")
+    )
 
-    def moves(d: DataFrame, w) -> DataFrame:
-        up = F.col("high") - F.lag("high").over(w)
-        down = F.lag("low").over(w) - F.col("low")
+    def windows(d: DataFrame, w: WindowSpec) -> DataFrame:
+        rise = F.col("high") - F.lag("high").over(w)
+        fall = F.lag("low").over(w) - F.col("low")
         return d.withColumns(
             {
-                "__tr": true_range(d, w),
-                "__pdm": F.when((up > down) & (up > 0), up).otherwise(0.0),
-                "__ndm": F.when((down > up) & (down > 0), down).otherwise(0.0),
+                tr: true_range(w),
+                up: F.when((rise > fall) & (rise > 0), rise).otherwise(0.0),
+                down: F.when((fall > rise) & (fall > 0), fall).otherwise(0.0),
             }
         )
 
-    moved = over_chunks(_indexed(df, keys), moves, back=1, keys=keys)
-    means = ewm(
-        moved,
+    spread, total = F.abs(F.col(plus) - F.col(minus)), F.abs(F.col(plus) + F.col(minus))
+    values = {
+        f"{prefix}ADX_{length}": F.when(F.col(RN) >= 2 * length - 2, F.col(mean)),
+        f"{prefix}DMP_{length}": F.col(plus),
+        f"{prefix}DMN_{length}": F.col(minus),
+    }
+    return Indicator(
+        {c: _long_enough(v, 2 * length) for c, v in values.items()},
+        windows,
+        1,
+        {a: Ewm.wilder(tr, length, seed=1), p: Ewm.wilder(up, length), n: Ewm.wilder(down, length)},
         {
-            "__atr": Ewm.wilder("__tr", length, seed=1),
-            "__p": Ewm.wilder("__pdm", length),
-            "__n": Ewm.wilder("__ndm", length),
+            plus: 100.0 * div(p, a),
+            minus: 100.0 * div(n, a),
+            dx: F.when(F.col(RN) >= length - 1, F.lit(100.0) * F.try_divide(spread, total)),
         },
-        keys,
+        {seed: F.col(dx).isNotNull()},
+        {mean: Ewm(dx, 1.0 / length, length, seed)},
     )
-    plus, minus = F.col("__plus"), F.col("__minus")
-    dx = F.lit(100.0) * F.try_divide(F.abs(plus - minus), F.abs(plus + minus))
-    lined = means.withColumns(
-        {"__plus": 100.0 * div("__p", "__atr"), "__minus": 100.0 * div("__n", "__atr")}
-    ).withColumn("__dx", F.when(F.col(RN) >= length - 1, dx))
-    seeded = first_rows(lined, F.col("__dx").isNotNull(), "__seed", keys)
-    done = ewm(seeded, {"__adx": Ewm("__dx", 1.0 / length, length, "__seed")}, keys)
-    need = 2 * length
-    names = {f"{prefix}ADX_{length}": F.when(F.col(RN) >= 2 * length - 2, F.col("__adx")), f"{prefix}DMP_{length}": plus, f"{prefix}DMN_{length}": minus}
-    done = done.withColumns({n: _long_enough(c, need) for n, c in names.items()})
-    return done.drop("__tr", "__pdm", "__ndm", "__atr", "__p", "__n", "__plus", "__minus", "__dx", "__seed", "__adx")
+
+
+def obv_plan(tag: str, out: str = "obv") -> Indicator:
+    flow = f"{tag}flow"
+
+    def windows(d: DataFrame, w: WindowSpec) -> DataFrame:
+        signed = F.col("volume") * F.signum(F.col("close") - F.lag("close").over(w))
+        return d.withColumn(flow, F.coalesce(signed, F.lit(0.0)))
+
+    return Indicator({out: F.col(f"{tag}sum")}, windows, 1, totals={f"{tag}sum": ("sum", flow)})
+
+
+def mfi_plan(tag: str, out: str, length: int = 14) -> Indicator:
+    tp, move, pos, neg, ratio = (f"{tag}{c}" for c in ("tp", "move", "pos", "neg", "ratio"))
+
+    def windows(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn(tp, (F.col("high") + F.col("low") + F.col("close")) / 3)
+        d = d.withColumn(move, F.col(tp) - F.lag(tp).over(w))
+        flow = F.col(tp) * F.col("volume")
+        d = d.withColumns({pos: F.when(F.col(move) > 0, flow).otherwise(0.0), neg: F.when(F.col(move) < 0, flow).otherwise(0.0)})
+        return d.withColumn(ratio, F.try_divide(rolling_sum(pos, w, length), rolling_sum(neg, w, length)))
+
+    value = F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + F.col(ratio))
+    return Indicator({out: _long_enough(value, length + 1)}, windows, length)
+
+
+def sma(df: DataFrame, length: int = 50, column: str = "close", name: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Simple moving average over full windows."""
+    return apply_indicators(df, [sma_plan("__i_", name or f"sma_length{length}", length, column)], keys)
+
+
+def bollinger(df: DataFrame, length: int = 20, std: float = 2.0, prefix: str = "", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Moving average and bands `std` sample deviations around it."""
+    return apply_indicators(df, [bollinger_plan("__i_", prefix, length, std)], keys)
+
+
+def ema(df: DataFrame, length: int = 50, column: str = "close", name: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Exponential moving average with span `length`."""
+    return apply_indicators(df, [ema_plan("__i_", name or f"ema_length{length}", length, column)], keys)
+
+
+def atr(df: DataFrame, length: int = 14, name: str | None = None, ratio: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Average true range; with `ratio` also ATRr_{length}, the range relative to the close."""
+    return apply_indicators(df, [atr_plan("__i_", name or f"atr_length{length}", length, ratio)], keys)
+
+
+def rsi(df: DataFrame, length: int = 14, name: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Relative strength index; NULL while there has been no loss."""
+    return apply_indicators(df, [rsi_plan("__i_", name or f"rsi_length{length}", length)], keys)
+
+
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, prefix: str = "", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Difference of two EMAs, its own EMA and the gap between them."""
+    return apply_indicators(df, [macd_plan("__i_", prefix, fast, slow, signal)], keys)
+
+
+def adx(df: DataFrame, length: int = 14, prefix: str = "", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Average directional index with its two directional lines."""
+    return apply_indicators(df, [adx_plan("__i_", prefix, length)], keys)
 
 
 def obv(df: DataFrame, name: str = "obv", keys: Sequence[str] = KEYS) -> DataFrame:
     """Running sum of volume signed by the direction of the close."""
-    signed = over_chunks(
-        _indexed(df, keys),
-        lambda d, w: d.withColumn(
-            "__flow", F.coalesce(F.col("volume") * F.signum(F.col("close") - F.lag("close").over(w)), F.lit(0.0))
-        ),
-        back=1,
-        keys=keys,
-    )
-    return running(signed, {name: ("sum", "__flow")}, keys).drop("__flow")
+    return apply_indicators(df, [obv_plan("__i_", name)], keys)
 
 
 def mfi(df: DataFrame, length: int = 14, name: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Money flow index; NULL when the window has no negative flow."""
-    out = name or f"mfi_length{length}"
-
-    def build(d: DataFrame, w) -> DataFrame:
-        typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-        d = d.withColumn("__tp", typical).withColumn("__move", F.col("__tp") - F.lag("__tp").over(w))
-        flow = F.col("__tp") * F.col("volume")
-        d = d.withColumns(
-            {
-                "__pos": F.when(F.col("__move") > 0, flow).otherwise(0.0),
-                "__neg": F.when(F.col("__move") < 0, flow).otherwise(0.0),
-            }
-        )
-        ratio = F.try_divide(rolling_sum("__pos", w, length), rolling_sum("__neg", w, length))
-        value = F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + ratio)
-        return d.withColumn(out, _long_enough(value, length + 1)).drop("__tp", "__move", "__pos", "__neg")
+    return apply_indicators(df, [mfi_plan("__i_", name or f"mfi_length{length}", length)], keys)
 
-    return over_chunks(_indexed(df, keys), build, back=length, keys=keys)
 
-
-def _single(fn: Callable, **defaults) -> Callable:
-    def add(df: DataFrame, label: str, params: Mapping, keys: Sequence[str]) -> DataFrame:
+def _single(plan: Callable) -> Callable:
+    def make(tag: str, label: str, params: Mapping) -> Indicator:
         suffix = "_".join(f"{k}{v}" for k, v in params.items())
-        return fn(df, name=f"{label}_{suffix}" if params else label, keys=keys, **{**defaults, **params})
-
-    return add
+        return plan(tag, f"{label}_{suffix}" if params else label, **params)
 
+    return make
 
-def _multi(fn: Callable) -> Callable:
-    def add(df: DataFrame, label: str, params: Mapping, keys: Sequence[str]) -> DataFrame:
-        return fn(df, prefix=f"{label}_", keys=keys, **params)
 
-    return add
+def _multi(plan: Callable) -> Callable:
+    return lambda tag, label, params: plan(tag, f"{label}_", **params)
 
 
 REGISTRY = {
-    "sma": _single(sma),
-    "ema": _single(ema),
-    "rsi": _single(rsi),
-    "atr": _single(atr, ratio=True),
-    "obv": _single(obv),
-    "mfi": _single(mfi),
-    "macd": _multi(macd),
-    "adx": _multi(adx),
-    "bbands": _multi(bollinger),
-    "bollinger_bands": _multi(bollinger),
+    "sma": _single(sma_plan),
+    "ema": _single(ema_plan),
+    "rsi": _single(rsi_plan),
+    "atr": _single(atr_plan),
+    "obv": _single(obv_plan),
+    "mfi": _single(mfi_plan),
+    "macd": _multi(macd_plan),
+    "adx": _multi(adx_plan),
+    "bbands": _multi(bollinger_plan),
+    "bollinger_bands": _multi(bollinger_plan),
 }
 
 
@@ -209,11 +273,11 @@ def add_indicators(df: DataFrame, configs: Iterable[Mapping], keys: Sequence[str
     ``{indicator}_{component}``. Unknown indicators raise.
     """
     require(df, "open", "high", "low", "close", "volume")
-    out = _indexed(df, keys)
-    for config in configs:
+    plans = []
+    for n, config in enumerate(configs):
         label = config["indicator"]
-        add = REGISTRY.get(label.lower())
-        if add is None:
+        make = REGISTRY.get(label.lower())
+        if make is None:
             raise ValueError(f"unknown indicator {label!r}; known: {sorted(REGISTRY)}")
-        out = add(out, label, {k: v for k, v in config.items() if k != "indicator"}, keys)
-    return out
+        plans.append(make(f"__{n}_", label, {k: v for k, v in config.items() if k != "indicator"}))
+    return apply_indicators(df, plans, keys) if plans else df

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.plans.series import KEYS, RN
-from tickloom.plans.storage import cut
+from tickloom.plans.storage import cut, once
 
 RADIX = 128
 
@@ -225,9 +225,9 @@ def chain(
     A chunk answers, for every bar at which the series may become free inside
     it, when it is free again after the chunk; runs of equal answers are
     stored once. Those answers, one row per chunk, are folded in order per
-    key, and each chunk then marks its own entries. `entries` is read three
-    times: store it first if it is expensive.
+    key, and each chunk then marks its own entries.
     """
+    entries = once(entries)
     chunked = entries.withColumn("__chunk", F.expr(f"`{pos}` div {chunk_rows}"))
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.select(*keys).schema.fields)
 
@@ -246,13 +246,13 @@ def chain(
             i = np.searchsorted(upto, state)
             if i < len(upto):
                 state = int(out[i])
-        return pdf[[*keys, "__chunk"]].assign(__free=arrive)
+        return pdf[[*keys, "__chunk"]].assign(__arrive=arrive)
 
     def mark(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(pos)
         p, f = batch[pos].to_numpy(), batch[free].to_numpy()
         nxt = np.searchsorted(p, f)
-        i, taken = int(np.searchsorted(p, batch["__free"].iloc[0])), []
+        i, taken = int(np.searchsorted(p, batch["__arrive"].iloc[0])), []
         while i < len(p):
             taken.append(i)
             i = int(nxt[i])
@@ -262,7 +262,7 @@ def chain(
     summaries = slim.groupBy(*keys, "__chunk").applyInPandas(
         summarise, f"{key_schema}, __chunk bigint, upto array<bigint>, out array<bigint>"
     )
-    arrivals = summaries.groupBy(*keys).applyInPandas(fold, f"{key_schema}, __chunk bigint, __free bigint")
+    arrivals = summaries.groupBy(*keys).applyInPandas(fold, f"{key_schema}, __chunk bigint, __arrive bigint")
     taken = (
         slim.join(arrivals, [*keys, "__chunk"])
         .groupBy(*keys, "__chunk")

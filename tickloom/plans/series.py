@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import col
+from tickloom.plans.storage import once
 
 KEYS = ("symbol",)
 TS = "ts"
@@ -58,7 +59,7 @@ def index_series(
 
 def index_by(df: DataFrame, keys: Sequence[str], slice_: Column, order: Sequence[Column]) -> DataFrame:
     """`index_series` for any slice number that never decreases along `order`."""
-    s = df.drop(RN, N_ROWS).withColumn("__slice", slice_)
+    s = once(df.drop(RN, N_ROWS)).withColumn("__slice", slice_)
     by_key = Window.partitionBy(*keys)
     offsets = (
         s.groupBy(*keys, "__slice")
@@ -132,7 +133,7 @@ def running(
     max, min and last (latest non-null value). Chunks aggregate on their own;
     one row per chunk carries the earlier chunks' result across.
     """
-    chunked = df.withColumn("__chunk", F.expr(f"`{rn}` div {chunk_rows}"))
+    chunked = once(df).withColumn("__chunk", F.expr(f"`{rn}` div {chunk_rows}"))
     for i, (_, expr) in enumerate(specs.values()):
         chunked = chunked.withColumn(f"__v{i}", col(expr))
     order = F.col(rn).desc() if reverse else F.col(rn).asc()
@@ -216,7 +217,7 @@ def ewm(
     size = min([chunk_rows, *(max(2, int(_SCALE / d)) for d in decays.values())])
     reach = max([1, *(math.ceil(_VANISH / (size * d)) for d in decays.values())])
 
-    chunked = df.withColumn("__chunk", F.expr(f"`{rn}` div {size}")).withColumn("__k", F.col(rn) % size)
+    chunked = once(df).withColumn("__chunk", F.expr(f"`{rn}` div {size}")).withColumn("__k", F.col(rn) % size)
     for i, s in enumerate(specs.values()):
         seed = F.lit(s.seed) if isinstance(s.seed, int) else F.col(s.seed)
         x = col(s.value)
@@ -261,10 +262,13 @@ def ewm(
     return out.drop("__chunk", "__k", *scratch)
 
 
-def first_rows(df: DataFrame, present: Column, name: str, keys: Sequence[str] = KEYS, rn: str = RN) -> DataFrame:
-    """Add, on every row of a key, the row number of its first row with `present`."""
-    firsts = df.groupBy(*keys).agg(F.min(F.when(present, F.col(rn))).alias(name))
-    return join_on_keys(df, firsts, keys)
+def first_rows(
+    df: DataFrame, present: Mapping[str, Column], keys: Sequence[str] = KEYS, rn: str = RN
+) -> DataFrame:
+    """Add, on every row of a key, the number of its first row meeting each condition."""
+    stored = once(df)
+    firsts = stored.groupBy(*keys).agg(*[F.min(F.when(c, F.col(rn))).alias(n) for n, c in present.items()])
+    return join_on_keys(stored, firsts, keys)
 
 
 SALTS = 32
@@ -310,7 +314,7 @@ def quantiles(
     pairs = list(probs.items())
     columns = sorted({c for _, (c, _) in pairs})
     values = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
-    long = df.select(*keys, F.explode(values).alias("__e")).select(*keys, "__e.c", "__e.x").filter("x IS NOT NULL")
+    long = once(df.select(*keys, *columns)).select(*keys, F.explode(values).alias("__e")).select(*keys, "__e.c", "__e.x").filter("x IS NOT NULL")
     counted = long.groupBy(*keys, "c", "x").agg(F.count(F.lit(1)).alias("n"))
 
     margin = 4.0 / accuracy

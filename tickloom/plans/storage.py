@@ -34,3 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+_SHUFFLES = ("Join", "Aggregate", "Window", "Sort", "Distinct", "Repartition", "FlatMapGroups", "Generate")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Store a DataFrame that is about to be read more than once.
+
+    Plans below read their input twice, for the rows and for the carried
+    values. Stacked plans would then redo the work at the bottom many times,
+    so anything beyond a plain scan or a stored table is stored first.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut(df) if any(word in plan for word in _SHUFFLES) else df
