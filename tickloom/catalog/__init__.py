@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "technical", "trading", "scoring")
+MODULES = ("cleaning", "technical", "trading", "scoring", "learning")
 
 
 def load_all() -> tuple[dict, dict]:

@@ -7,7 +7,7 @@ division by zero gives NULL.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -61,6 +61,16 @@ def rolling_sum(c: str | Column, w: WindowSpec, n: int) -> Column:
     return full(F.sum(col(c)), col(c), w, n)
 
 
+def correlation(a: str | Column, b: str | Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Pearson correlation of the rows with both values; NULL if either is constant.
+
+    `over` turns each aggregate into a window expression where one is wanted.
+    """
+    a, b = col(a).cast("double"), col(b).cast("double")
+    da, db = over(F.stddev_pop(F.when(b.isNotNull(), a))), over(F.stddev_pop(F.when(a.isNotNull(), b)))
+    return F.try_divide(over(F.covar_pop(a, b)), da * db)
+
+
 def pct_change(c: str | Column, w: WindowSpec, n: int = 1) -> Column:
     return div(col(c), F.lag(col(c), n).over(w)) - 1
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import (
     clean_names,
+    correlation,
     div,
     full,
     log,
@@ -137,11 +138,10 @@ def volume_features() -> FeatureSet:
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
         d = _with_return(d, w).withColumn("__vol", pct_change("volume", w))
         both = F.when(F.col("__ret").isNotNull() & F.col("__vol").isNotNull(), F.lit(1))
-        varied = (rolling_std("__ret", w, 20) > 0) & (rolling_std("__vol", w, 20) > 0)
         return d.withColumns(
             {
                 "volume_ratio": div("volume", rolling_mean("volume", w, 20)),
-                "price_volume_corr": F.when(varied, full(F.corr("__ret", "__vol"), both, w, 20)),
+                "price_volume_corr": correlation("__ret", "__vol", lambda c: full(c, both, w, 20)),
             }
         )
 
@@ -242,7 +242,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     All pairs are merged aggregates of one pass; the result has one row per pair.
     """
     pairs = list(combinations(columns, 2))
-    one = df.agg(*[F.corr(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[correlation(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
     return one.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import div
+from tickloom.functions.columns import correlation, div
 from tickloom.operators.clean import reindex_ffill
 from tickloom.plans.series import (
     KEYS,
@@ -107,7 +107,7 @@ def return_metrics(
 
     valid = running(indexed, {"__last": ("last", ret)}, keys)
     lagged = over_chunks(valid, lambda d, w: d.withColumn("__before", F.lag("__last").over(w)), back=1, keys=keys)
-    chained = lagged.groupBy(*keys).agg(F.corr(ret, "__before").alias("autocorrelation_1d"))
+    chained = lagged.groupBy(*keys).agg(correlation(ret, "__before").alias("autocorrelation_1d"))
 
     out = base
     for part in (tails, beyond, chained, max_drawdown(indexed, ret, keys), streaks(indexed, ret, keys)):

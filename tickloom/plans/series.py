@@ -80,6 +80,20 @@ def index_by(df: DataFrame, keys: Sequence[str], slice_: Column, order: Sequence
     )
 
 
+def place_chunks(df: DataFrame, back: int, ahead: int, rn: str = RN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows with the chunk they belong to (`__home`) and, copied, each chunk that needs them (`__chunk`)."""
+    size = max(chunk_rows, back, ahead)
+    home = F.expr(f"`{rn}` div {size}")
+    pos = F.col(rn) % size
+    copies = [home]
+    if back:
+        copies.append(F.when(pos >= size - back, home + 1))
+    if ahead:
+        copies.append(F.when((pos < ahead) & (home > 0), home - 1))
+    spread = F.explode(F.array_compact(F.array(*copies))) if len(copies) > 1 else home
+    return df.withColumn("__home", home).withColumn("__chunk", spread)
+
+
 def over_chunks(
     df: DataFrame,
     build: Callable[[DataFrame, WindowSpec], DataFrame],
@@ -96,16 +110,7 @@ def over_chunks(
     rows a chunk needs from its neighbours are copied into it and dropped
     again afterwards. One shuffle on (keys, chunk).
     """
-    size = max(chunk_rows, back, ahead)
-    home = F.expr(f"`{rn}` div {size}")
-    pos = F.col(rn) % size
-    copies = [home]
-    if back:
-        copies.append(F.when(pos >= size - back, home + 1))
-    if ahead:
-        copies.append(F.when((pos < ahead) & (home > 0), home - 1))
-    spread = F.explode(F.array_compact(F.array(*copies))) if len(copies) > 1 else home
-    placed = df.withColumn("__home", home).withColumn("__chunk", spread)
+    placed = place_chunks(df, back, ahead, rn, chunk_rows)
     w = Window.partitionBy(*keys, "__chunk").orderBy(rn)
     out = build(placed, w)
     return out.filter(F.col("__home") == F.col("__chunk")).drop("__home", "__chunk")
