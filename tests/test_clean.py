@@ -184,3 +184,14 @@ def test_sinks_flatten_for_csv(spark, tmp_path):
     write_table(df, str(tmp_path / "out"), "csv", run_id="r1")
     row = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()[0]
     assert (row["tags"], row["reasons"], row["run_id"]) == ("a,b", '{"k":1}', "r1")
+
+
+def test_columns_with_dots(spark):
+    rows = [("S", dt.datetime(2023, 1, 1) + dt.timedelta(days=i), v) for i, v in enumerate([1.0, None, 1.2, 0.9, 1.1, 40.0, None, 1.0])]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, `a.b` double")
+    filled = clean.fill_nulls(clean.fill_nulls(df, "ffill"), "zero")
+    assert filled.filter("`a.b` IS NULL").count() == 0
+    for method in ("winsorize", "clip", "remove"):
+        masked = clean.detect_outliers(filled, ["a.b"], "zscore", 1.5)
+        assert clean.handle_outliers(masked, method).agg({"`a.b`": "max"}).collect()[0][0] < 40
+    assert clean.interpolate(df, ["a.b"]).filter("`a.b` IS NULL").count() == 0

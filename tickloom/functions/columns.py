@@ -18,7 +18,10 @@ OHLCV = ("open", "high", "low", "close", "volume")
 
 
 def col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column by its exact name, dots included."""
+    if not isinstance(c, str):
+        return c
+    return F.col(c if c.startswith("`") else quoted(c))
 
 
 def div(a: str | Column, b: str | Column) -> Column:

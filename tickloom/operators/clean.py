@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.functions.columns import OHLCV, clamp, numeric_columns, quoted, require
+from tickloom.functions.columns import OHLCV, clamp, col, numeric_columns, quoted, require
 from tickloom.plans.series import (
     KEYS,
     N_ROWS,
@@ -125,7 +126,7 @@ def detect_outliers(
     checked = [c for c in columns if c in numeric]
     if method == "zscore":
         stats = df.groupBy(*keys).agg(
-            *[F.avg(c).alias(f"__m_{c}") for c in checked], *[F.stddev_samp(c).alias(f"__s_{c}") for c in checked]
+            *[F.avg(col(c)).alias(f"__m_{c}") for c in checked], *[F.stddev_samp(col(c)).alias(f"__s_{c}") for c in checked]
         )
     elif method in ("iqr", "percentile"):
         lo, hi = (0.25, 0.75) if method == "iqr" else (threshold / 100, 1 - threshold / 100)
@@ -134,11 +135,11 @@ def detect_outliers(
         raise ValueError(f"unknown outlier method {method!r}")
 
     def flag(c: str) -> Column:
-        x = F.col(c)
+        x = col(c)
         if method == "zscore":
-            sd = F.col(f"__s_{c}")
-            return (sd > 0) & (F.abs(F.try_divide(x - F.col(f"__m_{c}"), sd)) > threshold)
-        low, high = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
+            sd = col(f"__s_{c}")
+            return (sd > 0) & (F.abs(F.try_divide(x - col(f"__m_{c}"), sd)) > threshold)
+        low, high = col(f"__lo_{c}"), col(f"__hi_{c}")
         if method == "iqr":
             spread = high - low
             return (spread > 0) & ((x < low - spread * threshold) | (x > high + spread * threshold))
@@ -160,7 +161,7 @@ def drop_masks(df: DataFrame) -> DataFrame:
 def winsorize(df: DataFrame, lower: float = 0.05, upper: float = 0.95, keys: Sequence[str] = KEYS) -> DataFrame:
     """Clamp each column with outliers to percentiles of its other values."""
     df, columns = once(df), _masked(df)
-    kept = df.select(*keys, *[F.when(~F.col(mask_name(c)), F.col(c)).alias(c) for c in columns])
+    kept = df.select(*keys, *[F.when(~col(mask_name(c)), col(c)).alias(c) for c in columns])
     bounds = quantiles(kept, {f"__{n}_{c}": (c, p) for c in columns for n, p in (("lo", lower), ("hi", upper))}, keys)
     return _clamp_flagged(df, bounds, columns, keys)
 
@@ -172,26 +173,26 @@ def clip(
     df, columns = once(df), _masked(df)
     aggs = []
     for c in columns:
-        inlier = F.when(~F.col(mask_name(c)), F.col(c).cast("double"))
+        inlier = F.when(~col(mask_name(c)), col(c).cast("double"))
         aggs.append((F.lit(float(min_val)) if min_val is not None else F.min(inlier)).alias(f"__lo_{c}"))
         aggs.append((F.lit(float(max_val)) if max_val is not None else F.max(inlier)).alias(f"__hi_{c}"))
     return _clamp_flagged(df, df.groupBy(*keys).agg(*aggs), columns, keys)
 
 
 def _clamp_flagged(df: DataFrame, bounds: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    flagged = df.groupBy(*keys).agg(*[F.max(mask_name(c)).alias(f"__any_{c}") for c in columns])
+    flagged = df.groupBy(*keys).agg(*[F.max(col(mask_name(c))).alias(f"__any_{c}") for c in columns])
     out = join_on_keys(df, bounds.join(flagged, list(keys)), keys, "left")
     fixed = {}
     for c in columns:
-        x, lo, hi = F.col(c).cast("double"), F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
-        usable = F.col(f"__any_{c}") & lo.isNotNull() & hi.isNotNull() & x.isNotNull()
+        x, lo, hi = col(c).cast("double"), col(f"__lo_{c}"), col(f"__hi_{c}")
+        usable = col(f"__any_{c}") & lo.isNotNull() & hi.isNotNull() & x.isNotNull()
         fixed[c] = F.when(usable, clamp(x, lo, hi)).otherwise(x)
     return out.withColumns(fixed).drop(*[f"__{p}_{c}" for c in columns for p in ("lo", "hi", "any")])
 
 
 def remove_outliers(df: DataFrame) -> DataFrame:
     """Drop rows with any flagged column."""
-    flags = [F.col(mask_name(c)) for c in _masked(df)]
+    flags = [col(mask_name(c)) for c in _masked(df)]
     keep = ~flags[0]
     for f in flags[1:]:
         keep = keep & ~f
@@ -199,7 +200,7 @@ def remove_outliers(df: DataFrame) -> DataFrame:
 
 
 def blank_outliers(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.when(~F.col(mask_name(c)), F.col(c)) for c in _masked(df)})
+    return df.withColumns({c: F.when(~col(mask_name(c)), col(c)) for c in _masked(df)})
 
 
 def fill_outliers(df: DataFrame, fill: str = "ffill", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -211,13 +212,13 @@ def fill_outliers(df: DataFrame, fill: str = "ffill", keys: Sequence[str] = KEYS
     if fill == "interpolate":
         return interpolate(blank, columns, keys)
     if fill == "mean":
-        stats = blank.groupBy(*keys).agg(*[F.avg(c).alias(f"__v_{c}") for c in columns])
+        stats = blank.groupBy(*keys).agg(*[F.avg(col(c)).alias(f"__v_{c}") for c in columns])
     elif fill == "median":
         stats = quantiles(blank, {f"__v_{c}": (c, 0.5) for c in columns}, keys)
     else:
         raise ValueError(f"unknown fill {fill!r}")
     out = join_on_keys(blank, stats, keys, "left")
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__v_{c}")) for c in columns}).drop(
+    return out.withColumns({c: F.coalesce(col(c).cast("double"), col(f"__v_{c}")) for c in columns}).drop(
         *[f"__v_{c}" for c in columns]
     )
 
@@ -249,26 +250,29 @@ def fill_nulls(
     """ffill, bfill, zero or a constant; ffill and bfill stay within the key."""
     columns = list(columns or [c for c in df.columns if c not in {*keys, TS, RN, N_ROWS}])
     if method == "zero" or not isinstance(method, str):
-        return df.fillna(0 if method == "zero" else method, columns)
+        value = 0 if method == "zero" else method
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        numbers = [c for c in columns if isinstance(kinds[c], T.NumericType)]
+        return df.withColumns({c: F.coalesce(col(c), F.lit(value).cast(kinds[c])) for c in numbers})
     if method not in ("ffill", "bfill"):
         raise ValueError(f"unknown fill {method!r}")
     indexed, added = _with_index(df, keys)
     filled = running(indexed, {f"__f_{c}": ("last", c) for c in columns}, keys, reverse=method == "bfill")
-    out = filled.withColumns({c: F.col(f"__f_{c}") for c in columns}).drop(*[f"__f_{c}" for c in columns])
+    out = filled.withColumns({c: col(f"__f_{c}") for c in columns}).drop(*[f"__f_{c}" for c in columns])
     return out.drop(RN, N_ROWS) if added else out
 
 
 def interpolate(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Linear by row position; trailing gaps take the last value, leading ones stay NULL."""
     indexed, added = _with_index(df, keys)
-    point = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(RN).alias("r"), F.col(c).cast("double").alias("x"))) for c in columns}
+    point = {c: F.when(col(c).isNotNull(), F.struct(F.col(RN).alias("r"), col(c).cast("double").alias("x"))) for c in columns}
     out = running(indexed, {f"__p_{c}": ("last", point[c]) for c in columns}, keys)
     out = running(out, {f"__n_{c}": ("last", point[c]) for c in columns}, keys, reverse=True)
     fixed = {}
     for c in columns:
-        p, n = F.col(f"__p_{c}"), F.col(f"__n_{c}")
+        p, n = col(f"__p_{c}"), col(f"__n_{c}")
         between = p["x"] + (n["x"] - p["x"]) * F.try_divide(F.col(RN) - p["r"], n["r"] - p["r"])
-        fixed[c] = F.coalesce(F.col(c).cast("double"), F.when(n.isNull(), p["x"]).when(p.isNotNull(), between))
+        fixed[c] = F.coalesce(col(c).cast("double"), F.when(n.isNull(), p["x"]).when(p.isNotNull(), between))
     out = out.withColumns(fixed).drop(*[f"__{p}_{c}" for c in columns for p in "pn"])
     return out.drop(RN, N_ROWS) if added else out
 

@@ -319,7 +319,7 @@ def quantiles(
     pairs = list(probs.items())
     columns = sorted({c for _, (c, _) in pairs})
     values = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
-    long = once(df.select(*keys, *columns)).select(*keys, F.explode(values).alias("__e")).select(*keys, "__e.c", "__e.x").filter("x IS NOT NULL")
+    long = once(df.select(*keys, *[col(c) for c in columns])).select(*keys, F.explode(values).alias("__e")).select(*keys, "__e.c", "__e.x").filter("x IS NOT NULL")
     counted = long.groupBy(*keys, "c", "x").agg(F.count(F.lit(1)).alias("n"))
 
     margin = 4.0 / accuracy
