@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
 _local_dir: str | None = None
@@ -29,11 +31,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result is stored once and later stages read it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Write a table to the shared folder and go on from it.
+
+    The result is computed once; later stages read only the columns and rows
+    they need, and a lost executor costs no more than rereading files.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    # Parquet has no column without a type.
+    untyped = {f.name: F.lit(None).cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
+    ready = df.withColumns(untyped) if untyped else df
+    ready.write.parquet(path)
+    return df.sparkSession.read.schema(ready.schema).parquet(path)
 
 
 _SHUFFLES = ("Join", "Aggregate", "Window", "Sort", "Distinct", "Repartition", "FlatMapGroups", "Generate")
