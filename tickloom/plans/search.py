@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tickloom.plans.series import KEYS, RN
 from tickloom.plans.storage import cut, once
 
-RADIX = 128
+RADIX = 32
 
 _STATE = "struct<done:boolean,into:bigint,live:boolean,best:double,mfe:double,mae:double,rn:bigint,price:double,reason:string,last:double>"
 
