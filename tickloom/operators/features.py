@@ -30,6 +30,7 @@ from tickloom.functions.columns import (
 )
 from tickloom.operators.clean import fill_nulls
 from tickloom.operators.indicators import add_indicators
+from tickloom.operators.statistics import garch_volatility, rolling_adf
 from tickloom.plans.series import KEYS, N_ROWS, RN, TS, index_series, over_chunks
 from tickloom.plans.storage import once
 
@@ -331,6 +332,8 @@ class FeatureSpec:
     indicators: Sequence[Mapping] = ()
     volatility: bool = False
     regime: bool = False
+    stationarity: bool = False
+    garch: bool = False
     momentum: bool = False
     fractal_window: int | None = None
     difference: Sequence[str] = ()
@@ -361,6 +364,10 @@ def build_features(df: DataFrame, spec: FeatureSpec, keys: Sequence[str] = KEYS)
     if spec.fractal_window:
         sets.append(fractals(spec.fractal_window))
     out = add_features(df, sets, keys)
+    if spec.stationarity:
+        out = rolling_adf(out, keys=keys)
+    if spec.garch:
+        out = garch_volatility(out, keys=keys)
     out = add_indicators(out, spec.indicators, keys)
     if spec.difference:
         out = add_features(out, [differenced(spec.difference, spec.difference_period)], keys)

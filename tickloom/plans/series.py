@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.columns import col
 from tickloom.plans.storage import once
@@ -292,7 +293,8 @@ def join_on_keys(
     `salts` groups. Nothing is broadcast by hint: Spark does that itself when
     the small side's measured size is below its threshold.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    salt = F.pmod(F.xxhash64(*[col(c) for c in plain]), F.lit(salts)).cast("int")
     left = df.withColumn("__salt", salt)
     right = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
