@@ -52,10 +52,10 @@ def crypto_arrays(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(readers.explode_ohlcv_json(raw.drop("d"), end="2024-01-20 12:00:00"), raw=OHLCV)
 
 
-@query(with_bars() + f" SELECT symbol, ts, {rs('open', 'close')}, {r('close * 0.9', 'adj_close')} FROM bars")
+@query(with_bars() + f" SELECT symbol, ts, open, close, {r('close * 0.9', 'adj_close', 8)} FROM bars")
 def datareader_layout(spark: SparkSession, folder: str) -> DataFrame:
     raw = bars(spark, folder).select("symbol", "ts", F.col("open").alias("Open"), F.col("close").alias("Last"), (F.col("close") * 0.9).alias("Adj. Close"))
-    return rounded(readers.normalize_vendor_bars(raw, "datareader"))
+    return rounded(readers.normalize_vendor_bars(raw, "datareader"), 8, raw=OHLCV)
 
 
 @query(with_bars() + f" SELECT symbol, ts, {OHLCV_RAW} FROM bars WHERE symbol IN ('Brand#11', 'Brand#23') AND ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-01-01'")
@@ -109,11 +109,11 @@ _Z_MASKED = (
     with_bars()
     + f", {_HOLES}, f1 AS (SELECT *, {_FFILL.format(c='close')} AS f FROM holes), "
     + f"filled AS (SELECT symbol, ts, rn, {_BFILL.format(c='f')} AS x FROM f1), {_Z_MASKED} "
-    + f"SELECT symbol, ts, {r('close')} FROM ({interp_sql('blanked', 'close')})"
+    + f"SELECT symbol, ts, {r('close', digits=7)} FROM ({interp_sql('blanked', 'close')})"
 )
 def load_and_clean(spark: SparkSession, folder: str) -> DataFrame:
     raw = _holes(spark, folder, "brand").drop(RN, N_ROWS).select("symbol", "ts", "close")
-    return rounded(clean.load_clean(raw, outliers="zscore", columns=["close"], threshold=1.5))
+    return rounded(clean.load_clean(raw, outliers="zscore", columns=["close"], threshold=1.5), 7)
 
 
 @query(with_bars() + f" SELECT symbol, ts, {OHLCV_RAW}, 'backfill' AS run_id FROM bars")
@@ -166,10 +166,10 @@ def _ab(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def _aligned(spark: SparkSession, folder: str, how: str) -> DataFrame:
     a, b = clean.align(_ab(spark, folder), how)
-    return rounded(a.join(b, ["symbol", "ts"]))
+    return a.join(b, ["symbol", "ts"])
 
 
-_AB_OUT = rs("a_close", "b_high")
+_AB_OUT = "a_close, b_high"
 
 
 @query(with_bars() + f", {_AB} SELECT symbol, ts, {_AB_OUT} FROM a JOIN b USING (symbol, ts)")
@@ -194,7 +194,7 @@ def align_right(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_bars() + f", {_AB} SELECT symbol, ts, {_AB_OUT} FROM a JOIN b USING (symbol, ts)")
 def align_two(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(clean.align_pair(*_ab(spark, folder)))
+    return clean.align_pair(*_ab(spark, folder))
 
 
 def _masks(spark: SparkSession, folder: str, method: str, threshold: float) -> DataFrame:
@@ -209,40 +209,36 @@ _ZSCORE = (
 )
 
 
-@query(with_bars() + f", {_ZSCORE} SELECT symbol, ts, {rs('close', 'volume')}, close__outlier, volume__outlier FROM m")
+@query(with_bars() + f", {_ZSCORE} SELECT symbol, ts, close, volume, close__outlier, volume__outlier FROM m")
 def outliers_zscore(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(_masks(spark, folder, "zscore", 1.8))
+    return _masks(spark, folder, "zscore", 1.8)
 
 
 @query(
     with_bars()
     + """, q AS (SELECT symbol, quantile_cont(close, 0.25) AS c1, quantile_cont(close, 0.75) AS c3,
     quantile_cont(volume, 0.25) AS v1, quantile_cont(volume, 0.75) AS v3 FROM bars GROUP BY symbol)
-    SELECT symbol, ts, """
-    + rs("close", "volume")
-    + """, c3 > c1 AND (close < c1 - 0.3 * (c3 - c1) OR close > c3 + 0.3 * (c3 - c1)) AS close__outlier,
+    SELECT symbol, ts, close, volume, c3 > c1 AND (close < c1 - 0.3 * (c3 - c1) OR close > c3 + 0.3 * (c3 - c1)) AS close__outlier,
     v3 > v1 AND (volume < v1 - 0.3 * (v3 - v1) OR volume > v3 + 0.3 * (v3 - v1)) AS volume__outlier
     FROM bars JOIN q USING (symbol)"""
 )
 def outliers_iqr(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(_masks(spark, folder, "iqr", 0.3))
+    return _masks(spark, folder, "iqr", 0.3)
 
 
 @query(
     with_bars()
     + """, q AS (SELECT symbol, quantile_cont(close, 0.03) AS c1, quantile_cont(close, 0.97) AS c3,
     quantile_cont(volume, 0.03) AS v1, quantile_cont(volume, 0.97) AS v3 FROM bars GROUP BY symbol)
-    SELECT symbol, ts, """
-    + rs("close", "volume")
-    + ", close < c1 OR close > c3 AS close__outlier, volume < v1 OR volume > v3 AS volume__outlier FROM bars JOIN q USING (symbol)"
+    SELECT symbol, ts, close, volume, close < c1 OR close > c3 AS close__outlier, volume < v1 OR volume > v3 AS volume__outlier FROM bars JOIN q USING (symbol)"""
 )
 def outliers_percentile(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(_masks(spark, folder, "percentile", 3.0))
+    return _masks(spark, folder, "percentile", 3.0)
 
 
-def _treated(spark: SparkSession, folder: str, method: str, **options) -> DataFrame:
+def _treated(spark: SparkSession, folder: str, method: str, digits: int = 7, **options) -> DataFrame:
     masked = _masks(spark, folder, "zscore", 1.8)
-    return rounded(clean.drop_masks(clean.handle_outliers(masked, method, **options)).select("symbol", "ts", "close", "volume"))
+    return rounded(clean.drop_masks(clean.handle_outliers(masked, method, **options)).select("symbol", "ts", "close", "volume"), digits)
 
 
 def _clamp_sql(lo: str, hi: str) -> str:
@@ -256,21 +252,21 @@ def _clamp_sql(lo: str, hi: str) -> str:
     )
     return (
         with_bars() + f", {_ZSCORE}, s AS (SELECT symbol, {stats} FROM m GROUP BY symbol) "
-        f"SELECT symbol, ts, {r(cell('close'), 'close')}, {r(cell('volume'), 'volume')} FROM m JOIN s USING (symbol)"
+        f"SELECT symbol, ts, {r(cell('close'), 'close', 10)}, {r(cell('volume'), 'volume', 10)} FROM m JOIN s USING (symbol)"
     )
 
 
 @query(_clamp_sql("quantile_cont({x}, 0.05)", "quantile_cont({x}, 0.95)"))
 def outliers_winsorized(spark: SparkSession, folder: str) -> DataFrame:
-    return _treated(spark, folder, "winsorize")
+    return _treated(spark, folder, "winsorize", 10)
 
 
 @query(_clamp_sql("min({x})", "max({x})"))
 def outliers_clipped(spark: SparkSession, folder: str) -> DataFrame:
-    return _treated(spark, folder, "clip")
+    return _treated(spark, folder, "clip", 10)
 
 
-@query(with_bars() + f", {_ZSCORE} SELECT symbol, ts, {rs('close', 'volume')} FROM m WHERE NOT (close__outlier OR volume__outlier)")
+@query(with_bars() + f", {_ZSCORE} SELECT symbol, ts, {rs('close', 'volume', digits=7)} FROM m WHERE NOT (close__outlier OR volume__outlier)")
 def outliers_removed(spark: SparkSession, folder: str) -> DataFrame:
     return _treated(spark, folder, "remove")
 
@@ -281,12 +277,12 @@ _BLANK = (
 )
 
 
-@query(with_bars() + f", {_BLANK} SELECT symbol, ts, {r(_FFILL.format(c='close'), 'close')}, {r(_FFILL.format(c='volume'), 'volume')} FROM bl")
+@query(with_bars() + f", {_BLANK} SELECT symbol, ts, {r(_FFILL.format(c='close'), 'close', 7)}, {r(_FFILL.format(c='volume'), 'volume', 7)} FROM bl")
 def outliers_ffilled(spark: SparkSession, folder: str) -> DataFrame:
     return _treated(spark, folder, "fillna", fill="ffill")
 
 
-@query(with_bars() + f", {_BLANK} SELECT symbol, ts, {r(_BFILL.format(c='close'), 'close')}, {r(_BFILL.format(c='volume'), 'volume')} FROM bl")
+@query(with_bars() + f", {_BLANK} SELECT symbol, ts, {r(_BFILL.format(c='close'), 'close', 7)}, {r(_BFILL.format(c='volume'), 'volume', 7)} FROM bl")
 def outliers_bfilled(spark: SparkSession, folder: str) -> DataFrame:
     return _treated(spark, folder, "fillna", fill="bfill")
 
@@ -294,14 +290,14 @@ def outliers_bfilled(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     with_bars()
     + f", {_BLANK}, c AS ({interp_sql('bl', 'close')}), v AS ({interp_sql('bl', 'volume')}) "
-    + f"SELECT symbol, ts, {rs('close', 'volume')} FROM c JOIN v USING (symbol, ts)"
+    + f"SELECT symbol, ts, {rs('close', 'volume', digits=7)} FROM c JOIN v USING (symbol, ts)"
 )
 def outliers_interpolated(spark: SparkSession, folder: str) -> DataFrame:
     return _treated(spark, folder, "fillna", fill="interpolate")
 
 
 def _stat_fill(agg: str) -> str:
-    cells = ", ".join(r(f"coalesce({c}, {agg.format(c=c)} OVER (PARTITION BY symbol))", c) for c in ("close", "volume"))
+    cells = ", ".join(r(f"coalesce({c}, {agg.format(c=c)} OVER (PARTITION BY symbol))", c, 7) for c in ("close", "volume"))
     return with_bars() + f", {_BLANK} SELECT symbol, ts, {cells} FROM bl"
 
 
@@ -322,12 +318,12 @@ def outliers_median_filled(spark: SparkSession, folder: str) -> DataFrame:
     + f""", t AS (SELECT symbol, ts, rn, CASE WHEN rn % 7 IN (0, 3) THEN NULL ELSE rn % 11 = 5 END AS bad,
     CASE WHEN rn % 7 IN (0, 3) THEN NULL ELSE close END AS c FROM ix),
     f AS (SELECT symbol, ts, {_FFILL.format(c='bad')} AS bad, {_FFILL.format(c='c')} AS close FROM t)
-    SELECT symbol, ts, {r('close')} FROM f WHERE NOT bad AND close IS NOT NULL"""
+    SELECT symbol, ts, close FROM f WHERE NOT bad AND close IS NOT NULL"""
 )
 def preprocess_text_prices(spark: SparkSession, folder: str) -> DataFrame:
     raw = indexed(spark, folder)
     text = F.when((F.col(RN) % 7).isin(0, 3), None).when(F.col(RN) % 11 == 5, "n/a").otherwise(F.col("close").cast("string"))
-    return rounded(clean.preprocess(raw.select("symbol", "ts", text.alias("Close"))))
+    return clean.preprocess(raw.select("symbol", "ts", text.alias("Close")))
 
 
 @query(with_bars("event") + f" SELECT symbol, ts, {rs('close', 'volume')} FROM bars WHERE symbol = 'purchase'")
@@ -342,14 +338,14 @@ def extract_one_ticker(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     with_bars()
-    + f", {_HOLES} SELECT symbol, ts, {r(_FFILL.format(c='close'), 'ffilled')}, {r(_BFILL.format(c='close'), 'bfilled')}, "
-    + f"{r('coalesce(close, 0.0)', 'zeroed')} FROM holes"
+    + f", {_HOLES} SELECT symbol, ts, {r(_FFILL.format(c='close'), 'ffilled', 7)}, {r(_BFILL.format(c='close'), 'bfilled', 7)}, "
+    + f"{r('coalesce(close, 0.0)', 'zeroed', 7)} FROM holes"
 )
 def fill_gaps(spark: SparkSession, folder: str) -> DataFrame:
     df = _holes(spark, folder, "brand").withColumns({c: F.col("close") for c in ("ffilled", "bfilled", "zeroed")})
     df = clean.fill_nulls(df, "ffill", ["ffilled"])
     df = clean.fill_nulls(df, "bfill", ["bfilled"])
-    return rounded(clean.fill_nulls(df, "zero", ["zeroed"]).select("symbol", "ts", "ffilled", "bfilled", "zeroed"))
+    return rounded(clean.fill_nulls(df, "zero", ["zeroed"]).select("symbol", "ts", "ffilled", "bfilled", "zeroed"), 7)
 
 
 @query(
@@ -387,19 +383,19 @@ def asof_backward(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(clean.asof_join(df.select("symbol", "ts", "close"), monthly, ["level"]))
 
 
-@query(with_bars() + f" SELECT symbol, ts, {r('close', 'Close_USD')}, {r('volume', 'Vol_chg')} FROM bars")
+@query(with_bars() + f" SELECT symbol, ts, close AS Close_USD, volume AS Vol_chg FROM bars")
 def sanitized_names(spark: SparkSession, folder: str) -> DataFrame:
     df = bars(spark, folder).select("symbol", "ts", F.col("close").alias("Close (USD)"), F.col("volume").alias("Vol. % chg"))
-    return rounded(clean_names(df))
+    return clean_names(df)
 
 
 @query(
     with_bars()
-    + f" SELECT symbol, ts, {r('close')}, 0 AS fold FROM bars WHERE ts < TIMESTAMP '1996-01-01' "
-    + f"UNION ALL SELECT symbol, ts, {r('close')}, 1 AS fold FROM bars WHERE ts >= TIMESTAMP '1995-06-01'"
+    + f" SELECT symbol, ts, close, 0 AS fold FROM bars WHERE ts < TIMESTAMP '1996-01-01' "
+    + f"UNION ALL SELECT symbol, ts, close, 1 AS fold FROM bars WHERE ts >= TIMESTAMP '1995-06-01'"
 )
 def stacked_folds(spark: SparkSession, folder: str) -> DataFrame:
     df = bars(spark, folder).select("symbol", "ts", "close")
     early = df.filter(F.col("ts") < F.lit("1996-01-01").cast("timestamp_ntz"))
     late = df.filter(F.col("ts") >= F.lit("1995-06-01").cast("timestamp_ntz"))
-    return rounded(clean.stack_folds({0: early, 1: late}))
+    return clean.stack_folds({0: early, 1: late})
