@@ -63,6 +63,13 @@ def test_feature_table_has_no_nulls(bars, walk):
     assert {r[0] for r in out.select("triple_barrier_label").distinct().collect()} <= {-1, 0, 1}
 
 
+def test_statistics_can_be_features(bars):
+    spec = ft.FeatureSpec(stationarity=True, garch=True, label=ft.LabelSpec(method="directional", max_holding_period=2))
+    out = ft.build_features(bars.drop("rn", "n_rows"), spec)
+    row = out.filter("symbol = 'HOT'").agg(F.max("garch_vol"), F.max("adf_pvalue"), F.count(F.lit(1))).collect()[0]
+    assert row[0] > 0 and 0 < row[1] <= 1 and row[2] == 698
+
+
 def plain_hurst(x):
     sizes = [int(10**e) for e in np.arange(1.0, np.log10(len(x) - 1), 0.25)] + [len(x)]
     points = []

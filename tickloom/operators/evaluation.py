@@ -96,9 +96,10 @@ def score_counts(df: DataFrame, score: str, positive: Column, keys: Sequence[str
         )
     )
     grid = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    # One row with SLICES numbers.
-    marks = per_score.agg(F.percentile_approx("score", grid, F.lit(10 * SLICES)).alias("__marks"))
-    sliced = per_score.join(F.broadcast(marks)).withColumn("__s", F.size(F.filter("__marks", lambda m: m > F.col("score")))).drop("__marks")
+    # SLICES - 1 numbers, however many scores there are.
+    marks = per_score.agg(F.percentile_approx("score", grid, F.lit(10 * SLICES)).alias("m")).collect()[0]["m"] or []
+    edges = F.array(*[F.lit(float(m)) for m in sorted(set(marks))]).cast("array<double>")
+    sliced = per_score.withColumn("__s", F.size(F.filter(edges, lambda m: m > F.col("score"))))
     group = list(keys) or ["__all"]
     sliced = sliced if keys else sliced.withColumn("__all", F.lit(0))
     ranked = index_by(sliced, group, F.col("__s"), [F.col("score").desc()]).drop("__s")

@@ -418,7 +418,7 @@ def permutation_importance(
     columns = list(features or trained.inputs)
     stored = once(df.select(*ident, label, *[quoted(c) for c in trained.inputs if c not in ident and c != label]))
     groups = max(1, math.ceil(stored.count() / group_rows))
-    base = trained.score(stored).agg(F.avg((F.col("prediction") == F.col(label)).cast("int")).alias("base"))
+    base = trained.score(stored).agg(F.avg((F.col("prediction") == F.col(label)).cast("int"))).collect()[0][0]
     rounds = stored.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     rounds = rounds.withColumn("__g", F.pmod(F.xxhash64(F.lit(seed), "repeat", *ident), F.lit(groups)))
     w = Window.partitionBy("repeat", "__g").orderBy(F.xxhash64(F.lit(seed + 1), "repeat", *ident), *ident)
@@ -428,6 +428,5 @@ def permutation_importance(
     swapped = each.withColumns({c: F.when(F.col("feature") == c, F.col(quoted(f"__n_{c}"))).otherwise(F.col(quoted(c))) for c in columns})
     scored = trained.score(swapped.drop("__g", *[f"__n_{c}" for c in columns]))
     per_round = scored.groupBy("feature", "repeat").agg(F.avg((F.col("prediction") == F.col(label)).cast("int")).alias("hit"))
-    # `base` is a single row.
-    drops = per_round.join(F.broadcast(base)).withColumn("drop", F.col("base") - F.col("hit"))
+    drops = per_round.withColumn("drop", F.lit(base) - F.col("hit"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
