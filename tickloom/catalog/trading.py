@@ -443,13 +443,23 @@ def benchmark_curve(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ledger.benchmark_equity(indexed(spark, folder, "priority")), 5)
 
 
-@query()
+@query(
+    _sim_sql(SPEC)
+    + """, tr AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY entry_time, symbol) AS k, CASE WHEN symbol < '3' THEN 'urgent' ELSE 'normal' END AS g FROM trades),
+    pf(k, held, took) AS (SELECT 0::BIGINT, []::STRUCT(b TIMESTAMP, s VARCHAR, g VARCHAR)[], false UNION ALL
+      SELECT k, CASE WHEN ok THEN list_append(o, {'b': exit_time, 's': symbol, 'g': g}) ELSE o END, ok FROM (
+        SELECT *, len(o) < 2 AND len(list_filter(o, lambda x: x.g = u.g)) < 1 AND len(list_filter(o, lambda x: x.s = u.symbol)) = 0 AS ok FROM (
+          SELECT t.k, t.symbol, t.g, t.exit_time, list_filter(p.held, lambda x: x.b > t.entry_time) AS o FROM pf p JOIN tr t ON t.k = p.k + 1) u))
+    SELECT symbol, entry_time, exit_time, """
+    + r("realized_pnl", digits=5)
+    + " FROM tr JOIN pf USING (k) WHERE took"
+)
 def portfolio_limits(spark: SparkSession, folder: str) -> DataFrame:
     """All symbols in one portfolio that holds at most two trades, one per priority group."""
     trades = _trades(spark, folder, SPEC)[2].withColumn("portfolio", F.lit("all"))
     grouped = trades.withColumn("sector", F.when(F.col("symbol") < "3", "urgent").otherwise("normal"))
     kept = ledger.concurrent_limits(grouped, max_open=2, max_correlated=1, group="sector")
-    return rounded(kept.select("symbol", "entry_time", "exit_time", "realized_pnl"))
+    return rounded(kept.select("symbol", "entry_time", "exit_time", "realized_pnl"), 5)
 
 
 # --- performance ------------------------------------------------------------
