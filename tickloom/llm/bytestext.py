@@ -49,10 +49,10 @@ class Roll:
             setattr(self, name, have)
 
     def prefixes(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums over bytes, or over 64-bit values as they are."""
         self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, U)
-        values = self.table[data]
-        values *= self.powers[: len(data)]
+        values = (self.table[data] if data.dtype == np.uint8 else data) * self.powers[: len(data)]
         np.cumsum(values, out=out[1:])
         return out
 
@@ -115,11 +115,16 @@ def runs_of_words(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U)
     roll = ROLLS[which]
-    out, factor = np.zeros(n, U), 1
-    for k in range(length):
-        out += words[k : k + n] * U(factor)
-        factor = factor * roll.base % (1 << 64)
-    return mix(out)
+    return roll.windows(roll.prefixes(words), 0, n, length)
+
+
+def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best over values[i : i + width] for each i at which all of them exist."""
+    have, span = values, 1
+    while span * 2 <= width:
+        have = best(have[:-span], have[span:])
+        span *= 2
+    return best(have[: len(have) - (width - span)], have[width - span :]) if span < width else have
 
 
 def counted(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
