@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.near_dedup import op8_near_dedup
 from tickloom.llm.packing import op4_packing
 from tickloom.llm.substring_dedup import op2_substring_dedup
 from tickloom.llm.suffix_dedup import op1_suffix_dedup
 from tickloom.llm.token_files import op6_token_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op4_packing, op6_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op4_packing, op6_token_files, op8_near_dedup)}
 ORACLES: dict[str, str] = {}
