@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import decontaminate, topk
 from tickloom.llm.decontaminate import op10_decontaminate
+from tickloom.llm.html_text import op7_html_text
 from tickloom.llm.near_dedup import op8_near_dedup
 from tickloom.llm.packing import op4_packing
 from tickloom.llm.secrets import op3_secret_scan
@@ -16,5 +17,5 @@ from tickloom.llm.suffix_dedup import op1_suffix_dedup
 from tickloom.llm.token_files import op6_token_files
 from tickloom.llm.topk import op5_topk
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_secret_scan, op4_packing, op5_topk, op6_token_files, op8_near_dedup, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_secret_scan, op4_packing, op5_topk, op6_token_files, op7_html_text, op8_near_dedup, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op5_topk": topk.SQL, "op10_decontaminate": decontaminate.SQL}
