@@ -69,7 +69,8 @@ def store(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -
     texts = docs.select(F.col(text).cast("string").alias("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // block_bytes))
-    n_parts = max(1, -(-n_blocks // 2))
+    # Fewer partitions than Spark's own number would be dealt anew in every pass.
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // 2))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,8 +89,14 @@ def store(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -
             for rows in np.split(order, cuts):
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block[rows[0]]], pa.int32()), "payload": pa.array([pack(whole.take(pa.array(rows)))], pa.binary())})
 
-    dealt = texts.mapInArrow(deal, "block int, payload binary").repartition(n_parts, "block")
-    return Store(dealt.checkpoint(), n_parts, n_bytes)
+    # Planned without adaptive execution, a checkpoint keeps its hash partitioning.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = texts.mapInArrow(deal, "block int, payload binary").repartition(n_parts, "block").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return Store(dealt, n_parts, n_bytes)
 
 
 @dataclass

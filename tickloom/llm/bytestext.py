@@ -80,7 +80,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `size` bytes; a longer row stands alone."""
     first = 0
     while first < len(offsets) - 1:
