@@ -91,35 +91,63 @@ class Index:
                 yield r, self.ids[k], n, shared
 
 
-def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item that it holds: the ids, n_shingles, n_shared, containment."""
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _parts(items: DataFrame, item_id: str, item_text: str, words: int) -> Iterator[Index]:
+    """Indexes of parts of the items, each of about half of PART_BYTES; one where there are no items."""
     items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, -(-2 * n_bytes // PART_BYTES))
-    found = None
     for k in range(n_parts):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_parts)) == k).collect()  # about PART_BYTES / 2
-        index = Index([r.id for r in part], [r.text for r in part], words)
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_parts)) == k).collect()
+        yield Index([r.id for r in part], [r.text for r in part], words)
+
+
+def _search(column: pa.Array, index: Index, percent: int) -> list[tuple[int, int | None, int, int]]:
+    data, offsets = utf8(column)
+    rows = []
+    for first, last in slices(offsets):
+        own = data[offsets[first] : offsets[last]]
+        rows += [(first + r, *x) for r, *x in index.search(own, offsets[first : last + 1] - offsets[first], percent)]
+    return rows
+
+
+def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document and item that it holds: the ids, n_shingles, n_shared, containment."""
+    table = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-        def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    def pairs(index: Index) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = utf8(batch.column(1))
-                rows = []
-                for first, last in slices(offsets):
-                    own = data[offsets[first] : offsets[last]]
-                    rows += [(first + r, *x) for r, *x in index.search(own, offsets[first : last + 1] - offsets[first], percent)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                columns = list(zip(*_search(batch.column(1), index, percent), strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])],
                     names=["doc_id", "item_id", "n_shingles", "n_shared"],
                 )
 
-        own = docs.mapInArrow(search, FOUND)
-        found = own if found is None else found.unionByName(own)
+        return table.mapInArrow(search, FOUND)
+
+    found = None
+    for index in _parts(items, item_id, item_text, words):
+        found = pairs(index) if found is None else found.unionByName(pairs(index))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
+def without_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that hold no item; nothing is shuffled."""
+
+    def free(table: DataFrame, index: Index) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = {r for r, *_ in _search(batch.column(at).cast(pa.string()), index, percent)}
+                yield batch.take(pa.array([r for r in range(batch.num_rows) if r not in held], pa.int64()))
+
+        return table.mapInArrow(keep, table.schema)
+
+    at = docs.columns.index(text)
+    for index in _parts(items, item_id, item_text, words):
+        docs = free(docs, index)
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contained_items(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
 

@@ -13,7 +13,8 @@
 
 Training documents have a language and an id whose CRC-32, as text, leaves another remainder
 than `fold` by `folds`; null ids are never learned from and never held out. Null texts
-and texts without letters are `und` with score 0, as is everything if nothing was learned.
+and texts without letters are `und` with score 0 and rejected. If nothing was learned, all
+texts are `und` with score 0, and those with letters are not rejected.
 Ties go to the language that sorts first. Repeated rows get the same answer each.
 """
 
@@ -185,10 +186,13 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", slack: fl
             n = batch.num_rows
             names, scores, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
             column = batch.column(batch.num_columns - 1)
-            for r, own in _texts(column) if model is not None else ():
+            for r, own in _texts(column):
                 # Marks beyond ASCII may be signs; only then is the text itself searched.
                 if not (own != 0x20).any() or not (((own >= 97) & (own <= 122)).any() or has_letter(column[r].as_py())):
                     continue
+                if model is None:
+                    rejected[r] = False
+                    continue
                 best, scores[r] = model.predict(*columns_of(own))
                 names[r] = model.languages[best]
                 rejected[r] = scores[r] < slack * model.least[best]

@@ -188,9 +188,8 @@ def _branch(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return nodes, stars
 
 
-def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, trees: int = 16) -> DataFrame:
-    """One row per document: the id, n_shingles, component_id and kept."""
-    spark = docs.sparkSession
+def classes(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80, trees: int = 16) -> DataFrame:
+    """For each distinct text: `key`, its digest, n_shingles, and `root`, equal for texts that links connect."""
     texts = blocks.store(docs, text)
     n_texts = max(1.0, texts.n_bytes / 1000)
     b1 = blocks.buckets(n_texts * trees)
@@ -253,7 +252,12 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     linked = components(ordered.mapInArrow(lambda batches: _by_group(batches, 3, _compare_sets(percent)), EDGES))
 
     labels = sets.select("id", "n_shingles").join(linked, "id", "left")
-    labels = labels.select(F.expr("substring(id, 5)").alias("key"), "n_shingles", F.coalesce("root", "id").alias("root"))
+    return labels.select(F.expr("substring(id, 5)").alias("key"), "n_shingles", F.coalesce("root", "id").alias("root"))
+
+
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, trees: int = 16) -> DataFrame:
+    """One row per document: the id, n_shingles, component_id and kept."""
+    labels = classes(docs, text, words, percent, trees)
     rows = docs.select(F.col(id_column).alias("doc_id"), blocks.digest(text).alias("key")).join(labels, "key").drop("key").checkpoint()
     firsts = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
     own = F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id"))
@@ -261,5 +265,22 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, trees: int = 16) -> DataFrame:
+    """The documents, of each group of near copies the one with the least id.
+
+    Rows with neither words nor links all stay, but of rows alike in id and text one does.
+    """
+    labels = classes(docs, text, words, percent, trees)
+    rows = docs.select(F.col(id_column).alias("__id"), blocks.digest(text).alias("key")).join(labels, "key")
+    # Rows without shingles are groups of their own.
+    group = F.when(F.col("n_shingles") > 0, F.struct("root", F.lit(None).cast(docs.schema[id_column].dataType).alias("own")))
+    group = group.otherwise(F.struct("root", F.col("__id").alias("own")))
+    first = F.min(F.struct(F.col("__id").isNull().alias("without"), F.col("__id").alias("id"), F.col("key").alias("key")))
+    firsts = rows.groupBy(group.alias("g")).agg(first.alias("f")).select(F.col("f.id").alias("__id"), F.col("f.key").alias("__key"))
+    own = docs.withColumn("__digest", blocks.digest(text))
+    found = own.join(firsts, own[id_column].eqNullSafe(firsts["__id"]) & (own["__digest"] == firsts["__key"]), "left_semi")
+    return found.dropDuplicates([id_column, "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{folder}/documents.parquet"), words=4)
