@@ -44,7 +44,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
         return np.zeros(len(counts), np.int64)
     scaled = np.maximum((counts * (target / total)).astype(np.int64), (counts > 0).astype(np.int64))
     excess = int(scaled.sum()) - target
-    order = np.argsort(-scaled, kind="stable")
+    order = np.argsort(-scaled, kind="stable")[: int((counts > 0).sum())]
     while excess:
         if excess < 0:
             scaled[order[0]] -= excess
