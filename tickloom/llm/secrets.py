@@ -117,8 +117,9 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """One row per document: the id, counts of the base rules, base_sha256 and all spans."""
     scanned = scan(docs, ledger, rules, text).drop("text")
     spans = _all_spans(rules)
-    base = F.filter(spans, lambda s: s["kind"] < len(BASE))
-    counts = [F.size(f"`{r.key}`").cast("long").alias(f"n_{r.name}") for r in BASE]
+    names = [r.name for r in BASE]
+    base = F.filter(spans, lambda s: s["kind"].isin([k for k, r in enumerate(rules) if r.name in names]))
+    counts = [F.size(f"`{r.key}`").cast("long").alias(f"n_{r.name}") for r in rules if r.name in names]
     found = scanned.select("blob", *counts, F.sha2(_written(base, rules).cast("binary"), 256).alias("base_sha256"), _written(spans, rules).alias("spans"))
     return docs.select(F.col(id_column), blob_of(text).alias("blob")).join(found, "blob").drop("blob")
 
