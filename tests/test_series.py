@@ -71,6 +71,26 @@ def test_exponential_average_starts_at_its_seed(bars, walk, sorted_rows):
     np.testing.assert_allclose(got["a"], want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("chunk", [3, 10, 33, 100_000])
+def test_exponential_average_carries_over_gaps(spark, sorted_rows, chunk):
+    rng = np.random.default_rng(3)
+    parts = []
+    for symbol, share in (("FEW", 0.9), ("HALF", 0.5), ("SOME", 0.1), ("NONE", 1.0)):
+        x = rng.normal(100, 5, 400)
+        x[rng.random(400) < share] = np.nan
+        x[60:160] = np.nan
+        parts.append(pd.DataFrame({"symbol": symbol, "ts": pd.date_range("2022-01-01", periods=400), "rn": range(400), "n_rows": 400, "x": x}))
+    pdf = pd.concat(parts, ignore_index=True)
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    specs = {"a": Ewm.span("x", 3), "b": Ewm("x", 0.01, 5), "c": Ewm.wilder("x", 14), "d": Ewm("x", 1.0), "e": Ewm("x", 0.9, 2, seed=50)}
+    got = sorted_rows(series.ewm(df, specs, chunk_rows=chunk))
+    pdf = pdf.sort_values(["symbol", "ts"], ignore_index=True)
+    later = pdf["x"].where(pdf["rn"] >= 50)
+    for name, alpha, least, x in (("a", 0.5, 3, pdf["x"]), ("b", 0.01, 5, pdf["x"]), ("c", 1 / 14, 14, pdf["x"]), ("d", 1.0, 1, pdf["x"]), ("e", 0.9, 2, later)):
+        want = x.groupby(pdf["symbol"]).transform(lambda v: v.ewm(alpha=alpha, adjust=False, min_periods=least).mean())  # noqa: B023
+        np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-11, err_msg=name)
+
+
 def test_average_of_a_long_flat_stretch_keeps_decaying(spark):
     n = 4000
     pdf = pd.DataFrame({"symbol": "X", "rn": range(n), "n_rows": n, "x": [1.0] + [0.0] * (n - 1)})

@@ -179,10 +179,14 @@ def running(
 
 @dataclass(frozen=True)
 class Ewm:
-    """One exponential average: y = (1-alpha)*y + alpha*x, starting at x itself.
-
-    `seed` names the row number of the first value: a constant, or a column
-    equal to it on every row of the key. Values must be present from there on.
+    """One exponential average, starting at its first value x itself.
+
+    A value that follows the last one by g rows enters as
+    y = (q^g * y + alpha * x) / (q^g + alpha) with q = 1-alpha, which is
+    q * y + alpha * x where no row lacks a value. Rows without a value carry
+    the average on. `seed` names the row number from which values count: a
+    constant, or a column equal to it on every row of the key. `min_periods`
+    counts values.
     """
 
     value: str | Column
@@ -202,6 +206,57 @@ class Ewm:
 # exp(-745) is the smallest double above zero; exp(500) leaves room to multiply.
 _VANISH = 745.0
 _SCALE = 500.0
+_SEGMENT = 250.0
+
+
+def _decay(gap: Column, alpha: float) -> Column:
+    """-log of the weight that the old average keeps when a value follows after `gap` rows."""
+    steps = gap * -math.log1p(-alpha)
+    return F.log1p(F.lit(alpha) * F.exp(F.when(steps > _VANISH - 45, _VANISH - 45).otherwise(steps)))
+
+
+def _end_states(summaries: DataFrame, specs: Sequence[Ewm], keys: Sequence[str]) -> DataFrame:
+    """For each chunk: the average and the number of values before it, and its first value's decay.
+
+    A chunk maps the average before it to the one after it by a factor exp(-D)
+    and a summand. The recursion over chunks is a sum of summands times powers
+    of e; powers are taken within segments of the running decay, so that none
+    overflows, and segments more than three back have vanished.
+    """
+    order = Window.partitionBy(*keys).orderBy("__chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    first: dict[str, Column] = {}
+    for i, s in enumerate(specs):
+        last = F.last(f"__rl{i}", ignorenulls=True).over(before)
+        first[f"__n{i}"] = F.coalesce(F.sum(f"__m{i}").over(before), F.lit(0))
+        if s.alpha < 1:
+            first[f"__d{i}"] = F.when(F.col(f"__m{i}") > 0, _decay(F.col(f"__rf{i}") - last, s.alpha))
+        else:
+            first[f"__c{i}"] = F.last(f"__xl{i}", ignorenulls=True).over(before)
+    out = summaries.withColumns(first)
+    partial = [i for i, s in enumerate(specs) if s.alpha < 1]
+    if not partial:
+        return out
+    out = out.withColumns({f"__total{i}": F.sum(F.coalesce(F.col(f"__L{i}"), F.lit(0.0)) + F.coalesce(F.col(f"__d{i}"), F.lit(0.0))).over(upto) for i in partial})
+    # The first chunk with values takes its first value whole.
+    share = {i: F.lit(1.0) - F.when(F.col(f"__d{i}").isNull(), F.lit(0.0)).otherwise(F.exp(-F.col(f"__d{i}"))) for i in partial}
+    out = out.withColumns({f"__s{i}": F.floor(F.col(f"__total{i}") / _SEGMENT) for i in partial})
+    term = {i: F.when(F.col(f"__m{i}") > 0, F.exp(-F.col(f"__L{i}")) * (share[i] * F.col(f"__xf{i}") + F.col(f"__V{i}"))) for i in partial}
+    out = out.withColumns({f"__t{i}": term[i] * F.exp(F.col(f"__total{i}") - F.col(f"__s{i}") * _SEGMENT) for i in partial})
+    ends = {}
+    for i in partial:
+        own = Window.partitionBy(*keys, f"__s{i}").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
+        by_segment = Window.partitionBy(*keys).orderBy(f"__s{i}")
+        total = F.coalesce(F.sum(f"__t{i}").over(own), F.lit(0.0))
+        for back in (1, 2):
+            earlier = F.sum(f"__t{i}").over(by_segment.rangeBetween(-back, -back))
+            total = total + F.coalesce(earlier, F.lit(0.0)) * math.exp(-back * _SEGMENT)
+        # A term of up to e^250 from three segments back is no longer above zero after them.
+        third = F.sum(f"__t{i}").over(by_segment.rangeBetween(-3, -3))
+        total = total + F.coalesce(third, F.lit(0.0)) * math.exp(-2 * _SEGMENT) * F.lit(math.exp(-_SEGMENT))
+        ends[f"__e{i}"] = F.when(F.col(f"__n{i}") + F.col(f"__m{i}") > 0, total * F.exp(F.col(f"__s{i}") * _SEGMENT - F.col(f"__total{i}")))
+    return out.withColumns(ends).withColumns({f"__c{i}": F.lag(f"__e{i}").over(order) for i in partial})
 
 
 def ewm(
@@ -213,59 +268,56 @@ def ewm(
 ) -> DataFrame:
     """Exponential averages of an indexed series without a sequential pass.
 
-    Inside a chunk, with q = 1-alpha and k the row's place in the chunk, the
-    average is q^k * sum(b_j * q^-j): a plain running sum. The chunk length
-    keeps q^-j finite. Earlier chunks enter as q^(k+1) * carry, where carry is
-    the sum of their end values times powers of q; chunks so far back that the
-    power is zero in double arithmetic are left out, so only a handful count.
+    With e_j the decay at value j and L its running sum inside a chunk, the
+    average is exp(-L) * (first + sum of (1 - exp(-e_j)) * x_j * exp(L_j)): plain
+    running sums. L grows by at most -log(q) a row, and the chunk length keeps
+    exp(L) finite. Only a chunk's first value depends on earlier chunks; one row
+    per chunk carries the average across (`_end_states`).
     """
-    decays = {n: -math.log1p(-s.alpha) for n, s in specs.items() if s.alpha < 1}
-    size = min([chunk_rows, *(max(2, int(_SCALE / d)) for d in decays.values())])
-    reach = max([1, *(math.ceil(_VANISH / (size * d)) for d in decays.values())])
+    decays = [-math.log1p(-s.alpha) for s in specs.values() if s.alpha < 1]
+    size = min([chunk_rows, *(max(2, int(_SCALE / d)) for d in decays)])
+    chunked = once(df).withColumn("__chunk", F.expr(f"`{rn}` div {size}"))
+    w = Window.partitionBy(*keys, "__chunk").orderBy(rn)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
 
-    chunked = once(df).withColumn("__chunk", F.expr(f"`{rn}` div {size}")).withColumn("__k", F.col(rn) % size)
+    values, places, decayed, sums, summary = {}, {}, {}, {}, []
     for i, s in enumerate(specs.values()):
         seed = F.lit(s.seed) if isinstance(s.seed, int) else F.col(s.seed)
-        x = col(s.value)
-        b = F.when(F.col(rn) == seed, x).when(F.col(rn) > seed, x * s.alpha)
-        chunked = chunked.withColumn(f"__b{i}", b)
-
-    ends, shifted = [], []
-    for i, s in enumerate(specs.values()):
-        q = 1.0 - s.alpha
-        ends.append(F.sum(F.col(f"__b{i}") * F.pow(F.lit(q), F.lit(size - 1) - F.col("__k"))).alias(f"__e{i}"))
-        back = F.pow(F.lit(q), F.lit(float(size)) * (F.col("__m") - 1))
-        shifted.append(F.sum(F.col(f"__e{i}") * back).alias(f"__c{i}"))
-    carried = (
-        chunked.groupBy(*keys, "__chunk")
-        .agg(*ends)
-        .withColumn("__m", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-        .groupBy(*keys, (F.col("__chunk") + F.col("__m")).alias("__chunk"))
-        .agg(*shifted)
-    )
+        x, row = F.col(f"__x{i}"), F.when(F.col(f"__x{i}").isNotNull(), F.col(rn))
+        values[f"__x{i}"] = F.when(F.col(rn) >= seed, col(s.value).cast("double"))
+        places |= {f"__m{i}": F.count(x).over(upto)}
+        summary += [F.max(f"__m{i}").alias(f"__m{i}"), F.min(row).alias(f"__rf{i}"), F.max(row).alias(f"__rl{i}")]
+        if s.alpha < 1:
+            places[f"__e{i}"] = F.when(x.isNotNull(), F.coalesce(_decay(F.col(rn) - F.last(row, ignorenulls=True).over(before), s.alpha), F.lit(0.0)))
+            places[f"__xf{i}"] = F.first(x, ignorenulls=True).over(upto)
+            decayed[f"__L{i}"] = F.coalesce(F.sum(f"__e{i}").over(upto), F.lit(0.0))
+            enters = (F.lit(1.0) - F.exp(-F.col(f"__e{i}"))) * x * F.exp(F.col(f"__L{i}"))
+            sums[f"__V{i}"] = F.coalesce(F.sum(enters).over(upto), F.lit(0.0))
+            # Sums of a chunk are those of its last row.
+            summary += [F.max_by(c, rn).alias(c) for c in (f"__xf{i}", f"__L{i}", f"__V{i}")]
+        else:
+            places[f"__xl{i}"] = F.last(x, ignorenulls=True).over(upto)
+            summary.append(F.max_by(f"__xl{i}", rn).alias(f"__xl{i}"))
+    rows = chunked.withColumns(values).withColumns(places)
+    for columns in (decayed, sums):
+        rows = rows.withColumns(columns) if columns else rows
+    ends = _end_states(rows.groupBy(*keys, "__chunk").agg(*summary), list(specs.values()), keys)
+    carried = [c for i, s in enumerate(specs.values()) for c in (f"__n{i}", f"__c{i}", *([f"__d{i}"] if s.alpha < 1 else []))]
+    out = rows.join(ends.select(*keys, "__chunk", *carried), [*keys, "__chunk"])
 
-    w = Window.partitionBy(*keys, "__chunk").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
-    local = {
-        f"__l{i}": F.sum(F.col(f"__b{i}") * F.pow(F.lit(1.0 - s.alpha), -F.col("__k"))).over(w)
-        for i, s in enumerate(specs.values())
-        if s.alpha < 1
-    }
-    out = chunked.withColumns(local) if local else chunked
-    out = out.join(carried, [*keys, "__chunk"], "left")
     final = {}
     for i, (name, s) in enumerate(specs.items()):
-        seed = F.lit(s.seed) if isinstance(s.seed, int) else F.col(s.seed)
+        old = F.col(f"__c{i}")
         if s.alpha < 1:
-            q = F.lit(1.0 - s.alpha)
-            y = F.pow(q, F.col("__k")) * (
-                F.coalesce(F.col(f"__l{i}"), F.lit(0.0)) + q * F.coalesce(F.col(f"__c{i}"), F.lit(0.0))
-            )
+            kept = F.exp(-F.col(f"__d{i}"))
+            start = F.when(F.col(f"__d{i}").isNull(), F.col(f"__xf{i}")).otherwise(kept * old + (F.lit(1.0) - kept) * F.col(f"__xf{i}"))
+            y = F.when(F.col(f"__m{i}") == 0, old).otherwise(F.exp(-F.col(f"__L{i}")) * (start + F.col(f"__V{i}")))
         else:
-            y = F.col(f"__b{i}")
-        final[name] = F.when(F.col(rn) - seed >= s.min_periods - 1, y)
+            y = F.coalesce(F.col(f"__xl{i}"), old)
+        final[name] = F.when(F.col(f"__n{i}") + F.col(f"__m{i}") >= s.min_periods, y)
     out = out.withColumns(final)
-    scratch = [f"__{p}{i}" for i in range(len(specs)) for p in "blc"]
-    return out.drop("__chunk", "__k", *scratch)
+    scratch = [f"__{p}{i}" for i in range(len(specs)) for p in ("x", "m", "e", "xf", "L", "V", "xl", "n", "c", "d")]
+    return out.drop("__chunk", *scratch)
 
 
 def first_rows(
