@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.catalog.base import bars, indexed, query, r, rs, with_bars
+from tickloom.catalog.base import BARS, bars, indexed, query, r, rs, with_bars
 from tickloom.functions.columns import rounded
+from tickloom.operators import clean
 from tickloom.operators import features as ft
 from tickloom.operators import indicators as ind
 from tickloom.operators import labels as lab
@@ -30,6 +31,21 @@ def ewm_cte(name: str, source: str, values: dict[str, tuple[str, float]]) -> str
     )
 
 
+def gap_ewm_cte(name: str, source: str, values: dict[str, tuple[str, float]]) -> str:
+    """`ewm_cte` for columns with gaps: {out}_w is the weight the old average still has."""
+    outs, first, nxt = [], [], []
+    for o, (x, a) in values.items():
+        old = f"({1 - a!r} * e.{o}_w)"
+        outs += [o, f"{o}_w"]
+        first += [f"{x}::DOUBLE", "1.0::DOUBLE"]
+        nxt.append(f"CASE WHEN e.{o} IS NULL THEN s.{x} WHEN s.{x} IS NULL THEN e.{o} ELSE ({old} * e.{o} + {a!r} * s.{x}) / ({old} + {a!r}) END")
+        nxt.append(f"CASE WHEN s.{x} IS NULL THEN {old} ELSE 1.0 END")
+    return (
+        f"{name}(symbol, rn, {', '.join(outs)}) AS (SELECT symbol, rn, {', '.join(first)} FROM {source} WHERE rn = 0 UNION ALL "
+        f"SELECT s.symbol, s.rn, {', '.join(nxt)} FROM {name} e JOIN {source} s ON s.symbol = e.symbol AND s.rn = e.rn + 1)"
+    )
+
+
 def span(n: int) -> float:
     return 2.0 / (n + 1)
 
@@ -85,10 +101,11 @@ _TR = f"CASE WHEN {lag('close')} IS NOT NULL THEN greatest(high - low, abs(high
     with_bars("brand", True)
     + f", d AS MATERIALIZED (SELECT symbol, ts, rn, close, {_TR} AS tr FROM ix), {ewm_cte('e', 'd', {'y': ('tr', 1 / 14)})}, "
     + "o AS (SELECT symbol, ts, close, CASE WHEN rn >= 14 THEN y END AS atr FROM d JOIN e USING (symbol, rn)) "
-    + f"SELECT symbol, ts, {r('atr', 'atr_length14')}, {r('coalesce(atr / nullif(close, 0), 0.0)', 'ATRr_14')} FROM o"
+    + f"SELECT symbol, ts, {r('atr', 'atr_length14', 4)}, {r('coalesce(atr / nullif(close, 0), 0.0)', 'ATRr_14', 4)} FROM o"
 )
 def average_true_range(spark: SparkSession, folder: str) -> DataFrame:
-    return _out(ind.atr(indexed(spark, folder), 14, ratio=True), "atr_length14", "ATRr_14")
+    df = ind.atr(indexed(spark, folder), 14, ratio=True)
+    return rounded(df.select("symbol", "ts", "atr_length14", "ATRr_14"), 4)
 
 
 _MOVE = f"coalesce(close - {lag('close')}, 0.0)"
@@ -104,6 +121,60 @@ def relative_strength(spark: SparkSession, folder: str) -> DataFrame:
     return _out(ind.rsi(indexed(spark, folder), 14), "rsi_length14")
 
 
+# Hourly bars in steps of half an hour: every second bar, and every idle hour, is empty.
+_GAPPY = (
+    f"WITH RECURSIVE bars AS MATERIALIZED ({BARS['event']}), "
+    "spans AS (SELECT symbol, min(ts) AS lo, max(ts) AS hi FROM bars GROUP BY symbol), "
+    "bins AS (SELECT symbol, unnest(generate_series(lo, hi, INTERVAL 30 MINUTES)) AS ts FROM spans), "
+    "ix AS MATERIALIZED (SELECT symbol, ts, open, high, low, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn "
+    "FROM bins LEFT JOIN bars USING (symbol, ts))"
+)
+
+
+def _gappy(spark: SparkSession, folder: str) -> DataFrame:
+    return clean.resample(bars(spark, folder, "event"), "30 minutes")
+
+
+def seen(column: str, n: int) -> str:
+    return f"count({column}) OVER (PARTITION BY symbol ORDER BY rn) >= {n}"
+
+
+@query(
+    _GAPPY
+    + f", {gap_ewm_cte('e', 'ix', {'y': ('close', span(12))})}, o AS (SELECT symbol, ts, CASE WHEN {seen('close', 12)} THEN y END AS y FROM ix JOIN e USING (symbol, rn)) "
+    + f"SELECT symbol, ts, {r('y', 'ema_length12')} FROM o"
+)
+def ema_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return _out(ind.ema(_gappy(spark, folder), 12), "ema_length12")
+
+
+@query(
+    _GAPPY
+    + f", d AS MATERIALIZED (SELECT symbol, ts, rn, close, {_TR} AS tr FROM ix), {gap_ewm_cte('e', 'd', {'y': ('tr', 1 / 14)})}, "
+    + f"o AS (SELECT symbol, ts, close, CASE WHEN {seen('tr', 14)} THEN y END AS atr FROM d JOIN e USING (symbol, rn)) "
+    + f"SELECT symbol, ts, {r('atr', 'atr_length14')}, {r('coalesce(atr / nullif(close, 0), 0.0)', 'ATRr_14')} FROM o"
+)
+def atr_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return _out(ind.atr(_gappy(spark, folder), 14, ratio=True), "atr_length14", "ATRr_14")
+
+
+@query(
+    _GAPPY
+    + f", {gap_ewm_cte('e', 'ix', {'f': ('close', span(12)), 's': ('close', span(26))})}"
+    + f", m AS MATERIALIZED (SELECT symbol, ts, rn, CASE WHEN {seen('close', 26)} THEN f - s END AS line FROM ix JOIN e USING (symbol, rn)), "
+    + f"{gap_ewm_cte('g', 'm', {'sig': ('line', span(9))})}, "
+    + f"o AS (SELECT symbol, ts, line, CASE WHEN {seen('line', 9)} THEN sig END AS sig FROM m JOIN g USING (symbol, rn)) "
+    + f"SELECT symbol, ts, {r('line', 'macd')}, {r('sig', 'signal')}, {r('line - sig', 'histogram')} FROM o"
+)
+def macd_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    df = ind.macd(_gappy(spark, folder))
+    return rounded(
+        df.select(
+            "symbol", "ts", F.col("MACD_12_26").alias("macd"), F.col("MACDs_9").alias("signal"), F.col("MACDh_12_26_9").alias("histogram")
+        )
+    )
+
+
 @query(
     with_bars("brand", True)
     + ", "
