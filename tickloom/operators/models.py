@@ -8,6 +8,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -62,36 +63,85 @@ def _take(params: Mapping, names: Mapping[str, str], defaults: Mapping) -> dict:
     return {**defaults, **{names[k]: v for k, v in params.items()}}
 
 
-@register_model("random_forest")
-def random_forest(params: Mapping, n_classes: int, n_features: int, n_rows: int) -> Estimator:
-    names = {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy", "random_state": "seed"}
-    args = _take(params, names, {"numTrees": 200, "maxDepth": 10, "seed": SEED})
-    return RandomForestClassifier(labelCol=LABEL, featuresCol=FEATURES, weightCol=WEIGHT, **args)
+# Spark grows trees to this depth at most; a depth of None or below 0 means no limit of one's own.
+DEEPEST = 30
+
+
+def _weighted(params: dict, default: str | None) -> dict:
+    """`class_weight` balanced or None; balanced_subsample has the same weights for all trees."""
+    kind = params.pop("class_weight", default)
+    if kind not in (None, "balanced", "balanced_subsample"):
+        raise ValueError(f"unknown class_weight {kind!r}")
+    return {"weightCol": WEIGHT} if kind else {}
 
 
-@register_model("gradient_boosting", "xgboost", "lightgbm", "catboost")
-def gradient_boosting(params: Mapping, n_classes: int, n_features: int, n_rows: int) -> Estimator:
-    names = {"n_estimators": "maxIter", "iterations": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth", "depth": "maxDepth", "subsample": "subsamplingRate", "random_state": "seed"}
-    args = _take(params, names, {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": SEED})
-    trees = GBTClassifier(labelCol=LABEL, featuresCol=FEATURES, **args)
-    return trees if n_classes <= 2 else OneVsRest(classifier=trees, labelCol=LABEL, featuresCol=FEATURES)
+def _depth(params: dict, name: str = "max_depth") -> dict:
+    if name in params and (params[name] is None or params[name] < 0):
+        params[name] = DEEPEST
+    return params
+
+
+@register_model("random_forest")
+def random_forest(params: Mapping, n_classes: int, n_features: int, n_rows: int) -> Estimator:
+    params = _depth({"max_depth": None, **params})
+    weights = _weighted(params, "balanced")
+    if "max_features" in params:
+        params["max_features"] = "all" if params["max_features"] is None else str(params["max_features"])
+    names = {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy", "bootstrap": "bootstrap", "random_state": "seed"}
+    args = _take(params, names, {"numTrees": 200, "featureSubsetStrategy": "sqrt", "seed": SEED})
+    return RandomForestClassifier(labelCol=LABEL, featuresCol=FEATURES, **weights, **args)
+
+
+def _boosted(defaults: Mapping) -> Factory:
+    names = {
+        "n_estimators": "maxIter", "iterations": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth", "depth": "maxDepth", "subsample": "subsamplingRate",
+        "colsample_bytree": "featureSubsetStrategy", "max_features": "featureSubsetStrategy", "min_samples_leaf": "minInstancesPerNode", "min_child_samples": "minInstancesPerNode",
+        "gamma": "minInfoGain", "random_state": "seed", "random_seed": "seed",
+    }
+
+    def build(params: Mapping, n_classes: int, n_features: int, n_rows: int) -> Estimator:
+        params = {**defaults, **params}
+        leaves = params.pop("num_leaves", None)
+        if leaves and params.get("max_depth", -1) in (None, -1):
+            # The shallowest trees with room for as many leaves.
+            params["max_depth"] = max(1, math.ceil(math.log2(leaves)))
+        params = _depth(_depth(params), "depth")
+        for c in ("colsample_bytree", "max_features"):
+            if c in params:
+                params[c] = "all" if params[c] in (None, 1, 1.0) else str(params[c])
+        trees = GBTClassifier(labelCol=LABEL, featuresCol=FEATURES, **_take(params, names, {"seed": SEED}))
+        return trees if n_classes <= 2 else OneVsRest(classifier=trees, labelCol=LABEL, featuresCol=FEATURES)
+
+    return build
+
+
+# Default settings of the boosting names.
+register_model("gradient_boosting")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}))
+register_model("xgboost")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "subsample": 0.8, "colsample_bytree": 0.8}))
+register_model("lightgbm")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "max_depth": -1, "subsample": 0.8, "colsample_bytree": 0.8}))
+register_model("catboost")(_boosted({"iterations": 100, "learning_rate": 0.1, "depth": 6}))
 
 
 @register_model("logistic_regression")
 def logistic_regression(params: Mapping, n_classes: int, n_features: int, n_rows: int) -> Estimator:
+    """`C` weighs the sum of all rows' losses against the penalty; Spark takes their mean."""
     params = dict(params)
-    c = params.pop("C", 1.0)
-    mixing = {"l2": 0.0, "l1": 1.0, "none": 0.0}[params.pop("penalty", "l2") or "none"]
-    args = _take(params, {"max_iter": "maxIter", "l1_ratio": "elasticNetParam"}, {"maxIter": 100, "elasticNetParam": mixing})
-    return LogisticRegression(labelCol=LABEL, featuresCol=FEATURES, weightCol=WEIGHT, regParam=1.0 / (c * max(n_rows, 1)), standardization=False, **args)
+    weights = _weighted(params, None)
+    c, penalty = params.pop("C", 1.0), params.pop("penalty", "l2") or "none"
+    strength = 0.0 if penalty == "none" else 1.0 / (c * max(n_rows, 1))
+    mixing = {"l2": 0.0, "l1": 1.0, "none": 0.0, "elasticnet": 0.5}[penalty]
+    args = _take(params, {"max_iter": "maxIter", "l1_ratio": "elasticNetParam", "tol": "tol"}, {"maxIter": 1000, "elasticNetParam": mixing})
+    return LogisticRegression(labelCol=LABEL, featuresCol=FEATURES, regParam=strength, standardization=False, **weights, **args)
 
 
 @register_model("neural_network")
 def neural_network(params: Mapping, n_classes: int, n_features: int, n_rows: int) -> Estimator:
+    """Sigmoid layers. A learning rate needs gradient descent; without one Spark's l-bfgs sets its own steps."""
     params = dict(params)
     hidden = list(params.pop("hidden_layers", (64, 32)))
-    args = _take(params, {"epochs": "maxIter", "learning_rate": "stepSize", "batch_size": "blockSize"}, {"maxIter": 100, "seed": SEED})
-    return MultilayerPerceptronClassifier(labelCol=LABEL, featuresCol=FEATURES, layers=[n_features, *hidden, n_classes], **args)
+    solver = {"solver": "gd"} if "learning_rate" in params else {}
+    args = _take(params, {"epochs": "maxIter", "learning_rate": "stepSize", "random_state": "seed"}, {"maxIter": 100, "seed": SEED})
+    return MultilayerPerceptronClassifier(labelCol=LABEL, featuresCol=FEATURES, layers=[n_features, *hidden, n_classes], **solver, **args)
 
 
 def balanced_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -177,7 +227,7 @@ class TrainSpec:
     params: Mapping = field(default_factory=dict)
     scaling: str | None = "standard"
     selection: str | None = None
-    n_features: int | None = None
+    n_features: int | None = 30
     top_after: int | None = None
     tuning: str | None = None
     search: Mapping = field(default_factory=dict)
@@ -196,8 +246,11 @@ def fit_model(df: DataFrame, label: str, features: Sequence[str], spec: TrainSpe
     labeled, classes = indexed_label(prep.transform(df, keep=[label]), label, LABEL)
     selected = prep.outputs
     if spec.top_after:
-        quick = RandomForestClassifier(numTrees=50, maxDepth=6, seed=SEED, labelCol=LABEL, featuresCol=FEATURES)
-        found = quick.fit(assemble(labeled, selected)).featureImportances.toArray()
+        # A first model of the same kind ranks the prepared features.
+        probe = assemble(balanced_weights(labeled), selected)
+        found = _own_importances(create_model(spec.model, spec.params, len(classes), len(selected), probe.count()).fit(probe))
+        if found is None:
+            raise ValueError(f"{spec.model} has no importances to choose features by")
         ranked = sorted(zip(selected, found), key=lambda kv: (-kv[1], kv[0]))
         selected = [c for c, _ in ranked[: spec.top_after]]
     ready = cut(assemble(balanced_weights(labeled), selected).select(LABEL, WEIGHT, FEATURES))
@@ -216,8 +269,8 @@ def train(df: DataFrame, label: str, features: Sequence[str], spec: TrainSpec =
     return trained, model_report(trained, early, late, label)
 
 
-def model_report(trained: TrainedModel, early: DataFrame, late: DataFrame, label: str) -> DataFrame:
-    """Train and test figures under each other, one row per metric."""
+def model_report(trained: TrainedModel, early: DataFrame, late: DataFrame, label: str, top: int | None = 20) -> DataFrame:
+    """Train and test figures under each other, one row per metric, then the `top` importances (None: all)."""
     parts = None
     for name, df in (("train", early), ("test", late)):
         wide = evaluation.evaluate(trained.score(df), trained.classes, label, "prediction")
@@ -226,15 +279,40 @@ def model_report(trained: TrainedModel, early: DataFrame, late: DataFrame, label
         parts = tall if parts is None else parts.unionByName(tall)
     if importances(trained) is None:
         return parts
-    top = built_in_importance(trained).limit(20).select(F.lit("importance").alias("part"), F.col("feature").alias("metric"), F.col("importance").alias("value"))
-    return parts.unionByName(top)
+    ranked = built_in_importance(trained)
+    ranked = ranked if top is None else ranked.limit(top)
+    return parts.unionByName(ranked.select(F.lit("importance").alias("part"), F.col("feature").alias("metric"), F.col("importance").alias("value")))
 
 
+# Grids searched when none is given; settings without a counterpart in Spark are left out.
 DEFAULT_GRIDS: dict[str, dict[str, list]] = {
-    "random_forest": {"n_estimators": [50, 100], "max_depth": [5, 10]},
-    "gradient_boosting": {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
+    "random_forest": {
+        "n_estimators": [100, 200, 500],
+        "max_depth": [None, 10, 20, 30],
+        "min_samples_leaf": [1, 2, 4],
+        "max_features": ["sqrt", "log2", None],
+        "class_weight": ["balanced", None],
+    },
+    "xgboost": {
+        "n_estimators": [100, 200, 500],
+        "learning_rate": [0.01, 0.05, 0.1, 0.2],
+        "max_depth": [3, 5, 7, 9],
+        "subsample": [0.8, 0.9, 1.0],
+        "colsample_bytree": [0.8, 0.9, 1.0],
+        "gamma": [0, 0.1, 0.2],
+    },
+    "lightgbm": {
+        "n_estimators": [100, 200, 500],
+        "learning_rate": [0.01, 0.05, 0.1, 0.2],
+        "num_leaves": [31, 63, 127],
+        "max_depth": [-1, 5, 10, 15],
+        "subsample": [0.8, 0.9, 1.0],
+        "colsample_bytree": [0.8, 0.9, 1.0],
+    },
+    "catboost": {"iterations": [100, 200, 500], "learning_rate": [0.01, 0.05, 0.1, 0.2], "depth": [4, 6, 8, 10]},
     "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0]},
 }
+DEFAULT_GRIDS["gradient_boosting"] = {k: v for k, v in DEFAULT_GRIDS["xgboost"].items() if k in ("n_estimators", "learning_rate", "max_depth", "subsample")}
 
 
 def search_points(space: Mapping, method: str, n_iter: int = 20, seed: int = SEED) -> list[dict]:
@@ -247,23 +325,61 @@ def search_points(space: Mapping, method: str, n_iter: int = 20, seed: int = SEE
         names = sorted(space)
         return [dict(zip(names, values)) for values in product(*[space[n] for n in names])]
     rng = random.Random(seed)
+    return [{n: _draw(list(space[n]), rng) for n in sorted(space)} for _ in range(n_iter)]
+
+
+def _draw(entry: list, rng: random.Random):
+    kind = entry[0]
+    if kind == "categorical":
+        return rng.choice(entry[1])
+    if kind not in ("int", "float"):
+        return rng.choice(entry)
+    low, high, extra = entry[1], entry[2], entry[3] if len(entry) > 3 else None
+    if extra == "log":
+        value = math.exp(rng.uniform(math.log(low), math.log(high)))
+    elif extra:
+        value = low + extra * rng.randint(0, int((high - low) / extra))
+    else:
+        value = rng.uniform(low, high)
+    return int(round(value)) if kind == "int" else value
+
+
+def _density(entry: list, seen: list, value) -> float:
+    """How likely `value` is among the values seen, smoothed by the whole range."""
+    if entry[0] not in ("int", "float"):
+        choices = entry[1] if entry[0] == "categorical" else entry
+        return (1 + sum(v == value for v in seen)) / (len(choices) + len(seen))
+    scale = math.log if len(entry) > 3 and entry[3] == "log" else float
+    low, high = scale(entry[1]), scale(entry[2])
+    width = max((high - low) / max(1, len(seen)) ** 0.5, 1e-12)
+    kernel = sum(math.exp(-0.5 * ((scale(value) - scale(v)) / width) ** 2) for v in seen) / (width * 2.5066)
+    return (1 / max(high - low, 1e-12) + kernel) / (1 + len(seen))
+
+
+def next_point(space: Mapping, results: Sequence[tuple[dict, float]], rng: random.Random, candidates: int = 24) -> dict:
+    """The drawn point that is most like the best quarter of earlier points and least like the rest.
+
+    Values are drawn near those of good points half of the time, else from the whole space.
+    """
+    ranked = sorted(results, key=lambda r: -r[1])
+    good, rest = ranked[: max(1, len(ranked) // 4)], ranked[max(1, len(ranked) // 4) :]
 
-    def draw(entry):
-        kind = entry[0]
-        if kind == "categorical":
-            return rng.choice(entry[1])
-        if kind not in ("int", "float"):
-            return rng.choice(entry)
-        low, high, extra = entry[1], entry[2], entry[3] if len(entry) > 3 else None
-        if extra == "log":
-            value = math.exp(rng.uniform(math.log(low), math.log(high)))
-        elif extra:
-            value = low + extra * rng.randint(0, int((high - low) / extra))
-        else:
-            value = rng.uniform(low, high)
-        return int(round(value)) if kind == "int" else value
+    def near(name: str):
+        entry, value = list(space[name]), rng.choice(good)[0][name]
+        if entry[0] not in ("int", "float") or rng.random() < 0.5:
+            return value if rng.random() < 0.5 else _draw(entry, rng)
+        log = len(entry) > 3 and entry[3] == "log"
+        low, high = (math.log(entry[1]), math.log(entry[2])) if log else (entry[1], entry[2])
+        x = min(high, max(low, rng.gauss(math.log(value) if log else value, (high - low) / 8)))
+        x = math.exp(x) if log else x
+        if not log and len(entry) > 3 and entry[3]:
+            x = entry[1] + entry[3] * round((x - entry[1]) / entry[3])
+        return int(round(x)) if entry[0] == "int" else x
 
-    return [{n: draw(list(space[n])) for n in sorted(space)} for _ in range(n_iter)]
+    def gain(point: dict) -> float:
+        return sum(math.log(_density(list(space[n]), [p[n] for p, _ in good], v) / _density(list(space[n]), [p[n] for p, _ in rest], v)) for n, v in point.items())
+
+    return max(({n: near(n) for n in sorted(space)} for _ in range(candidates)), key=gain)
 
 
 def tune(
@@ -276,27 +392,44 @@ def tune(
     n_iter: int = 20,
     folds: int = 5,
     fixed: Mapping | None = None,
+    parallel: int = 4,
 ) -> tuple[dict, list[tuple[dict, float]]]:
-    """Best parameters by cross-validated weighted F1 (grid, random or bayesian)."""
+    """Best parameters by cross-validated weighted F1 (grid, random or bayesian).
+
+    A row's fold follows from its values, so it does not depend on partitions. Grid
+    and random points are fitted `parallel` at a time; the bayesian search chooses
+    each point from the results of the earlier ones.
+    """
     if method not in ("grid", "random", "bayesian"):
         raise ValueError(f"unknown tuning method {method!r}")
     if method == "grid":
-        base = "gradient_boosting" if name in ("xgboost", "lightgbm", "catboost") else name
-        space = space or DEFAULT_GRIDS.get(base, {})
-    points = search_points(space, method, n_iter)
-    folded = cut(ready.withColumn("__fold", F.pmod(F.xxhash64(F.lit(SEED), LABEL, F.monotonically_increasing_id()), F.lit(folds))))
-    rows = folded.count()
-    results = []
-    for point in points:
+        space = space or DEFAULT_GRIDS.get(name, {})
+    fold_of = F.pmod(F.xxhash64(F.lit(SEED), LABEL, vector_to_array(FEATURES)), F.lit(folds))
+    folded = cut(ready.withColumn("__fold", fold_of))
+    sizes = {r["__fold"]: r["count"] for r in folded.groupBy("__fold").count().collect()}
+    rows = sum(sizes.values())
+
+    def score(point: dict) -> float:
         total = 0.0
-        for fold in range(folds):
-            estimator = create_model(name, {**(fixed or {}), **point}, n_classes, n_features, rows)
+        for fold, size in sizes.items():
+            estimator = create_model(name, {**(fixed or {}), **point}, n_classes, n_features, rows - size)
             model = estimator.fit(folded.filter(F.col("__fold") != fold))
             scored = class_scores(model, folded.filter(F.col("__fold") == fold), n_classes)
             best = (F.array_position("__p", F.array_max("__p")) - 1).cast("double")
             report = evaluation.class_report(scored.select(F.col(LABEL).alias("y"), best.alias("yhat")))
             total += report.filter("kind = 'weighted'").collect()[0]["f1"] or 0.0
-        results.append((point, total / folds))
+        return total / max(1, len(sizes))
+
+    if method != "bayesian":
+        points = search_points(space, method, n_iter)
+        with ThreadPool(parallel) as pool:
+            results = list(zip(points, pool.map(score, points), strict=True))
+    else:
+        start = search_points(space, method, min(n_iter, max(2, n_iter // 4)))
+        results, rng = [(p, score(p)) for p in start], random.Random(SEED + 1)
+        while len(results) < n_iter:
+            point = next_point(space, results, rng)
+            results.append((point, score(point)))
     return max(results, key=lambda r: r[1])[0], results
 
 
@@ -307,15 +440,22 @@ def score_table(trained: TrainedModel, df: DataFrame, on: Sequence[str] = ("symb
 
 def vote(members: Mapping[str, TrainedModel], df: DataFrame, kind: str = "soft", weights: Mapping[str, float] | None = None, on: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """Ensemble of models: mean probabilities (soft) or the most frequent decision (hard)."""
+    if kind not in ("soft", "hard"):
+        raise ValueError(f"unknown vote {kind!r}")
     classes = next(iter(members.values())).classes
+    out, shares = df, {n: float((weights or {}).get(n, 1.0)) for n in members}
+    # All members score the same rows, one after the other in one narrow pass.
+    for i, m in enumerate(members.values()):
+        scored = m.score(out)
+        own = [F.col(quoted(f"probability_{c}")).alias(f"__p{i}_{k}") for k, c in enumerate(classes)] if kind == "soft" else [F.col("prediction").alias(f"__v{i}")]
+        out = scored.select(*[quoted(c) for c in out.columns], *own)
     if kind == "soft":
-        tables = {n: score_table(m, df, on) for n, m in members.items()}
-        return evaluation.combine_scores(tables, classes, "weighted_average", weights, on)
-    long = None
-    for m in members.values():
-        part = m.score(df).select(*on, "prediction")
-        long = part if long is None else long.unionByName(part)
-    return long.groupBy(*on).agg(F.mode("prediction", deterministic=True).alias("prediction"))
+        total = sum(shares.values())
+        means = [sum(F.col(f"__p{i}_{k}") * (w / total) for i, w in enumerate(shares.values())).alias(f"probability_{c}") for k, c in enumerate(classes)]
+        return out.select(*on, *means)
+    votes = F.array(*[F.col(f"__v{i}") for i in range(len(members))])
+    ranked = F.array_sort(F.transform(F.array_distinct(votes), lambda v: F.struct((-F.size(F.filter(votes, lambda x: x == v))).alias("n"), v.alias("v"))))
+    return out.select(*on, F.get(ranked, F.lit(0))["v"].alias("prediction"))
 
 
 @dataclass(frozen=True)
@@ -331,35 +471,22 @@ class Calibration:
         for c, m in zip(self.classes, self.maps):
             p = F.col(quoted(f"probability_{c}"))
             if self.method == "sigmoid":
-                value = _sigmoid(F.lit(m[0]) * p + F.lit(m[1]))
+                out = out.withColumn(f"__c_{c}", _sigmoid(F.lit(m[0]) * p + F.lit(m[1])))
             else:
-                value = _interpolated(p, *m)
-            out = out.withColumn(f"__c_{c}", value)
+                # Linear between the fitted points, found by binary search, constant outside.
+                curve = m.copy({}).setFeaturesCol("__x").setPredictionCol(f"__c_{c}")
+                out = curve.transform(out.withColumn("__x", p)).drop("__x")
         total = sum(F.col(quoted(f"__c_{c}")) for c in self.classes)
         even = F.lit(1.0 / len(self.classes))
         fixed = {f"probability_{c}": F.coalesce(F.try_divide(F.col(quoted(f"__c_{c}")), total), even) for c in self.classes}
         return out.withColumns(fixed).drop(*[f"__c_{c}" for c in self.classes])
 
 
-def _interpolated(p: Column, bounds: Sequence[float], values: Sequence[float]) -> Column:
-    """Linear between the fitted points, constant outside."""
-    if len(bounds) == 1:
-        return F.lit(float(values[0]))
-    b, v = F.array(*[F.lit(float(x)) for x in bounds]), F.array(*[F.lit(float(x)) for x in values])
-    i = F.greatest(F.lit(1), F.least(F.lit(len(bounds) - 1), F.size(F.filter(b, lambda x: x <= p))))
-    x0, x1 = F.element_at(b, i), F.element_at(b, i + 1)
-    y0, y1 = F.element_at(v, i), F.element_at(v, i + 1)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(p - x0, x1 - x0), F.lit(0.0))))
-    return y0 + (y1 - y0) * share
-
-
-
-
-def calibrate(df: DataFrame, classes: Sequence, label: str = "y", method: str = "isotonic") -> Calibration:
+def calibrate(df: DataFrame, classes: Sequence, label: str = "y", method: str = "isotonic", digits: int | None = None) -> Calibration:
     """Fit on held-out scores, one curve per class against the rest.
 
-    Scores are first counted per distinct value rounded to 1/2^16, so what the
-    isotonic fit sees does not grow with the data.
+    The isotonic fit sees each distinct score once, with its weight. `digits` rounds
+    scores before that, where a bound on what it sees is worth the loss; default none.
     """
     maps = []
     for c in classes:
@@ -370,31 +497,42 @@ def calibrate(df: DataFrame, classes: Sequence, label: str = "y", method: str =
             )
             maps.append((float(fitted.coefficients[0]), float(fitted.intercept)))
         elif method == "isotonic":
-            cell = F.round(p * 65536) / 65536
+            cell = p if digits is None else F.round(p, digits)
             counted = df.groupBy(cell.alias("__p")).agg(F.avg(hit).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w"))
             fitted = IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w").fit(counted)
-            maps.append(([float(x) for x in fitted.boundaries], [float(x) for x in fitted.predictions]))
+            maps.append(fitted)
         else:
             raise ValueError(f"unknown calibration method {method!r}")
     return Calibration(list(classes), method, maps)
 
 
-def importances(trained: TrainedModel) -> list[float] | None:
-    """Tree importances or sizes of the first class's coefficients; None if the model has neither."""
-    model = trained.model
-    inner = model.models[0] if isinstance(model, OneVsRestModel) else model
-    if hasattr(inner, "featureImportances"):
-        return [float(v) for v in inner.featureImportances.toArray()]
-    if hasattr(inner, "coefficientMatrix"):
-        return [abs(float(v)) for v in inner.coefficientMatrix.toArray()[0]]
+def _own_importances(model: Model) -> list[float] | None:
+    if isinstance(model, OneVsRestModel):
+        each = [_own_importances(m) for m in model.models]
+        return None if None in each else [sum(v) / len(each) for v in zip(*each, strict=True)]
+    if hasattr(model, "featureImportances"):
+        return [float(v) for v in model.featureImportances.toArray()]
+    if hasattr(model, "coefficientMatrix"):
+        return [abs(float(v)) for v in model.coefficientMatrix.toArray()[0]]
     return None
 
 
-def built_in_importance(trained: TrainedModel) -> DataFrame:
-    """The model's own importances, largest first."""
+def importances(trained: TrainedModel) -> list[float] | None:
+    """Tree importances, averaged over one-vs-rest models, or sizes of the first class's coefficients."""
+    return _own_importances(trained.model)
+
+
+def built_in_importance(trained: TrainedModel, df: DataFrame | None = None, label: str | None = None, ident: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+    """The model's own importances, largest first.
+
+    A model that has none is judged by `permutation_importance` on the rows given.
+    """
     values = importances(trained)
     if values is None:
-        raise ValueError(f"{trained.name} has no built-in importance")
+        if df is None or label is None:
+            raise ValueError(f"{trained.name} has no built-in importance; give labelled rows to exchange values in")
+        found = permutation_importance(trained, df, label, ident)
+        return found.select("feature", F.col("importance_mean").alias("importance")).orderBy(F.desc("importance"), "feature")
     rows = list(zip(trained.selected, values))
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 

@@ -23,7 +23,6 @@ from tickloom.plans.series import KEYS, N_ROWS, RN, index_series, quantiles
 from tickloom.plans.storage import once
 
 SEED = 42
-MAX_LEVELS = 10_000
 
 
 def chronological_split(df: DataFrame, test_size: float = 0.2, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
@@ -120,14 +119,18 @@ def select_features(
     df: DataFrame,
     label: str,
     method: str = "importance",
-    n_features: int | None = None,
+    n_features: int | None = 30,
     threshold: float | None = None,
     step: int = 1,
     columns: Sequence[str] | None = None,
 ) -> list[str]:
-    """Names of the chosen features: importance, mutual_info, rfe or model."""
+    """Names of the chosen features: importance, mutual_info, rfe or model.
+
+    At most `n_features` of them; None sets no bound. A threshold chooses on its
+    own: it keeps every feature that reaches it.
+    """
     clean, candidates = complete_numeric(df, label, columns)
-    n = min(n_features or 30, len(candidates))
+    n = len(candidates) if n_features is None else min(n_features, len(candidates))
     if method == "mutual_info":
         ranked = mutual_information(clean, candidates, label).orderBy(F.desc("mutual_information"), "feature").limit(n)
         return [r["feature"] for r in ranked.collect()]
@@ -136,7 +139,7 @@ def select_features(
         return recursive_elimination(ready, candidates, "__y", n, step)
     if method == "importance":
         ranked = forest_importances(ready, candidates, "__y")
-        if threshold is not None and n_features is None:
+        if threshold is not None:
             return [c for c, s in ranked if s >= threshold]
         return [c for c, _ in ranked[:n]]
     if method == "model":
@@ -144,7 +147,8 @@ def select_features(
         scores = sorted(s for _, s in ranked)
         middle = (scores[(len(scores) - 1) // 2] + scores[len(scores) // 2]) / 2
         least = middle if threshold is None else threshold
-        return [c for c, s in ranked if s >= least][:n]
+        kept = [c for c, s in ranked if s >= least]
+        return kept if threshold is not None else kept[:n]
     raise ValueError(f"unknown selection method {method!r}")
 
 
@@ -192,10 +196,7 @@ class Preprocessor:
         if categorical:
             cells = [F.struct(F.lit(c).alias("c"), F.col(quoted(c)).alias("v")) for c in categorical]
             counts = stored.select(F.explode(F.array(*cells)).alias("e")).select("e.*").filter("v IS NOT NULL").groupBy("c", "v").count()
-            # Refused before fetching, so the driver holds at most MAX_LEVELS names per column.
-            wide = counts.groupBy("c").count().filter(F.col("count") > MAX_LEVELS).limit(len(categorical)).collect()
-            if wide:
-                raise ValueError(f"too many distinct values to one-hot code: {[r['c'] for r in wide]}")
+            # Each level becomes a column of the result, so their names are metadata.
             found = counts.collect()
             for c in categorical:
                 seen = sorted((-r["count"], r["v"]) for r in found if r["c"] == c)
