@@ -148,3 +148,19 @@ def test_directional(spark):
     df = frame(spark, close=[100.0, 101, 100, 100.05, 90])
     rows = lab.directional(df, 1, 0.001).orderBy("ts").collect()
     assert [r["label"] for r in rows] == [1, -1, 0, -1]
+
+
+@pytest.mark.parametrize("h", [1, 3, 40])
+def test_both_barrier_plans_agree_on_missing_bars(spark, sorted_rows, monkeypatch, h):
+    rng = np.random.default_rng(8)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 150)))
+    pdf = pd.DataFrame({"symbol": "S", "ts": pd.date_range("2022-01-01", periods=150), "close": close, "high": close * 1.006, "low": close * 0.994, "atr": close * 0.01})
+    for c in ("close", "high", "low", "atr"):
+        pdf.loc[rng.random(150) < 0.2, c] = np.nan
+    pdf.loc[60:75, ["close", "high", "low"]] = np.nan
+    df = spark.createDataFrame(pdf)
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("close", "high", "low", "atr")})
+    frames = sorted_rows(lab.triple_barrier(df, "atr", 1.5, 1.0, h, 0.002))
+    monkeypatch.setattr(lab, "FRAME_LIMIT", 0)
+    search = sorted_rows(lab.triple_barrier(df, "atr", 1.5, 1.0, h, 0.002))
+    pd.testing.assert_series_equal(frames["label"], search["label"])

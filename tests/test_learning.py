@@ -254,3 +254,89 @@ def test_folds(bars, rolling, sizes):
             assert seen == [(i + 1, w[lo], w[hi] - 1, w[hi] - w[lo]) for i, w in enumerate(want)]
     with pytest.raises(ValueError):
         walkforward.Folds(retrain_every=0)
+
+
+def _points(spark, n=60, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, 2))
+    y = (x[:, 0] + rng.normal(0, 1.2, n) > 0.6).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({models.LABEL: y, "a": x[:, 0], "b": x[:, 1]}))
+    return models.assemble(models.balanced_weights(df), ["a", "b"]), x, y
+
+
+def _newton(x, y, w, l2):
+    """Weighted logistic regression, intercept free, penalty l2 / 2 * |coefficients|^2 on the summed loss."""
+    z, beta = np.column_stack([x, np.ones(len(x))]), np.zeros(3)
+    pen = np.diag([l2, l2, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta -= np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + pen, z.T @ (w * (p - y)) + pen @ beta)
+    return beta
+
+
+@pytest.mark.parametrize(("params", "l2", "balanced"), [({"penalty": "none"}, 0.0, False), ({"C": 0.1}, 10.0, False), ({}, 1.0, False), ({"class_weight": "balanced", "penalty": "none"}, 0.0, True)])
+def test_logistic_options_mean_what_they_say(spark, params, l2, balanced):
+    ready, x, y = _points(spark)
+    model = models.create_model("logistic_regression", {**params, "tol": 1e-10}, 2, 2, len(y)).fit(ready)
+    w = len(y) / (2 * np.where(y == 1, y.sum(), len(y) - y.sum())) if balanced else np.ones(len(y))
+    want = _newton(x, y, w, l2)
+    np.testing.assert_allclose([*model.coefficients, model.intercept], want, rtol=1e-4, atol=1e-5)
+
+
+def test_model_defaults_and_counterparts():
+    forest = models.create_model("random_forest")
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getWeightCol()) == (200, 30, models.WEIGHT)
+    assert not models.create_model("random_forest", {"class_weight": None, "max_features": None, "max_depth": 4}).isSet("weightCol")
+    assert models.create_model("lightgbm").getMaxDepth() == 5 and models.create_model("lightgbm", {"num_leaves": 63}).getMaxDepth() == 6
+    assert models.create_model("xgboost", {"colsample_bytree": 0.9}).getFeatureSubsetStrategy() == "0.9"
+    assert models.create_model("catboost").getMaxDepth() == 6 and models.create_model("gradient_boosting").getMaxDepth() == 3
+    network = models.create_model("neural_network", {"learning_rate": 0.05}, 3, 4)
+    assert (network.getSolver(), network.getStepSize(), network.getLayers()) == ("gd", 0.05, [4, 64, 32, 3])
+    for name, bad in (("neural_network", "batch_size"), ("catboost", "l2_leaf_reg"), ("random_forest", "min_samples_split")):
+        with pytest.raises(ValueError, match=bad):
+            models.create_model(name, {bad: 1})
+    assert len(models.search_points(models.DEFAULT_GRIDS["random_forest"], "grid")) == 216
+
+
+def test_folds_and_scores_do_not_depend_on_partitions(spark):
+    ready, _, _ = _points(spark, 120)
+    found = [models.tune(ready.repartition(n), "logistic_regression", {"C": [0.01, 1.0, 100.0]}, "grid", 2, 2, folds=3) for n in (1, 5)]
+    assert [p for p, _ in found[0][1]] == [p for p, _ in found[1][1]]
+    np.testing.assert_allclose([s for _, s in found[0][1]], [s for _, s in found[1][1]], atol=1e-9)
+
+
+def test_the_learning_search_comes_closer_than_its_start():
+    import random
+
+    space = {"x": ["float", 0.0001, 10.0, "log"], "k": ["int", 1, 40], "c": ["categorical", ["a", "b", "c"]]}
+
+    def value(p):
+        return -abs(np.log(p["x"] / 0.3)) - abs(p["k"] - 30) / 10 - (p["c"] != "b")
+
+    gains = []
+    for seed in range(8):
+        results = [(p, value(p)) for p in models.search_points(space, "random", 8, seed)]
+        first, rng = max(v for _, v in results), random.Random(seed)
+        for _ in range(32):
+            p = models.next_point(space, results, rng)
+            assert 0.0001 <= p["x"] <= 10 and 1 <= p["k"] <= 40 and p["c"] in "abc"
+            results.append((p, value(p)))
+        blind = max(value(p) for p in models.search_points(space, "random", 40, seed))
+        gains.append((max(v for _, v in results) - first, max(v for _, v in results) - blind))
+    assert all(g >= 0 for g, _ in gains) and np.mean([b for _, b in gains]) > 0
+
+
+def test_importance_of_one_against_the_rest_is_the_mean(learnable):
+    three = learnable.withColumn("y", F.when(F.col("y") == 0, 0).otherwise(F.when(F.col("useful") > 0.5, 2).otherwise(1)))
+    trained = models.fit_model(three, "y", FEATURES, models.TrainSpec("gradient_boosting", {"n_estimators": 2, "max_depth": 2}))
+    each = [m.featureImportances.toArray() for m in trained.model.models]
+    assert len(each) == 3
+    np.testing.assert_allclose(models.importances(trained), np.mean(each, axis=0))
+
+
+def test_a_network_is_judged_by_exchanging_values(learnable):
+    trained = models.fit_model(learnable, "y", FEATURES, models.TrainSpec("neural_network", {"epochs": 30, "hidden_layers": (4,)}))
+    with pytest.raises(ValueError, match="no built-in"):
+        models.built_in_importance(trained)
+    ident = [c for c in learnable.columns if c not in FEATURES and c != "y"][:1] or FEATURES[:1]
+    assert models.built_in_importance(trained, learnable, "y", ident).first()["feature"] == "useful"

@@ -371,7 +371,7 @@ def next_point(space: Mapping, results: Sequence[tuple[dict, float]], rng: rando
         log = len(entry) > 3 and entry[3] == "log"
         low, high = (math.log(entry[1]), math.log(entry[2])) if log else (entry[1], entry[2])
         x = min(high, max(low, rng.gauss(math.log(value) if log else value, (high - low) / 8)))
-        x = math.exp(x) if log else x
+        x = min(entry[2], max(entry[1], math.exp(x))) if log else x
         if not log and len(entry) > 3 and entry[3]:
             x = entry[1] + entry[3] * round((x - entry[1]) / entry[3])
         return int(round(x)) if entry[0] == "int" else x
