@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.catalog.base import bars, indexed, query, r, rs, with_bars
-from tickloom.catalog.scoring import binary_scores, ternary_scores
-from tickloom.catalog.technical import lag
-from tickloom.catalog.trading import CLASSES, SPEC, _PREDICTED, _TRADE_COLS, _shown, _sim_sql, predicted
+from tickloom.catalog.scoring import _BINARY, binary_scores
+from tickloom.catalog.technical import _MOVE, _TR, ewm_cte, lag, roll
+from tickloom.catalog.trading import _PREDICTED, _TRADE_COLS, SPEC, _cross_sql, _shown, _sim_sql, predicted
 from tickloom.functions.columns import rounded
-from tickloom.operators import features, ledger, models, performance, regimes, selection, statistics, strategy, walkforward
+from tickloom.operators import evaluation, features, ledger, models, performance, regimes, selection, statistics, strategy, walkforward
 from tickloom.plans.series import RN
 from tickloom.plans.storage import cut, scratch_path
 from tickloom.sources.derived import table
@@ -38,9 +40,39 @@ def rolling_stationarity(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.select("symbol", "ts", "adf_pvalue", "is_stationary"), 4)
 
 
-@query()
+def _garch_sql(rounds: int) -> str:
+    """The likelihood search as one recursion per round over all candidates of each symbol."""
+    out = (
+        with_bars("event", True)
+        + f""", g0 AS (SELECT *, 100 * (close / nullif({lag('close')}, 0) - 1) AS r FROM ix),
+        gm AS (SELECT symbol, avg(r) AS mu, var_pop(r) AS lv, count(r) AS n FROM g0 GROUP BY symbol),
+        gr AS MATERIALIZED (SELECT symbol, ts, lv, (r - mu) * (r - mu) AS e2, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS k FROM g0 JOIN gm USING (symbol) WHERE n > 100 AND lv > 0 AND r IS NOT NULL)"""
+    )
+    for i in range(rounds):
+        width = 0.6**i
+        if i:
+            pairs = f"SELECT symbol, a + i * {0.04 * width!r} AS a, b + j * {0.06 * width!r} AS b FROM best{i - 1}, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)"
+        else:
+            pairs = f"SELECT DISTINCT symbol, a, b FROM gr, (SELECT unnest({list(statistics.ALPHAS)}::DOUBLE[]) AS a), (SELECT unnest({list(statistics.BETAS)}::DOUBLE[]) AS b)"
+        out += (
+            f", ca{i} AS MATERIALIZED (SELECT * FROM ({pairs}) WHERE a > 0 AND b >= 0 AND b <= {statistics.BETA_MAX} AND a + b < 0.999), "
+            f"vr{i}(symbol, a, b, k, v, ll) AS (SELECT c.symbol, a, b, 1::BIGINT, lv, -0.5 * (ln(lv) + e2 / lv) FROM ca{i} c JOIN gr ON gr.symbol = c.symbol AND k = 1 UNION ALL "
+            "SELECT w.symbol, a, b, k, w.v, ll - 0.5 * (ln(w.v) + e2 / w.v) FROM (SELECT p.symbol, p.a, p.b, g.k, p.ll, g.e2, (1 - p.a - p.b) * g.lv + p.a * q.e2 + p.b * p.v AS v "
+            f"FROM vr{i} p JOIN gr q ON q.symbol = p.symbol AND q.k = p.k JOIN gr g ON g.symbol = p.symbol AND g.k = p.k + 1) w), "
+            f"tl{i} AS (SELECT v.*, max(k) OVER (PARTITION BY symbol) AS last FROM vr{i} v), "
+            f"best{i} AS MATERIALIZED (SELECT symbol, arg_max(a, ll) AS a, arg_max(b, ll) AS b FROM tl{i} WHERE k = last GROUP BY symbol)"
+        )
+    n = rounds - 1
+    return (
+        out
+        + f" SELECT g0.symbol, g0.ts, {r('sqrt(v) / 100', 'garch_vol', 4)} FROM g0 LEFT JOIN gr ON gr.symbol = g0.symbol AND gr.ts = g0.ts "
+        + f"LEFT JOIN best{n} b ON b.symbol = g0.symbol LEFT JOIN vr{n} v ON v.symbol = gr.symbol AND v.k = gr.k AND v.a = b.a AND v.b = b.b"
+    )
+
+
+@query(_garch_sql(4))
 def conditional_volatility(spark: SparkSession, folder: str) -> DataFrame:
-    out = statistics.garch_volatility(indexed(spark, folder, "event"), rounds=2)
+    out = statistics.garch_volatility(indexed(spark, folder, "event"))
     return rounded(out.select("symbol", "ts", "garch_vol"), 4)
 
 
@@ -75,7 +107,9 @@ def split_by_time(spark: SparkSession, folder: str) -> DataFrame:
     return tag(early, "train").unionByName(tag(late, "test"))
 
 
-@query()
+@query(
+    f"{_DOC_SQL} SELECT doc_id, y, CASE WHEN ('0x' || substr(md5(concat_ws('|', '42', y, doc_id)), 1, 8))::UBIGINT / 4294967296.0 < 0.25 THEN 'test' ELSE 'train' END AS part FROM d"
+)
 def split_by_class(spark: SparkSession, folder: str) -> DataFrame:
     rest, test = selection.stratified_split(document_features(spark, folder), "y", ["doc_id"], 0.25)
     tag = lambda d, p: d.select("doc_id", "y", F.lit(p).alias("part"))
@@ -136,22 +170,26 @@ def mutual_information(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _picked(spark: SparkSession, folder: str, method: str) -> DataFrame:
-    df = document_features(spark, folder)
-    chosen = selection.select_features(df, "y", method, 2, columns=list(_DOCS))
-    return df.select("doc_id", *chosen).select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in chosen])).alias("e")).select("doc_id", "e.*")
+    """The one feature that a label made from it depends on."""
+    df = document_features(spark, folder).withColumn("y", (F.col("n_words") > 250).cast("int"))
+    (chosen,) = selection.select_features(df, "y", method, 1, columns=list(_DOCS[1:]))
+    return df.select("doc_id", F.lit(chosen).alias("feature"), F.col(chosen).alias("value"))
 
 
-@query()
+_PICKED = f"{_DOC_SQL} SELECT doc_id, 'n_words' AS feature, n_words AS value FROM d"
+
+
+@query(_PICKED)
 def selected_by_importance(spark: SparkSession, folder: str) -> DataFrame:
     return _picked(spark, folder, "importance")
 
 
-@query()
+@query(_PICKED)
 def selected_by_elimination(spark: SparkSession, folder: str) -> DataFrame:
     return _picked(spark, folder, "rfe")
 
 
-@query()
+@query(_PICKED)
 def selected_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return _picked(spark, folder, "model")
 
@@ -162,16 +200,26 @@ def complete_rows(spark: SparkSession, folder: str) -> DataFrame:
     return selection.complete_numeric(df, "y", ["doc_id", *_DOCS])[0].withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-@query()
+# Two standardised features have the components (z1 + z2) and (z1 - z2) over the root of 2; the sign of their
+# correlation says which one varies more. Components are defined up to sign.
+@query(
+    f"""{_DOC_SQL}, z AS (SELECT doc_id, (n_words - avg(n_words) OVER ()) / stddev_pop(n_words) OVER () AS a, (n_lines - avg(n_lines) OVER ()) / stddev_pop(n_lines) OVER () AS b FROM d),
+    c AS (SELECT CASE WHEN sum(a * b) >= 0 THEN 1 ELSE -1 END AS s FROM z)
+    SELECT doc_id, {r('abs(a + s * b) / sqrt(2.0)', 'pc1', 4)}, {r('abs(a - s * b) / sqrt(2.0)', 'pc2', 4)} FROM z CROSS JOIN c"""
+)
 def principal_components(spark: SparkSession, folder: str) -> DataFrame:
-    df = document_features(spark, folder)
-    return rounded(selection.principal_components(df, list(_DOCS), 2, keep=["doc_id"]), 4)
+    out = selection.principal_components(document_features(spark, folder), ["n_words", "n_lines"], 2, keep=["doc_id"])
+    return rounded(out.select("doc_id", F.abs("PC1").alias("pc1"), F.abs("PC2").alias("pc2")), 4)
 
 
 # --- models -------------------------------------------------------------------
 
-_FEATURES = ("roc_5", "roc_10", "roc_20", "efficiency_ratio_10", "volume_ratio", "day_of_week")
+_FEATURES = ("weekday", "month", "open", "volume")
 _SPEC = features.FeatureSpec(momentum=True, regime=True, label=features.LabelSpec(method="directional", max_holding_period=5))
+# Classes that a model can learn without error, so that SQL can state what it must answer.
+_CLASS = "CASE WHEN isodow(ts) <= 2 THEN -1 WHEN isodow(ts) <= 4 THEN 0 ELSE 1 END"
+_SHARE = 0.3
+_LATE = with_bars("priority") + f", late AS (SELECT symbol, ts, {_CLASS} AS y FROM ix WHERE rn >= floor(n_rows * (1 - {_SHARE})))"
 
 
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,116 +227,218 @@ def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     return features.build_features(bars(spark, folder, "priority"), _SPEC)
 
 
-def _report(spark: SparkSession, folder: str, spec: models.TrainSpec) -> DataFrame:
-    return rounded(models.train(feature_rows(spark, folder), "directional_label", _FEATURES, spec)[1], 4)
+def calendar_rows(spark: SparkSession, folder: str, two: bool = False) -> DataFrame:
+    """Indexed daily bars with the weekday and other columns, and a class that follows from the weekday."""
+    day = F.weekday("ts")
+    label = F.when(day <= 1, -1).when(day <= 3, 0).otherwise(1)
+    if two:
+        label = F.when(day <= 3, 0).otherwise(1)
+    df = indexed(spark, folder, "priority").withColumns({"weekday": day.cast("double"), "month": F.month("ts").cast("double"), "y": label})
+    return df
+
+
+def _report_sql(two: bool = False) -> str:
+    """Shares of right answers per part; SQL answers with the rule itself."""
+    rule = "CASE WHEN isodow(ts) <= 4 THEN 0 ELSE 1 END" if two else _CLASS
+    names = ["accuracy", *[f"{m}_{k}" for m in ("precision", "recall", "f1") for k in ("macro", "weighted")]]
+    cells = " UNION ALL ".join(f"SELECT part, '{m}' AS metric, avg(CASE WHEN y = guess THEN 1.0 ELSE 0.0 END) AS value FROM p GROUP BY part" for m in names)
+    return (
+        with_bars("priority")
+        + f", p AS (SELECT CASE WHEN rn < floor(n_rows * (1 - {_SHARE})) THEN 'train' ELSE 'test' END AS part, {rule} AS y, {rule} AS guess FROM ix) {cells}"
+    )
+
 
+def _report(spark: SparkSession, folder: str, spec: models.TrainSpec, two: bool = False) -> DataFrame:
+    spec = dataclasses.replace(spec, test_size=_SHARE)
+    out = models.train(calendar_rows(spark, folder, two), "y", _FEATURES, spec)[1]
+    return rounded(out.where(F.col("metric").rlike("^(accuracy|(precision|recall|f1)_(macro|weighted))$")), 4)
 
-@query()
+
+@query(_report_sql())
 def random_forest_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("random_forest", {"n_estimators": 20, "max_depth": 5}, top_after=4))
+    return _report(spark, folder, models.TrainSpec("random_forest", {"max_depth": 10}, top_after=3))
 
 
-@query()
+@query(_report_sql(two=True))
 def gradient_boosting_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("lightgbm", {"n_estimators": 4}))
+    return _report(spark, folder, models.TrainSpec("lightgbm", {"n_estimators": 10, "subsample": 1.0, "colsample_bytree": 1.0}), two=True)
 
 
-@query()
+@query(_report_sql())
 def logistic_regression_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("logistic_regression", selection="mutual_info", n_features=4))
+    return _report(spark, folder, models.TrainSpec("logistic_regression", {"penalty": "none"}, selection="mutual_info", n_features=1))
 
 
-@query()
+@query(_report_sql())
 def neural_network_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("neural_network", {"epochs": 10, "hidden_layers": (8,)}))
+    return _report(spark, folder, models.TrainSpec("neural_network"))
 
 
-_LOGIT = models.TrainSpec("logistic_regression", {"max_iter": 20})
-_FOREST = models.TrainSpec("random_forest", {"n_estimators": 10, "max_depth": 4})
+_LOGIT = models.TrainSpec("logistic_regression", {"penalty": "none"})
+_FOREST = models.TrainSpec("random_forest", {"n_estimators": 20, "max_depth": 8, "max_features": None})
 
 
-@query()
+@query(_report_sql())
 def grid_search_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("logistic_regression", {"max_iter": 10}, tuning="grid", search={"C": [0.01, 1.0]}, folds=3))
+    return _report(spark, folder, models.TrainSpec("logistic_regression", tuning="grid", search={"C": [1e-6, 1e4]}, selection="mutual_info", n_features=1))
 
 
-@query()
+@query(_report_sql())
 def random_search_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("logistic_regression", {"max_iter": 10}, tuning="random", search={"C": [0.01, 0.1, 1.0]}, n_iter=2, folds=2))
+    return _report(spark, folder, models.TrainSpec("random_forest", {"max_features": None}, tuning="random", search={"n_estimators": [5, 10], "max_depth": [5, 8]}, n_iter=3))
 
 
-@query()
+@query(_report_sql())
 def space_search_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("logistic_regression", {"max_iter": 10}, tuning="bayesian", search={"C": ["float", 0.001, 10.0, "log"]}, n_iter=2, folds=2))
+    return _report(spark, folder, models.TrainSpec("random_forest", {"max_features": None, "n_estimators": 5}, tuning="bayesian", search={"max_depth": ["int", 4, 9]}, n_iter=5))
 
 
 def _fitted(spark: SparkSession, folder: str, *specs: models.TrainSpec) -> tuple[list[models.TrainedModel], DataFrame]:
-    rows = cut(feature_rows(spark, folder))
-    early, late = selection.chronological_split(rows, 0.3)
-    return [models.fit_model(early, "directional_label", _FEATURES, s) for s in specs], late
+    early, late = selection.chronological_split(cut(calendar_rows(spark, folder)), _SHARE)
+    return [models.fit_model(early, "y", _FEATURES, s) for s in specs], late
 
 
-@query()
+@query(f"{_LATE} SELECT symbol, ts, y AS prediction FROM late")
 def saved_model_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of a model that was stored and read back."""
-    (model,), late = _fitted(spark, folder, _LOGIT)
+    """Answers of a model that was stored and read back."""
+    (model,), late = _fitted(spark, folder, _FOREST)
     path = scratch_path(spark, "model")
     model.save(path)
-    scored = models.TrainedModel.load(path).score(late)
-    return rounded(scored.select("symbol", "ts", *[F.col(f"`probability_{c}`") for c in model.classes], "prediction", "confidence"), 4)
+    return models.TrainedModel.load(path).score(late).select("symbol", "ts", "prediction")
 
 
-@query()
+@query(f"{_LATE} SELECT symbol, ts, y AS prediction FROM late")
 def soft_vote(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of the greatest mean probability."""
     (a, b), late = _fitted(spark, folder, _LOGIT, _FOREST)
-    return rounded(models.vote({"a": a, "b": b}, late, "soft", {"a": 2.0}), 4)
+    means = models.vote({"a": a, "b": b}, late, "soft", {"a": 2.0})
+    best = F.element_at(F.array(*[F.lit(c) for c in a.classes]), evaluation.decide(a.classes) + 1)
+    return means.select("symbol", "ts", best.alias("prediction"))
 
 
-@query()
+@query(f"{_LATE} SELECT symbol, ts, y AS prediction FROM late")
 def hard_vote(spark: SparkSession, folder: str) -> DataFrame:
-    fitted, late = _fitted(spark, folder, _LOGIT, _FOREST, models.TrainSpec("random_forest", {"n_estimators": 5, "max_depth": 3}))
+    fitted, late = _fitted(spark, folder, _LOGIT, _FOREST, models.TrainSpec("random_forest", {"n_estimators": 5, "max_depth": 1}))
     return models.vote(dict(zip("abc", fitted)), late, "hard")
 
 
-@query()
+_MATTERS = " UNION ALL ".join(f"SELECT '{c}' AS feature, {'true' if c == 'weekday' else 'false'} AS matters" for c in _FEATURES)
+
+
+@query(_MATTERS)
 def shuffled_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Features whose exchange costs right answers."""
     (model,), late = _fitted(spark, folder, _FOREST)
-    return rounded(models.permutation_importance(model, late, "directional_label", ["symbol", "ts"], repeats=2), 4)
+    found = models.permutation_importance(model, late, "y", ["symbol", "ts"])
+    return found.select("feature", (F.col("importance_mean") > 0.01).alias("matters"))
 
 
-@query()
+@query(_MATTERS)
 def built_in_importance(spark: SparkSession, folder: str) -> DataFrame:
     (model,), _ = _fitted(spark, folder, _FOREST)
-    return rounded(models.built_in_importance(model), 4)
-
-
-@query()
+    return models.built_in_importance(model).select("feature", (F.col("importance") > 0.5).alias("matters"))
+
+
+BINARY = _BINARY + ", s AS (SELECT doc_id, y, 1 - p1 AS probability_0, p1 AS probability_1 FROM b)"
+
+
+def _isotonic_sql() -> str:
+    """The fit at a score is the largest over starts up to it of the smallest mean over ends from it on."""
+    out = BINARY
+    for c in (0, 1):
+        hit = f"CASE WHEN y = {c} THEN 1.0 ELSE 0.0 END"
+        out += (
+            f", n{c} AS (SELECT probability_{c} AS p, sum({hit}) AS h, count(*)::DOUBLE AS w FROM s GROUP BY 1), "
+            f"k{c} AS MATERIALIZED (SELECT p, row_number() OVER (ORDER BY p) AS k, sum(h) OVER (ORDER BY p) AS ch, sum(w) OVER (ORDER BY p) AS cw, h, w FROM n{c}), "
+            f"m{c} AS (SELECT a.k AS j, b.k AS e, (b.ch - a.ch + a.h) / (b.cw - a.cw + a.w) AS v FROM k{c} a JOIN k{c} b ON a.k <= b.k), "
+            f"l{c} AS (SELECT j, e, min(v) OVER (PARTITION BY j ORDER BY e DESC ROWS UNBOUNDED PRECEDING) AS v FROM m{c}), "
+            f"f{c} AS MATERIALIZED (SELECT p, max(v) AS v FROM l{c} JOIN k{c} ON k = e GROUP BY p)"
+        )
+    total = "nullif(f0.v + f1.v, 0)"
+    cells = ", ".join(r(f"coalesce(f{c}.v / {total}, 0.5)", f"probability_{c}", 4) for c in (0, 1))
+    return out + f" SELECT doc_id, {cells} FROM s JOIN f0 ON f0.p = s.probability_0 JOIN f1 ON f1.p = s.probability_1"
+
+
+def _sigmoid_sql(steps: int = 25) -> str:
+    """Newton's steps for both curves, one after the other, from the means' log odds."""
+    out = BINARY
+    for c in (0, 1):
+        hit = f"CASE WHEN y = {c} THEN 1.0 ELSE 0.0 END"
+        out += f", b{c}_0 AS (SELECT 0.0::DOUBLE AS a, ln(avg({hit}) / (1 - avg({hit}))) AS b FROM s)"
+        for i in range(steps):
+            out += (
+                f", g{c}_{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum((q - h) * x) AS ga, sum(q - h) AS gb, sum(q * (1 - q) * x * x) AS aa, sum(q * (1 - q) * x) AS ab, sum(q * (1 - q)) AS bb "
+                f"FROM (SELECT a, b, probability_{c} AS x, {hit} AS h, 1 / (1 + exp(-(a * probability_{c} + b))) AS q FROM s CROSS JOIN b{c}_{i})), "
+                f"b{c}_{i + 1} AS MATERIALIZED (SELECT a - (bb * ga - ab * gb) / (aa * bb - ab * ab) AS a, b - (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM g{c}_{i})"
+            )
+    curve = {c: f"(1 / (1 + exp(-(b{c}_{steps}.a * probability_{c} + b{c}_{steps}.b))))" for c in (0, 1)}
+    cells = ", ".join(r(f"{curve[c]} / ({curve[0]} + {curve[1]})", f"probability_{c}", 3) for c in (0, 1))
+    return out + f" SELECT doc_id, {cells} FROM s CROSS JOIN b0_{steps} CROSS JOIN b1_{steps}"
+
+
+@query(_isotonic_sql())
 def isotonic_calibrated(spark: SparkSession, folder: str) -> DataFrame:
-    df = cut(ternary_scores(spark, folder))
-    out = models.calibrate(df, CLASSES, "y", "isotonic").apply(df)
-    return rounded(out.select("symbol", "ts", *[F.col(f"`probability_{c}`") for c in CLASSES]), 4)
+    df = cut(binary_scores(spark, folder))
+    out = models.calibrate(df, (0, 1), "y", "isotonic").apply(df)
+    return rounded(out.select("doc_id", "probability_0", "probability_1"), 4)
 
 
-@query()
+@query(_sigmoid_sql())
 def sigmoid_calibrated(spark: SparkSession, folder: str) -> DataFrame:
     df = cut(binary_scores(spark, folder))
     out = models.calibrate(df, (0, 1), "y", "sigmoid").apply(df)
-    return rounded(out.select("doc_id", "probability_0", "probability_1"), 4)
+    return rounded(out.select("doc_id", "probability_0", "probability_1"), 3)
+
+
+# Fixed centres in standardised features, so that every bar's regime is known beforehand.
+_CENTERS = ((-0.8, -0.5, -0.6), (0.1, 0.9, 0.2), (1.1, -0.3, 0.9))
+_REGIME_FEATURES = ("volatility_ratio_20_50", "efficiency_ratio_20", "roc_20")
+
+
+def _regime_sql() -> str:
+    names = ("vr", "er", "rc")
+    scaled = ", ".join(f"CASE WHEN stddev_pop({c}) OVER k > 0 THEN ({c} - avg({c}) OVER k) / stddev_pop({c}) OVER k ELSE 0 END AS z{i}" for i, c in enumerate(names))
+    squares = ", ".join(" + ".join(f"(z{i} - ({x})) * (z{i} - ({x}))" for i, x in enumerate(c)) + f" AS d{k}" for k, c in enumerate(_CENTERS))
+    return (
+        with_bars("priority")
+        + f""", st AS (SELECT *, close / nullif({lag('close')}, 0) - 1 AS ret, abs(close - {lag('close')}) AS step FROM ix),
+        f AS (SELECT symbol, ts, {roll('stddev_samp(ret)', 20)} / nullif({roll('stddev_samp(ret)', 50)}, 0) AS vr,
+          abs(close - {lag('close', 20)}) / nullif({roll('sum(step)', 20)}, 0) AS er, close / nullif({lag('close', 20)}, 0) - 1 AS rc FROM st),
+        g AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM f WHERE vr IS NOT NULL AND er IS NOT NULL AND rc IS NOT NULL),
+        z AS (SELECT *, {scaled} FROM g WHERE n >= 60 WINDOW k AS (PARTITION BY symbol)),
+        q AS (SELECT *, {squares} FROM z),
+        h AS (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS regime, least(d0, d1, d2) AS d FROM q),
+        a AS (SELECT symbol, ts, vr, er, rc, regime, 'Regime ' || chr(65 + regime) AS regime_name, 1 / (1 + sqrt(d)) AS confidence FROM h)"""
+    )
 
 
-@query()
-def bar_regimes(spark: SparkSession, folder: str) -> DataFrame:
+def _regimes(spark: SparkSession, folder: str) -> DataFrame:
     df = features.add_features(indexed(spark, folder, "priority"), [features.volatility_features(), features.efficiency_ratio(20), features.momentum_features()])
-    names = ("volatility_ratio_20_50", "efficiency_ratio_20", "roc_20")
-    model = regimes.fit_regimes(df, names)
-    return rounded(regimes.assign_regimes(df, model, names).select("symbol", "ts", "regime", "regime_name", "confidence"), 4)
+    return regimes.assign_regimes(df, _CENTERS, _REGIME_FEATURES)
 
 
-@query()
+@query(_regime_sql() + f" SELECT symbol, ts, regime, regime_name, {r('confidence', digits=4)} FROM a")
+def bar_regimes(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_regimes(spark, folder).select("symbol", "ts", "regime", "regime_name", "confidence"), 4)
+
+
+@query(
+    _regime_sql()
+    + f" SELECT symbol, ts, regime, regime_name, {r('confidence', digits=4)}, {r('vr', _REGIME_FEATURES[0], 4)}, {r('er', _REGIME_FEATURES[1], 4)}, {r('rc', _REGIME_FEATURES[2], 4)} "
+    "FROM a QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"
+)
 def latest_regimes(spark: SparkSession, folder: str) -> DataFrame:
-    df = statistics.rolling_adf(indexed(spark, folder, "priority"))
-    df = cut(features.add_features(df, [features.volatility_features(), features.efficiency_ratio(20)]))
-    return rounded(regimes.latest_regime(regimes.assign_regimes(df, regimes.fit_regimes(df))), 4)
+    return rounded(regimes.latest_regime(_regimes(spark, folder), _REGIME_FEATURES), 4)
+
+
+@query(_regime_sql() + " SELECT symbol, count(*) AS n, true AS tight FROM a GROUP BY symbol")
+def fitted_regimes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars that a fitted clustering covers, and whether it fits them no worse than the fixed centres do."""
+    df = cut(features.add_features(indexed(spark, folder, "priority"), [features.volatility_features(), features.efficiency_ratio(20), features.momentum_features()]))
+    cost = lambda model: regimes.assign_regimes(df, model, _REGIME_FEATURES).select("symbol", (F.pow(1 / F.col("confidence") - 1, 2)).alias("c"))
+    own = cost(regimes.fit_regimes(df, _REGIME_FEATURES)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("own"))
+    whole = own.agg(F.sum("own").alias("own")).crossJoin(cost(_CENTERS).agg(F.sum("c").alias("fixed"))).first()
+    return own.select("symbol", "n", F.lit(whole.own <= whole.fixed).alias("tight"))
 
 
 # --- walk-forward and strategies ------------------------------------------------
@@ -397,15 +547,52 @@ def rolling_fold_sharpe(spark: SparkSession, folder: str) -> DataFrame:
 _LEDGER = ledger.LedgerSpec(stop_multiple=0.5, target_multiple=1.0, trailing=0.2, trailing_activation=0.1)
 
 
-@query()
+def _rule_sql(signal_sql: str) -> str:
+    """CTE `pd` with a rule's signals (CTE `sg`) and the average range."""
+    return (
+        f", rg AS MATERIALIZED (SELECT *, {_TR} AS tr FROM ix), {ewm_cte('ra', 'rg', {'y': ('tr', 1 / 14)})}, "
+        + signal_sql
+        + ", pd AS (SELECT rg.* EXCLUDE (tr), CASE WHEN rg.rn >= 14 THEN ra.y END AS atr, sg.signal AS prediction, 0 AS regime FROM rg JOIN ra USING (symbol, rn) JOIN sg USING (symbol, rn))"
+    )
+
+
+def _strategy_sql(signal_sql: str) -> str:
+    shown = rs("entry_price", digits=7) + ", " + rs("stop_loss", "take_profit", "exit_price", "size", "realized_pnl", "mfe", "mae", digits=3)
+    return _sim_sql(_LEDGER).replace(_PREDICTED, _rule_sql(signal_sql), 1) + f" SELECT symbol, direction::INT AS direction, entry_time, exit_time, exit_reason, {shown} FROM trades"
+
+
+def _strategy_trades(spark: SparkSession, folder: str, spec: strategy.StrategySpec) -> DataFrame:
+    """Trades; what follows from the average range, a long recursion, has 3 digits."""
+    done = strategy.run_strategy(bars(spark, folder, "priority"), spec).trades
+    named = done.withColumnsRenamed({"max_favorable_excursion": "mfe", "max_adverse_excursion": "mae"})
+    return rounded(named.select("symbol", F.col("direction").cast("int").alias("direction"), "entry_time", "exit_time", "exit_reason", "entry_price", "stop_loss", "take_profit", "exit_price", "size", "realized_pnl", "mfe", "mae"), 3, raw=("entry_price",)).withColumn("entry_price", F.round("entry_price", 7))
+
+
+_CROSS = _cross_sql(5, 20).removeprefix(", ") + ", sg AS (SELECT symbol, rn, signal FROM x)"
+_REVERT = (
+    f"rd AS MATERIALIZED (SELECT symbol, ts, rn, greatest({_MOVE}, 0.0) AS g, greatest(-({_MOVE}), 0.0) AS l FROM ix), "
+    + ewm_cte("re", "rd", {"eg": ("g", 1 / 14), "el": ("l", 1 / 14)})
+    + ", ri AS (SELECT symbol, rn, CASE WHEN rn >= 14 AND el <> 0 THEN 100 - 100 / (1 + eg / el) END AS rsi FROM rd JOIN re USING (symbol, rn)), "
+    "rj AS (SELECT *, lag(rsi) OVER (PARTITION BY symbol ORDER BY rn) AS p FROM ri), "
+    "sg AS (SELECT symbol, rn, CASE WHEN rsi < 45 AND p >= 45 THEN 1 WHEN rsi > 55 AND p <= 55 THEN -1 ELSE 0 END AS signal FROM rj)"
+)
+
+
+@query(_strategy_sql(_CROSS))
 def crossover_strategy(spark: SparkSession, folder: str) -> DataFrame:
-    spec = strategy.StrategySpec("dma_crossover", 5, 20, ledger=_LEDGER, folds=FOLDS)
-    return rounded(strategy.run_strategy(bars(spark, folder, "priority"), spec).assets, 4)
+    spec = strategy.StrategySpec("dma_crossover", 5, 20, ledger=_LEDGER)
+    return _strategy_trades(spark, folder, spec)
 
 
-@query()
+@query(_strategy_sql(_REVERT))
 def rsi_strategy(spark: SparkSession, folder: str) -> DataFrame:
     spec = strategy.StrategySpec("rsi_mean_reversion", rsi_lower=45.0, rsi_upper=55.0, ledger=_LEDGER)
+    return _strategy_trades(spark, folder, spec)
+
+
+@query()
+def folded_crossover_strategy(spark: SparkSession, folder: str) -> DataFrame:
+    spec = strategy.StrategySpec("dma_crossover", 5, 20, ledger=_LEDGER, folds=FOLDS)
     return rounded(strategy.run_strategy(bars(spark, folder, "priority"), spec).assets, 4)
 
 
@@ -418,10 +605,18 @@ def model_strategy(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------
 
 
-@query()
+_DAYS = ("day_of_week", "roc_5", "volume_ratio")
+
+
+def _day_model(spark: SparkSession, folder: str) -> models.TrainedModel:
+    """A forest that knows a bar's class by its weekday."""
+    rows = feature_rows(spark, folder).withColumn("y", F.when(F.weekday("ts") <= 1, -1).when(F.weekday("ts") <= 3, 0).otherwise(1))
+    return models.fit_model(rows, "y", _DAYS, _FOREST)
+
+
+@query(with_bars("priority") + f" SELECT symbol, ts, {_CLASS} AS prediction FROM ix WHERE rn = n_rows - 1")
 def newest_scores(spark: SparkSession, folder: str) -> DataFrame:
-    (model,), _ = _fitted(spark, folder, _LOGIT)
-    return rounded(score_latest(bars(spark, folder, "priority"), model, _SPEC), 4)
+    return score_latest(bars(spark, folder, "priority"), _day_model(spark, folder), _SPEC).select("symbol", "ts", "prediction")
 
 
 @query(
@@ -440,14 +635,15 @@ def streamed_bars(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query()
+@query(with_bars("priority") + f" SELECT symbol, ts, {_CLASS} AS prediction FROM ix QUALIFY row_number() OVER (PARTITION BY symbol, year(ts) ORDER BY ts DESC) = 1")
 def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Replay the daily bars as a stream of files and score each file's newest bars."""
-    (model,), _ = _fitted(spark, folder, _LOGIT)
+    """Replay the daily bars as a stream of one file a year and score each file's newest bars."""
+    model = _day_model(spark, folder)
     source, out = scratch_path(spark, "feed"), scratch_path(spark, "scores")
-    day = bars(spark, folder, "priority").withColumn("part", F.year("ts"))
-    day.repartition("part").write.partitionBy("part").parquet(source)
-    feed = spark.readStream.schema(day.drop("part").schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", True).parquet(source)
+    day = cut(bars(spark, folder, "priority").withColumn("part", F.year("ts")))
+    for part in sorted(row.part for row in day.select("part").distinct().collect()):
+        day.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+    feed = spark.readStream.schema(day.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(source)
     job = score_stream(feed, scratch_path(spark, "known"), out, scratch_path(spark, "score-state"), model, _SPEC)
     job.start().awaitTermination()
-    return rounded(spark.read.parquet(out).select("symbol", "ts", "prediction", "confidence"), 4)
+    return spark.read.parquet(out).select("symbol", "ts", "prediction")

@@ -492,7 +492,7 @@ def calibrate(df: DataFrame, classes: Sequence, label: str = "y", method: str =
     for c in classes:
         p, hit = F.col(quoted(f"probability_{c}")), (F.col(label).cast("string") == str(c)).cast("double")
         if method == "sigmoid":
-            fitted = LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=200).fit(
+            fitted = LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=1000, tol=1e-12).fit(
                 VectorAssembler(inputCols=["__p"], outputCol="__x").transform(df.select(p.alias("__p"), hit.alias("__y")))
             )
             maps.append((float(fitted.coefficients[0]), float(fitted.intercept)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import quoted, require
@@ -34,27 +34,37 @@ def standardized(df: DataFrame, features: Sequence[str], keys: Sequence[str], lo
 
 
 def fit_regimes(
-    df: DataFrame, features: Sequence[str] = FEATURES, n_regimes: int = 3, lookback: int = 60, keys: Sequence[str] = KEYS, seed: int = 42
+    df: DataFrame, features: Sequence[str] = FEATURES, n_regimes: int = 3, lookback: int = 60, keys: Sequence[str] = KEYS, seed: int = 42, starts: int = 10
 ) -> KMeansModel:
+    """The tightest of `starts` clusterings."""
     require(df, *features)
-    ready = standardized(df, features, keys, lookback)
-    return KMeans(k=n_regimes, seed=seed, featuresCol="__features", predictionCol="regime", initSteps=5, maxIter=100).fit(ready)
+    ready = once(standardized(df, features, keys, lookback).select("__features"))
+    fits = [KMeans(k=n_regimes, seed=seed + i, featuresCol="__features", predictionCol="regime", initSteps=5, maxIter=100).fit(ready) for i in range(starts)]
+    return min(fits, key=lambda m: m.summary.trainingCost)
 
 
 def assign_regimes(
-    df: DataFrame, model: KMeansModel, features: Sequence[str] = FEATURES, lookback: int = 60, keys: Sequence[str] = KEYS
+    df: DataFrame, model: KMeansModel | Sequence[Sequence[float]], features: Sequence[str] = FEATURES, lookback: int = 60, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Regime and confidence 1 / (1 + distance to the centre) for every complete row."""
-    ready = model.transform(standardized(df, features, keys, lookback))
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    own = F.element_at(centers, F.col("regime") + 1)
-    gap = F.zip_with(vector_to_array("__features"), own, lambda x, c: (x - c) * (x - c))
-    distance = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, g: s + g))
+    """Regime (the nearest centre's number) and confidence 1 / (1 + distance to it) for every complete row.
+
+    `model` is a fitted clustering or its centres, in standardised features.
+    """
+    found = model.clusterCenters() if isinstance(model, KMeansModel) else model
+    ready = standardized(df, features, keys, lookback).withColumn("__z", vector_to_array("__features"))
+
+    def squared(center: Sequence[float]) -> Column:
+        return sum((F.col("__z")[i] - float(x)) * (F.col("__z")[i] - float(x)) for i, x in enumerate(center))
+
+    nearest = F.array_min(F.array(*[F.struct(squared(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(found)]))
+    ready = ready.withColumn("__near", nearest).withColumn("regime", F.col("__near.k")).withColumn("__d", F.sqrt("__near.d")).drop("__z", "__near")
+    distance = F.col("__d")
     names = F.array(*[F.lit(n) for n in NAMES])
     name = F.coalesce(F.try_element_at(names, F.col("regime") + 1), F.concat(F.lit("Regime "), F.col("regime").cast("string")))
-    return ready.withColumns({"confidence": 1 / (1 + distance), "regime_name": name}).drop("__features")
+    return ready.withColumns({"confidence": 1 / (1 + distance), "regime_name": name}).drop("__features", "__d")
 
 
-def latest_regime(assigned: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    pick = lambda c: F.max_by(c, TS).alias(c)
-    return assigned.groupBy(*keys).agg(pick("regime"), pick("regime_name"), pick("confidence"), F.max(TS).alias(TS))
+def latest_regime(assigned: DataFrame, features: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
+    """Each key's last regime, with the features of that bar."""
+    pick = lambda c: F.max_by(quoted(c), TS).alias(c)
+    return assigned.groupBy(*keys).agg(pick("regime"), pick("regime_name"), pick("confidence"), F.max(TS).alias(TS), *[pick(c) for c in features])

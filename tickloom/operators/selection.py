@@ -35,8 +35,9 @@ def chronological_split(df: DataFrame, test_size: float = 0.2, keys: Sequence[st
 def stratified_split(
     df: DataFrame, label: str, ident: Sequence[str], test_size: float = 0.2, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """The same share of each class by a hash of the row's identity, stable across runs."""
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(label), *ident), F.lit(1_000_000)) / 1_000_000
+    """The same share of each class by a hash (MD5) of the row's identity, stable across runs and engines."""
+    identity = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (label, *ident)])
+    share = F.conv(F.substring(F.md5(identity.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     test = share < test_size
     return df.filter(~test), df.filter(test)
 
