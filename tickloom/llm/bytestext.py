@@ -32,11 +32,16 @@ class Roll:
     """Prefix sums of byte values times powers of an odd base: hashes of all substrings."""
 
     def __init__(self, seed: int):
+        self.seed = seed
         self.table = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 0xD1342543DE82EF95 % (1 << 64)))
         self.base = int(mix(np.array([seed + 77], U))[0]) | 5
         self.inverse = pow(self.base, -1, 1 << 64)
         self.powers = self.backs = np.ones(1, U)
 
+    def __reduce__(self) -> tuple:
+        # Tables of powers stay behind when code travels to workers.
+        return Roll, (self.seed,)
+
     def _grow(self, n: int) -> None:
         if len(self.powers) >= n:
             return

@@ -34,7 +34,7 @@ from tickloom.plans.storage import scratch_path
 
 SCALE = 20
 LOWEST = U(1 << 31)
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:

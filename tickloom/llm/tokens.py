@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -42,15 +44,15 @@ def vocabulary(name: str) -> str:
 def _inner_cuts(data: np.ndarray) -> np.ndarray:
     """Whether a pre-token always begins at a byte inside a word."""
     cut = np.zeros(len(data), bool)
-    if len(data) < 2:
-        return cut
-    sign, latin = _SIGN[data], _LATIN[data]
-    latin[1:] &= data[:-1] == 0xC3
-    latin[0] = False
-    ends = _LETTER[data] | latin
-    begins = _LETTER[data]
-    begins[:-1] |= latin[1:]
-    cut[1:] = (ends[:-1] & sign[1:]) | (sign[:-1] & (data[:-1] != 0x27) & begins[1:])
+    sign = np.flatnonzero(_SIGN[data])
+    # Signs are few: look at their neighbours only.
+    left = sign[sign > 0] - 1
+    last = data[left]
+    letter = _LETTER[last] | (_LATIN[last] & (left > 0) & (data[left - 1] == 0xC3))
+    cut[left[letter] + 1] = True
+    right = sign[(sign < len(data) - 1) & (data[sign] != 0x27)] + 1
+    letter = _LETTER[data[right]] | ((data[right] == 0xC3) & _LATIN[data[np.minimum(right + 1, len(data) - 1)]])
+    cut[right[letter]] = True
     return cut
 
 
@@ -61,14 +63,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.mark = next((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.spaced = spaced
         self.size = self.tokenizer.get_vocab_size()
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, U)
-        self.slots = np.zeros(0, np.int64)
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: Open addressing by the low bits of a chunk's hash; -1 is free.
+        self.table = np.full(1 << (2 * CACHE - 1).bit_length(), -1, np.int32)
+        self.n = self.n_ids = 0
+        self.keys, self.starts, self.sizes = np.zeros(1 << 12, U), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.ids = np.zeros(1 << 14, np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each chunk, -1 for new ones."""
+        place = (hashes & U(len(self.table) - 1)).astype(np.int64)
+        slots = self.table[place]
+        open_ = np.flatnonzero((slots >= 0) & (self.keys[slots] != hashes))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & (len(self.table) - 1)
+            slots[open_] = self.table[place[open_]]
+            own = slots[open_]
+            open_ = open_[(own >= 0) & (self.keys[own] != hashes[open_])]
+        return slots
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put new chunks, all different, into the table."""
+        slots = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        place = (hashes & U(len(self.table) - 1)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = left[self.table[place[left]] < 0]
+            self.table[place[free]] = slots[free]
+            # Of several chunks that took one place the last has it.
+            left = left[self.table[place[left]] != slots[left]]
+            place[left] = (place[left] + 1) & (len(self.table) - 1)
+        starts = self.n_ids + np.cumsum(sizes) - sizes
+        for name, value, first in (("keys", hashes, self.n), ("starts", starts, self.n), ("sizes", sizes, self.n), ("ids", ids, self.n_ids)):
+            have = getattr(self, name)
+            if first + len(value) > len(have):
+                have = np.concatenate([have, np.zeros(max(len(have), len(value)), have.dtype)])
+                setattr(self, name, have)
+            have[first : first + len(value)] = value
+        self.n += len(hashes)
+        self.n_ids += len(ids)
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends."""
@@ -95,43 +133,61 @@ class Encoder:
         starts = np.flatnonzero(opens)
         return starts, np.append(starts[1:], n)
 
+    def _encode_all(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in turn and their number for each.
+
+        Special tokens cut a text before anything else, so chunks with one between them are
+        encoded in one call as if alone. Chunks that may hold one themselves go singly.
+        """
+        if any(b"<" in c for c in chunks):
+            own = [self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids if b"<" in c else None for c in chunks]
+            rest, sizes = self._encode_all([c for c, x in zip(chunks, own, strict=True) if x is None])
+            parts = iter(np.split(rest, np.cumsum(sizes)[:-1]))
+            every = [next(parts) if x is None else np.array(x, np.int32) for x in own]
+            return np.concatenate(every).astype(np.int32), np.array([len(x) for x in every], np.int64)
+        if not chunks:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        number, mark = self.mark
+        text = (mark.encode().join(chunks) + mark.encode()).decode("utf-8", "replace")
+        self.tokenizer.encode_special_tokens = False
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        self.tokenizer.encode_special_tokens = True
+        ends = np.flatnonzero(ids == number)
+        return ids[ids != number], np.diff(ends, prepend=-1) - 1
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in turn, and the offsets of rows in them."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         starts, ends = self._chunks(data, offsets)
         hashes = ROLLS[0].spans(ROLLS[0].prefixes(data), starts, ends)
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > max(CACHE, len(keys)):
-            self._clear()
-        place = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(np.append(self.keys, U(0))[place] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(self.keys):
-            new = new[~np.isin(keys[new], self.keys[-1:])] if len(new) else new
+        slots = self._find(hashes)
+        new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            at = len(self.ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in own for i in x), np.int32, int(sizes.sum()))])
-            slots = np.arange(len(self.starts), len(self.starts) + len(new))
-            self.starts, self.sizes = np.concatenate([self.starts, at]), np.concatenate([self.sizes, sizes])
-            self.keys = np.insert(self.keys, place[new], keys[new])
-            self.slots = np.insert(self.slots, place[new], slots)
-            place = np.searchsorted(self.keys, keys)
-        slot = self.slots[place][inverse]
-        sizes = self.sizes[slot]
-        ids = self.ids[counted(self.starts[slot], sizes)]
+            keys, first = np.unique(hashes[new], return_index=True)
+            if self.n + len(keys) > CACHE and self.n:
+                self._clear()
+                new = np.arange(len(hashes))
+                keys, first = np.unique(hashes, return_index=True)
+            while 2 * (self.n + len(keys)) > len(self.table):
+                self.table = np.full(2 * len(self.table), -1, np.int32)
+            raw, at = data.tobytes(), new[first]
+            self._add(keys, *self._encode_all([raw[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            slots[new] = self._find(hashes[new])
+        sizes = self.sizes[slots].astype(np.int64)
+        ids = self.ids[counted(self.starts[slots], sizes)]
         before = np.concatenate([[0], np.cumsum(sizes)])
         return ids, before[np.searchsorted(starts, offsets)]
 
 
-_open: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, spaced: bool) -> Encoder:
-    """This worker's encoder."""
-    if (path, spaced) not in _open:
-        _open[path, spaced] = Encoder(path, spaced)
-    return _open[path, spaced]
+    """This worker's encoder.
+
+    Spark sends this module to workers by value, anew for every task, so what a worker
+    keeps between tasks lies in a module of its own.
+    """
+    kept = sys.modules.setdefault("tickloom_worker", types.ModuleType("tickloom_worker"))
+    held = kept.__dict__.setdefault("encoders", {})
+    if (path, spaced) not in held:
+        held[path, spaced] = Encoder(path, spaced)
+    return held[path, spaced]
