@@ -195,3 +195,17 @@ def test_columns_with_dots(spark):
         masked = clean.detect_outliers(filled, ["a.b"], "zscore", 1.5)
         assert clean.handle_outliers(masked, method).agg({"`a.b`": "max"}).collect()[0][0] < 40
     assert clean.interpolate(df, ["a.b"]).filter("`a.b` IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("rule", ["7 hours", "50 minutes", "36 hours", "90 seconds"])
+def test_bins_that_do_not_divide_a_day(spark, rule):
+    step = pd.Timedelta(rule)
+    ts = pd.to_datetime(["2023-01-30 05:10:03", "2023-01-30 23:59:59", "2023-02-02 11:00:00", "2023-02-03 00:00:00"])
+    df = spark.createDataFrame(pd.DataFrame({"symbol": ["A", "A", "A", "B"], "ts": ts, "close": [1.0, 2.0, 3.0, 4.0], "volume": [1.0, 1.0, 1.0, 1.0]}))
+    got = clean.resample(df, rule).toPandas().sort_values(["symbol", "ts"], ignore_index=True)
+    floor = ts.floor(step)
+    want = list(pd.date_range(floor[0], floor[2], freq=step))
+    assert got[got["symbol"] == "A"]["ts"].tolist() == want
+    assert got[got["symbol"] == "B"]["ts"].tolist() == [floor[3]]
+    filled = got[got["symbol"] == "A"].set_index("ts")["close"]
+    assert filled.dropna().to_dict() == {t: c for t, c in zip(floor[:3], (1.0, 2.0, 3.0))}

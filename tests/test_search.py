@@ -86,3 +86,21 @@ def test_entry_on_the_last_bar_stays_open(spark, bars, walk):
     )
     row = first_exit(entry, bars).collect()[0]
     assert row["exit_rn"] is None and row["mfe"] == 0.0
+
+
+@pytest.mark.parametrize("chunk", [40, 700])
+def test_chain_over_one_hot_key(spark, chunk):
+    """One key has nine tenths of all entries, spread over many chunks, some of them empty."""
+    rng = np.random.default_rng(9)
+    rows, want = [], set()
+    for key, n in [("hot", 4000), *[(f"k{i}", 20) for i in range(22)]]:
+        pos = np.sort(rng.choice(np.r_[0:9000, 15000:40000], size=n, replace=False))
+        free = pos + 1 + np.where(rng.random(n) < 0.02, rng.integers(0, 3000, n), rng.integers(0, 20, n))
+        rows += [(key, int(p), int(f)) for p, f in zip(pos, free)]
+        state = 0
+        for p, f in zip(pos, free):
+            if p >= state:
+                want.add((key, int(p)))
+                state = f
+    got = chain(spark.createDataFrame(rows, "symbol string, pos bigint, until bigint"), "pos", "until", chunk_rows=chunk)
+    assert {(r["symbol"], r["pos"]) for r in got.collect()} == want

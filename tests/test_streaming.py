@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.features import FeatureSpec, LabelSpec, build_features
 from tickloom.operators.models import TrainSpec, fit_model
 from tickloom.sources.derived import bars_from_ticks
-from tickloom.streaming.bars import stream_bars
+from tickloom.streaming.bars import closing_tick, stream_bars
 from tickloom.streaming.scoring import score_latest, score_stream
 
 
@@ -44,3 +44,34 @@ def test_stream_scores_equal_batch_scores(spark, walk, tmp_path):
     want = score_latest(data, model, spec, rows=100).toPandas().sort_values("symbol", ignore_index=True)
     assert len(got) == 2
     pd.testing.assert_frame_equal(got[want.columns], want)
+
+
+def test_a_closing_tick_lets_the_last_windows_out(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "symbol string, ts timestamp, price double"
+    ticks = spark.createDataFrame(pd.DataFrame({"symbol": "S", "ts": pd.date_range("2023-01-01", periods=95, freq="min"), "price": range(95)})).selectExpr("symbol", "ts", "double(price) price")
+    ticks.write.parquet(source)
+    bars = stream_bars(spark.readStream.schema(schema).parquet(source), "30 minutes", "10 minutes").where("close IS NOT NULL")
+
+    def run():
+        job = bars.writeStream.format("parquet").outputMode("append")
+        job.option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["ts"].minute + 60 * r["ts"].hour, r["close"]) for r in spark.read.schema(bars.schema).parquet(out).collect())
+
+    assert run() == [(0, 29.0), (30, 59.0)]
+    last = ticks.agg(closing_tick(F.max("ts"), "30 minutes", "10 minutes").alias("ts"))
+    last.selectExpr("cast(null as string) symbol", "ts", "cast(null as double) price").write.mode("append").parquet(source)
+    assert run() == [(0, 29.0), (30, 59.0), (60, 89.0), (90, 94.0)]
+
+
+def test_newest_scores_equal_the_batch_table(spark, walk):
+    """Averages depend on all bars: the default reads them all."""
+    spec = FeatureSpec(momentum=True, indicators=[{"indicator": "ema", "length": 200}], label=LabelSpec(method="directional", max_holding_period=5, min_return_threshold=0.01))
+    data = spark.createDataFrame(walk[walk["symbol"] != "TINY"])
+    model = fit_model(build_features(data, spec), "directional_label", ["roc_5", "roc_20"], TrainSpec("logistic_regression"))
+    got = score_latest(data, model, spec).toPandas().set_index("symbol")
+    table = build_features(data, spec.without_label())
+    want = model.score(table).toPandas().sort_values("ts").groupby("symbol").last()
+    assert len(got) == 2
+    for c in ("probability_-1", "probability_1", "confidence"):
+        assert (got[c] - want[c]).abs().max() < 1e-12

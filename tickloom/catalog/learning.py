@@ -16,7 +16,7 @@ from tickloom.operators import evaluation, features, ledger, models, performance
 from tickloom.plans.series import RN
 from tickloom.plans.storage import cut, scratch_path
 from tickloom.sources.derived import table
-from tickloom.streaming.bars import stream_bars
+from tickloom.streaming.bars import closing_tick, stream_bars
 from tickloom.streaming.scoring import score_latest, score_stream
 
 # --- statistics ---------------------------------------------------------------
@@ -622,16 +622,22 @@ def newest_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2020-01-01') AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, "
     "last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2020-01-01')) "
-    "SELECT * FROM b WHERE ts + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+    "SELECT * FROM b"
 )
 def streamed_bars(spark: SparkSession, folder: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    ticks = ticks.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    out = stream_bars(ticks, "6 hours", "1 hour", "value", order=("ts", "event_id"))
+    """All bars of a stream of ticks that comes to its end: a last file's tick closes the windows still open."""
+    events = spark.read.parquet(f"{folder}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    source = scratch_path(spark, "ticks")
+    events.write.parquet(source)
+    feed = spark.readStream.schema(events.schema).parquet(source)
+    closing = events.agg(closing_tick(F.max("ts"), "6 hours", "1 hour").alias("ts"))
+    out = stream_bars(feed, "6 hours", "1 hour", "value", order=("ts", "event_id")).where(F.col("close").isNotNull())
     path = scratch_path(spark, "stream-bars")
     job = out.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", scratch_path(spark, "stream-state"))
     job.trigger(availableNow=True).start().awaitTermination()
+    last = closing.select(F.lit(None).cast("string").alias("symbol"), "ts", F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast(events.schema["value"].dataType).alias("value"))
+    last.write.mode("append").parquet(source)
+    job.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

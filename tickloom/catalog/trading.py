@@ -424,18 +424,22 @@ def recent_trades(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     _sim_sql(SPEC)
     + f""", c AS (SELECT symbol, ts, rn, equity, coalesce(equity / lag(equity) OVER (PARTITION BY symbol ORDER BY rn) - 1, 0.0) AS ret FROM curve),
-    s AS (SELECT symbol, last(equity ORDER BY rn) / first(equity ORDER BY rn) - 1 AS tot, count(*) AS n, stddev_samp(ret) * sqrt(252) AS vol FROM c GROUP BY symbol),
+    k AS (SELECT symbol, min(equity / peak - 1) AS mdd FROM (SELECT symbol, equity, max(equity) OVER (PARTITION BY symbol ORDER BY rn) AS peak FROM curve) GROUP BY symbol),
+    s AS (SELECT symbol, last(equity ORDER BY rn) / first(equity ORDER BY rn) - 1 AS tot, count(*) AS n, stddev_samp(ret) * sqrt(252) AS vol, coalesce(stddev_samp(ret) FILTER (ret < 0) * sqrt(252), 0) AS dvol FROM c GROUP BY symbol),
     f AS (SELECT symbol, last(final ORDER BY rn) AS final FROM curve GROUP BY symbol),
     b AS (SELECT symbol, (last(close ORDER BY rn) / first(close ORDER BY rn) - 1) * 100 AS bh FROM ix GROUP BY symbol),
-    t AS (SELECT symbol, count(*) AS num_trades FROM trades GROUP BY symbol)
-    SELECT symbol, {r('tot * 100', 'total_return_pct')}, {r('(pow(1 + tot, 252.0 / n) - 1) * 100', 'annualized_return_pct')}, {r('vol * 100', 'volatility_pct')},
-    {r('(pow(1 + tot, 252.0 / n) - 1) / vol', 'sharpe_ratio')}, {r('bh', 'buy_and_hold_return_pct')}, coalesce(num_trades, 0) AS num_trades, {r('final', 'final_capital', 5)}
-    FROM s JOIN b USING (symbol) JOIN f USING (symbol) LEFT JOIN t USING (symbol)"""
+    t AS (SELECT symbol, count(*) AS n_trades, count(*) FILTER (realized_pnl > 0) AS wins, count(*) FILTER (realized_pnl < 0) AS losses, 100 * avg(realized_pnl) AS mean,
+      coalesce(100 * avg(realized_pnl) FILTER (realized_pnl > 0), 0) AS mean_win, coalesce(100 * avg(realized_pnl) FILTER (realized_pnl < 0), 0) AS mean_loss,
+      coalesce(sum(realized_pnl) FILTER (realized_pnl > 0), 0) / abs(sum(realized_pnl) FILTER (realized_pnl < 0)) AS pf, avg(date_diff('second', entry_time, exit_time)) AS held FROM trades GROUP BY symbol),
+    g AS (SELECT *, pow(1 + tot, 252.0 / n) - 1 AS yearly FROM s JOIN k USING (symbol) JOIN b USING (symbol) JOIN f USING (symbol) LEFT JOIN t USING (symbol))
+    SELECT symbol, {r('tot * 100', 'total_return_pct')}, {r('yearly * 100', 'annualized_return_pct')}, {r('vol * 100', 'volatility_pct')}, {r('mdd * 100', 'max_drawdown_pct')},
+    {r('yearly / vol', 'sharpe_ratio')}, {r('yearly / dvol', 'sortino_ratio')}, {r('yearly / abs(mdd)', 'calmar_ratio')}, {r('bh', 'buy_and_hold_return_pct')},
+    coalesce(n_trades, 0) AS num_trades, coalesce(wins, 0) AS num_winning_trades, coalesce(losses, 0) AS num_losing_trades, {r('coalesce(100.0 * wins / n_trades, 0)', 'win_rate_pct')},
+    {r('mean', 'avg_trade_pnl_pct')}, {r('mean_win', 'avg_win_pnl_pct')}, {r('mean_loss', 'avg_loss_pnl_pct')}, {r('pf', 'profit_factor')}, {r('held', 'avg_duration')}, {r('final', 'final_capital', 5)} FROM g"""
 )
 def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
     out = ledger.backtest(predicted(spark, folder), SPEC).summary
-    names = ("total_return_pct", "annualized_return_pct", "volatility_pct", "sharpe_ratio", "buy_and_hold_return_pct", "num_trades")
-    return rounded(out.select("symbol", *names)).join(rounded(out.select("symbol", "final_capital"), 5), "symbol")
+    return rounded(rounded(out, raw=("final_capital",)), 5, raw=[c for c in out.columns if c != "final_capital"])
 
 
 @query(with_bars("priority") + f" SELECT symbol, ts, round(10000.0 * close / first(close) OVER (PARTITION BY symbol ORDER BY rn), 5) + 0.0 AS benchmark_equity FROM ix")
@@ -464,14 +468,14 @@ def portfolio_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- performance ------------------------------------------------------------
 
-_RETURNS = f", rt AS (SELECT symbol, ts, rn, 0.01 * (close / nullif({lag('close')}, 0) - 1) AS ret FROM ix), rr AS MATERIALIZED (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, ret FROM rt WHERE rn > 0)"
+_RETURNS = f", rt AS (SELECT symbol, ts, rn, 0.001 * (close / nullif({lag('close')}, 0) - 1) AS ret FROM ix), rr AS MATERIALIZED (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, ret FROM rt WHERE rn > 0)"
 
 
 def returns(spark: SparkSession, folder: str, which: str = "brand") -> DataFrame:
     """Scaled close-to-close returns without the first bar of each symbol."""
 
     def build(d: DataFrame, w) -> DataFrame:
-        return d.withColumn("ret", 0.01 * pct_change("close", w))
+        return d.withColumn("ret", 0.001 * pct_change("close", w))
 
     out = over_chunks(indexed(spark, folder, which), build, back=1)
     return out.filter(F.col(RN) > 0).select("symbol", "ts", "ret")
@@ -498,15 +502,13 @@ _RM = f"""
     + _RETURNS
     + ","
     + _RM
-    + f""" SELECT symbol, win_days, lose_days, max_consecutive_wins, max_consecutive_losses, {rs('total_return', 'annualized_return', digits=2)}, {rs('avg_return', 'avg_win', 'avg_loss', 'volatility', 'downside_volatility', 'max_drawdown', 'var_95', 'cvar_95')},
-    {r('win_days / n', 'win_rate')}, {r('annualized_return / volatility', 'sharpe_ratio', 2)}, {r('annualized_return / downside_volatility', 'sortino_ratio', 2)}, {r('annualized_return / abs(max_drawdown)', 'calmar_ratio', 2)},
+    + f""" SELECT symbol, win_days, lose_days, max_consecutive_wins, max_consecutive_losses, {rs('total_return', 'annualized_return')}, {rs('avg_return', 'avg_win', 'avg_loss', 'volatility', 'downside_volatility', 'max_drawdown', 'var_95', 'cvar_95')},
+    {r('win_days / n', 'win_rate')}, {r('annualized_return / volatility', 'sharpe_ratio')}, {r('annualized_return / downside_volatility', 'sortino_ratio')}, {r('annualized_return / abs(max_drawdown)', 'calmar_ratio')},
     {r('gain / pain', 'profit_factor')}, {r('abs(avg_win / avg_loss)', 'win_loss_ratio')}, {rs('skewness', 'kurtosis', 'autocorrelation_1d')},
     {r('n / 6 * (skewness ^ 2 + kurtosis ^ 2 / 4)', 'jb_statistic')}, {r('exp(-n / 6 * (skewness ^ 2 + kurtosis ^ 2 / 4) / 2)', 'jb_pvalue')} FROM al"""
 )
 def return_figures(spark: SparkSession, folder: str) -> DataFrame:
-    large = ("total_return", "annualized_return", "sharpe_ratio", "sortino_ratio", "calmar_ratio")
-    out = performance.return_metrics(returns(spark, folder))
-    return rounded(rounded(out, 6, raw=large), 2, raw=[c for c in out.columns if c not in large])
+    return rounded(performance.return_metrics(returns(spark, folder)))
 
 
 _EQUITY = ", eq AS MATERIALIZED (SELECT symbol, ts, rn, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY rn)) * 100 AS equity FROM rr)"

@@ -45,18 +45,25 @@ def _step_seconds(rule: str) -> int:
 def _bins(spans: DataFrame, rule: str, keys: Sequence[str]) -> DataFrame:
     """Every bucket from the first to the last of each key.
 
-    Buckets shorter than a day are unrolled day by day, so no array is longer
-    than one day of buckets.
+    Buckets of hours, minutes and seconds are unrolled in groups of about a
+    day, so no array is longer than one day of buckets.
     """
     if rule in _CALENDAR:
         return spans.select(*keys, F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {_CALENDAR[rule]}"))).alias(TS))
+    # Buckets count from the epoch, in steps that need not divide a day.
     step = _step_seconds(rule)
-    if 86400 % step:
-        return spans.select(*keys, F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {rule}"))).alias(TS))
-    first_day = F.date_trunc("day", "lo").cast("timestamp_ntz")
-    days = spans.select(*keys, "lo", "hi", F.explode(F.sequence(first_day, F.col("hi"), F.expr("INTERVAL 1 DAY"))).alias("d"))
-    steps = F.sequence(F.col("d"), F.col("d") + F.expr(f"INTERVAL {86400 - step} SECONDS"), F.expr(f"INTERVAL {rule}"))
-    return days.withColumn(TS, F.explode(steps)).filter(F.col(TS).between(F.col("lo"), F.col("hi"))).select(*keys, TS)
+
+    def second(c: str) -> Column:
+        days = F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+        return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+    numbered = spans.select(*keys, "lo", (second("lo") / step).cast("bigint").alias("a"), (second("hi") / step).cast("bigint").alias("z"))
+    per_day = max(1, 86400 // step)
+    first = F.sequence((F.col("a") / per_day).cast("bigint"), (F.col("z") / per_day).cast("bigint"))
+    days = numbered.select(*keys, "lo", "a", "z", F.explode(first).alias("d"))
+    steps = F.sequence(F.greatest(F.col("a"), F.col("d") * per_day), F.least(F.col("z"), F.col("d") * per_day + per_day - 1))
+    each = days.select(*keys, "lo", "a", F.explode(steps).alias("k"))
+    return each.select(*keys, (F.col("lo") + F.make_dt_interval(secs=((F.col("k") - F.col("a")) * step).cast("decimal(18,6)"))).alias(TS))
 
 
 def resample(df: DataFrame, rule: str, keys: Sequence[str] = KEYS, fill_gaps: bool = True) -> DataFrame:

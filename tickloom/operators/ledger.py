@@ -355,9 +355,9 @@ def concurrent_limits(
 
     What is open when a time chunk begins depends on the chunks before it, yet
     holds at most `max_open` trades. Each chunk is first run as if nothing
-    were open, then again with what its predecessor left open, until no chunk
-    is handed anything new. All chunks run in parallel; the usual two or three
-    rounds are the time an early choice keeps mattering.
+    were open, then again with what its predecessor left open, as long as it
+    is handed anything new. Such chunks run in parallel, the others rest; the
+    usual two or three rounds are the time an early choice keeps mattering.
     """
     tagged = cut(
         candidates.withColumn("__chunk", time_slice("entry_time", chunk_trades_hours)).withColumn(
@@ -391,18 +391,19 @@ def concurrent_limits(
     chunks = cut(slim.select(*keys, "__chunk").distinct())
     order = index_by(chunks, keys, F.floor(F.col("__chunk") / 4096), [F.col("__chunk")]).drop(N_ROWS)
     state = cut(order.withColumn("held", F.lit(None).cast(shape)))
+    todo = state
     while True:
-        with_state = slim.join(state.select(*keys, "__chunk", "held"), [*keys, "__chunk"])
+        with_state = slim.join(todo.select(*keys, "__chunk", "held"), [*keys, "__chunk"])
         left = with_state.groupBy(*keys, "__chunk").applyInPandas(
             lambda pdf: run(pdf, True), f"{key_schema}, __chunk bigint, left {shape}"
         )
-        handed = state.select(*keys, "__chunk", RN).join(left, [*keys, "__chunk"]).select(*keys, (F.col(RN) + 1).alias(RN), F.col("left").alias("held"))
-        nxt = cut(state.withColumnRenamed("held", "__was").join(handed, [*keys, RN], "left"))
-        changed = nxt.filter(F.coalesce(F.to_json("held"), F.lit("[]")) != F.coalesce(F.to_json("__was"), F.lit("[]")))
-        done = changed.isEmpty()
-        state = nxt.drop("__was")
-        if done:
+        handed = todo.select(*keys, "__chunk", RN).join(left, [*keys, "__chunk"]).select(*keys, (F.col(RN) + 1).alias(RN), F.col("left").alias("__new"))
+        other = F.coalesce(F.to_json("held"), F.lit("[]")) != F.coalesce(F.to_json("__new"), F.lit("[]"))
+        # Only chunks that are handed something else than before run again.
+        todo = cut(state.join(handed, [*keys, RN]).filter(other).drop("held").withColumnRenamed("__new", "held"))
+        if todo.isEmpty():
             break
+        state = cut(state.join(todo.select(*keys, RN), [*keys, RN], "left_anti").unionByName(todo))
     accepted = slim.join(state.select(*keys, "__chunk", "held"), [*keys, "__chunk"]).groupBy(*keys, "__chunk").applyInPandas(
         lambda pdf: run(pdf, False), f"{key_schema}, symbol string, a bigint"
     )

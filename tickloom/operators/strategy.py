@@ -12,7 +12,7 @@ from tickloom.functions.columns import quoted
 from tickloom.operators import signals as sg
 from tickloom.operators.features import FeatureSpec, build_features
 from tickloom.operators.indicators import atr
-from tickloom.operators.ledger import LedgerSpec, backtest, buy_and_hold
+from tickloom.operators.ledger import LedgerSpec, backtest, buy_and_hold, concurrent_limits
 from tickloom.operators.models import TrainSpec, fit_model
 from tickloom.operators.selection import chronological_split
 from tickloom.operators.walkforward import Folds, fold_backtests, fold_summary, fold_testing, fold_training, strategy_summary
@@ -24,7 +24,12 @@ PRICES = ("open", "high", "low", "close", "volume")
 
 @dataclass(frozen=True)
 class StrategySpec:
-    """kind is dma_crossover, rsi_mean_reversion or ml; `folds` turns walk-forward on."""
+    """kind is dma_crossover, rsi_mean_reversion or ml; `folds` turns walk-forward on.
+
+    A model is fitted over all keys, or with `per_asset` one for each key that is
+    long enough. `max_open` lets a portfolio of all keys hold only so many trades
+    at once, `max_correlated` of them from one `group`, a column of the bars.
+    """
 
     kind: str = "dma_crossover"
     short: int = 20
@@ -41,6 +46,10 @@ class StrategySpec:
     regime_actions: Mapping[int, str] | None = None
     ledger: LedgerSpec = field(default_factory=LedgerSpec)
     folds: Folds | None = None
+    per_asset: bool = False
+    max_open: int | None = None
+    max_correlated: int | None = None
+    group: str | None = None
 
 
 @dataclass(frozen=True)
@@ -62,14 +71,8 @@ def _rule_signals(bars: DataFrame, spec: StrategySpec, keys: Sequence[str]) -> D
     return sg.rsi_signals(bars, spec.rsi_length, spec.rsi_lower, spec.rsi_upper, keys)
 
 
-def _model_signals(bars: DataFrame, spec: StrategySpec, keys: Sequence[str]) -> DataFrame:
-    """Out-of-sample signals: late rows of each key, or the test rows of every fold.
-
-    One model is fitted per fold over all keys; folds count within each key.
-    """
-    label = LABELS[spec.features.label.method]
-    table = cut(index_series(build_features(bars, spec.features, keys), keys))
-    names = [c for c in table.columns if c not in {*keys, TS, RN, N_ROWS, label, *PRICES}]
+def _scores(table: DataFrame, spec: StrategySpec, label: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame | None:
+    """Probabilities of late rows of each key, or of the test rows of every fold; folds count within each key."""
     if spec.folds is None:
         early, late = chronological_split(table, spec.training.test_size, keys)
         parts = [(early, late)]
@@ -91,6 +94,26 @@ def _model_signals(bars: DataFrame, spec: StrategySpec, keys: Sequence[str]) ->
         columns = [f"probability_{c}" for c in model.classes]
         fresh = cut(part.select(*keys, TS, *PRICES, *[quoted(c) for c in columns]))
         scored = fresh if scored is None else scored.unionByName(fresh, allowMissingColumns=True)
+    return scored
+
+
+def _model_signals(bars: DataFrame, spec: StrategySpec, keys: Sequence[str]) -> DataFrame:
+    """Out-of-sample signals of one model over all keys, or of one per key."""
+    label = LABELS[spec.features.label.method]
+    table = cut(index_series(build_features(bars, spec.features, keys), keys))
+    names = [c for c in table.columns if c not in {*keys, TS, RN, N_ROWS, label, *PRICES}]
+    if not spec.per_asset:
+        scored = _scores(table, spec, label, names, keys)
+    else:
+        scored = None
+        # One row per asset; each gets its own fits.
+        for asset in table.filter(F.col(label).isNotNull()).select(*keys).distinct().sort(*keys).collect():
+            own = table
+            for k in keys:
+                own = own.filter(F.col(k) == F.lit(asset[k]))
+            part = _scores(own, spec, label, names, keys)
+            if part is not None:
+                scored = part if scored is None else scored.unionByName(part, allowMissingColumns=True)
     if scored is None:
         raise ValueError("no key is long enough for a single fold")
     # Overlapping test slices score a row more than once: the mean counts.
@@ -116,5 +139,13 @@ def run_strategy(bars: DataFrame, spec: StrategySpec = StrategySpec(), keys: Seq
     else:
         done = backtest(ready, spec.ledger, "signal", keys=keys)
         assets = done.summary
+    trades = done.trades
+    if spec.max_open is not None:
+        one = trades.withColumn("portfolio", F.lit("all"))
+        if spec.group is not None:
+            groups = bars.select(*keys, F.col(spec.group).cast("string").alias("__sector")).distinct()
+            one = one.join(groups, list(keys))
+        limit = spec.max_correlated if spec.max_correlated is not None else spec.max_open
+        trades = concurrent_limits(one, spec.max_open, limit, "__sector" if spec.group is not None else None).drop("portfolio", "__sector")
     results = cut(done.summary)
-    return StrategyResult(ready, done.trades, done.equity, results, assets, strategy_summary(assets))
+    return StrategyResult(ready, trades, done.equity, results, assets, strategy_summary(assets))

@@ -213,6 +213,54 @@ def _follow(pos: np.ndarray, free: np.ndarray) -> np.ndarray:
     return out
 
 
+def _after(upto: np.ndarray, out: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """When the series is free after a chunk it reaches at `state`; unchanged beyond its last entry."""
+    i = np.searchsorted(upto, state)
+    return np.where(i < len(upto), out[np.minimum(i, len(upto) - 1)], state)
+
+
+def _arrivals(summaries: DataFrame, keys: Sequence[str], key_schema: str) -> DataFrame:
+    """For each chunk, the bar from which the series is free when it reaches the chunk.
+
+    A group never holds more than the answers of two neighbours.
+    """
+    node = f"{key_schema}, __chunk bigint, upto array<bigint>, out array<bigint>"
+    arrival = f"{key_schema}, __chunk bigint, __arrive bigint"
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__chunk")
+        upto, out = np.asarray(pdf["upto"].iloc[0]), np.asarray(pdf["out"].iloc[0])
+        if len(pdf) == 2:
+            right, after = np.asarray(pdf["upto"].iloc[1]), np.asarray(pdf["out"].iloc[1])
+            later = right > upto[-1]
+            out = np.concatenate([_after(right, after, out), after[later]])
+            upto = np.concatenate([upto, right[later]])
+            last = np.append(out[1:] != out[:-1], True)
+            upto, out = upto[last], out[last]
+        head = {k: [pdf[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**head, "__chunk": [int(pdf["__chunk"].iloc[0]) // 2], "upto": [upto], "out": [out]})
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__chunk")
+        state = np.int64(pdf["__arrive"].iloc[0])
+        arrive = [state]
+        if len(pdf) == 2:
+            arrive.append(_after(np.asarray(pdf["upto"].iloc[0]), np.asarray(pdf["out"].iloc[0]), state))
+        return pdf[[*keys, "__chunk"]].assign(__arrive=[int(x) for x in arrive])
+
+    levels = [once(summaries)]
+    most = levels[0].agg(F.max("__chunk")).first()[0] or 0
+    parent = F.expr("__chunk div 2")
+    for _ in range(int(most).bit_length()):
+        grouped = levels[-1].withColumn("__parent", parent).groupBy(*keys, "__parent")
+        levels.append(cut(grouped.applyInPandas(pair, node)))
+    found = levels[-1].select(*keys, "__chunk", F.lit(0).cast("bigint").alias("__arrive"))
+    for level in reversed(levels[:-1]):
+        above = found.withColumnRenamed("__chunk", "__parent")
+        found = level.withColumn("__parent", parent).join(above, [*keys, "__parent"]).groupBy(*keys, "__parent").applyInPandas(down, arrival)
+    return found
+
+
 def chain(
     entries: DataFrame,
     pos: str,
@@ -224,8 +272,9 @@ def chain(
 
     A chunk answers, for every bar at which the series may become free inside
     it, when it is free again after the chunk; runs of equal answers are
-    stored once. Those answers, one row per chunk, are folded in order per
-    key, and each chunk then marks its own entries.
+    stored once. Neighbouring chunks' answers are put together in pairs up a
+    tree, the bar at which the series reaches each chunk comes down it, and
+    each chunk then marks its own entries.
     """
     entries = once(entries)
     chunked = entries.withColumn("__chunk", F.expr(f"`{pos}` div {chunk_rows}"))
@@ -238,16 +287,6 @@ def chain(
         head = {k: [pdf[k].iloc[0]] for k in (*keys, "__chunk")}
         return pd.DataFrame({**head, "upto": [p[last_of_run]], "out": [out[last_of_run]]})
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        state, arrive = 0, []
-        for upto, out in zip(pdf["upto"], pdf["out"]):
-            arrive.append(state)
-            i = np.searchsorted(upto, state)
-            if i < len(upto):
-                state = int(out[i])
-        return pdf[[*keys, "__chunk"]].assign(__arrive=arrive)
-
     def mark(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(pos)
         p, f = batch[pos].to_numpy(), batch[free].to_numpy()
@@ -262,7 +301,7 @@ def chain(
     summaries = slim.groupBy(*keys, "__chunk").applyInPandas(
         summarise, f"{key_schema}, __chunk bigint, upto array<bigint>, out array<bigint>"
     )
-    arrivals = summaries.groupBy(*keys).applyInPandas(fold, f"{key_schema}, __chunk bigint, __arrive bigint")
+    arrivals = _arrivals(summaries, keys, key_schema)
     taken = (
         slim.join(arrivals, [*keys, "__chunk"])
         .groupBy(*keys, "__chunk")

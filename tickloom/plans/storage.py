@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
 _local_dir: str | None = None
+#: Tables written by `cut`, to be deleted by `clear_stored`.
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     they need, and a lost executor costs no more than rereading files.
     """
     path = scratch_path(df.sparkSession, "stored")
+    _stored.append(path)
     # Parquet has no column without a type.
     untyped = {f.name: F.lit(None).cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
     ready = df.withColumns(untyped) if untyped else df
@@ -44,7 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(ready.schema).parquet(path)
 
 
-_SHUFFLES = ("Join", "Aggregate", "Window", "Sort", "Distinct", "Repartition", "FlatMapGroups", "Generate")
+# Plan nodes whose work should not be done twice: shuffles, and rows that pass through Python.
+_COSTLY = frozenset(
+    "Join Aggregate Window Sort Distinct Deduplicate Repartition RepartitionByExpression RebalancePartitions Generate Expand CoGroup MapInPandas MapInArrow "
+    "FlatMapGroupsInPandas FlatMapGroupsInArrow FlatMapCoGroupsInPandas FlatMapCoGroupsInArrow ArrowEvalPython BatchEvalPython WindowInPandas AsOfJoin".split()
+)
+
+
+def costly(df: DataFrame) -> bool:
+    """Whether the plan has a node beyond scans, projections, filters and unions."""
+    left = [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() in _COSTLY:
+            return True
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return False
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -54,5 +74,28 @@ def once(df: DataFrame) -> DataFrame:
     values. Stacked plans would then redo the work at the bottom many times,
     so anything beyond a plain scan or a stored table is stored first.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return cut(df) if any(word in plan for word in _SHUFFLES) else df
+    return cut(df) if costly(df) else df
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables this application has stored so far; their number.
+
+    Call it when results are written or fetched: frames that still read a
+    stored table fail afterwards. It runs by itself when the interpreter ends
+    with the session alive.
+    """
+    jvm, n = spark._jvm, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear_stored(spark)
+
+
+atexit.register(_at_exit)

@@ -70,8 +70,9 @@ def normalize_vendor_bars(df: DataFrame, vendor: Vendor | str, adjust: bool = Tr
         return _rename(df, {c: m.group(1).lower() for c in df.columns if (m := re.match(r"^\d+\. (\w+)", c))})
     df = df.toDF(*[c.lower() for c in df.columns])
     if vendor is Vendor.YAHOO and "adj close" in df.columns:
-        if not adjust:
+        if not adjust and "close" in df.columns:
             return df.drop("adj close")
+        # Without a plain close the adjusted one is all there is.
         return _rename(df.drop("close"), {"adj close": "close"})
     if vendor is Vendor.DATAREADER:
         return _rename(df, {"adj close": "adj_close", "adj. close": "adj_close", "last": "close", "value": "close"})

@@ -39,3 +39,14 @@ def stream_bars(
         )
         .select(*keys, F.col("__w.start").alias(TS), "open", "high", "low", "close", "volume")
     )
+
+
+def closing_tick(newest: str | Column, duration: str, delay: str) -> Column:
+    """A time so far past the newest tick that one tick at it closes every window before.
+
+    A stream that ends leaves its last windows open. Feed one more tick without
+    a price at this time, and drop bars without a price. (A filter on the keys
+    would run before the watermark and hide the tick from it.)
+    """
+    t = F.col(newest) if isinstance(newest, str) else newest
+    return t + F.expr(f"INTERVAL {duration}") + F.expr(f"INTERVAL {duration}") + F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {delay}")
