@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.features import FeatureSpec, LabelSpec
 from tickloom.operators.ledger import LedgerSpec
-from tickloom.operators.models import TrainSpec
+from tickloom.operators.models import TrainSpec, fit_model
 from tickloom.operators.strategy import StrategySpec, run_strategy
 
 ROOMY = LedgerSpec(stop_multiple=1.0, target_multiple=1.0, trailing=None)
@@ -26,16 +26,23 @@ def opposite(spark):
     return spark.createDataFrame(pd.concat(parts))
 
 
-def test_models_per_asset_learn_what_a_common_one_cannot(opposite):
+def test_models_per_asset(opposite, monkeypatch):
     features = FeatureSpec(label=LabelSpec(method="directional", max_holding_period=1))
     training = TrainSpec("random_forest", {"n_estimators": 10, "max_depth": 5, "max_features": None}, test_size=0.3)
-    right = {}
+    fits = []
+
+    def counted(df, *args):
+        fits.append(sorted(r.symbol for r in df.select("symbol").distinct().collect()))
+        return fit_model(df, *args)
+
+    monkeypatch.setattr("tickloom.operators.strategy.fit_model", counted)
     for per_asset in (False, True):
         spec = StrategySpec("ml", features=features, training=training, threshold=0.4, cooling=0, ledger=ROOMY, per_asset=per_asset)
         signals = run_strategy(opposite.drop("sector"), spec).signals
         rows = signals.where("signal <> 0").select("symbol", "signal", F.weekday("ts").alias("d")).collect()
-        right[per_asset] = np.mean([r.signal == (1 if r.d < 3 else -1) * (1 if r.symbol == "UP" else -1) for r in rows])
-    assert right[True] > 0.9 > right[False]
+        assert {r.symbol for r in rows} == {"UP", "DOWN"}
+        assert np.mean([r.signal == (1 if r.d < 3 else -1) * (1 if r.symbol == "UP" else -1) for r in rows]) > 0.9
+    assert fits == [["DOWN", "UP"], ["DOWN"], ["UP"]]
 
 
 def test_a_portfolio_holds_only_so_many_trades(opposite):
