@@ -176,16 +176,22 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     return Model([r.lang for r in found], np.stack([np.frombuffer(r.center, "<f4") for r in found]), np.array([r.least for r in found]), idf)
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", slack: float = 0.2) -> DataFrame:
-    """The rows with lang_pred, score and rejected added; columns of these names are replaced."""
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    table = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("__text"))
+def identify(docs: DataFrame, model: Model | None, text: str = "text", slack: float = 0.2, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (default: all) with lang_pred, score and rejected; columns of these names are replaced."""
+    added = ("lang_pred", "score", "rejected")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    # The text goes to the workers once, as what it is among the kept columns or as one more.
+    table = docs.select(*[F.col(f"`{c}`") for c in kept])
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields]
+    if text not in kept:
+        table = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
+    at = table.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             names, scores, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(at).cast(pa.string())
             for r, own in _texts(column):
                 # Marks beyond ASCII may be signs; only then is the text itself searched.
                 if not (own != 0x20).any() or not (((own >= 97) & (own <= 122)).any() or has_letter(column[r].as_py())):
@@ -196,9 +202,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", slack: fl
                 best, scores[r] = model.predict(*columns_of(own))
                 names[r] = model.languages[best]
                 rejected[r] = scores[r] < slack * model.least[best]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=[*rest, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=[*kept, *added])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1]]
     return table.mapInArrow(predict, ", ".join([*kinds, "lang_pred string, score double, rejected boolean"]))
 
 
@@ -206,4 +211,4 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = docs.select("doc_id", "text", F.coalesce(held_out("doc_id", 4, 2), F.lit(False)).alias("held_out"))
     model = train(docs)
-    return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return identify(rows, model, keep=["doc_id", "held_out"])
