@@ -215,6 +215,11 @@ def _decay(gap: Column, alpha: float) -> Column:
     return F.log1p(F.lit(alpha) * F.exp(F.when(steps > _VANISH - 45, _VANISH - 45).otherwise(steps)))
 
 
+def _raised(i: int, alpha: float, sign: int) -> Column:
+    """exp(-L) or its inverse: single steps as a power of q, which rounds once, however many they are."""
+    return F.pow(F.lit(1.0 - alpha), F.col(f"__k{i}") * sign) * F.exp(F.col(f"__w{i}") * -sign)
+
+
 def _end_states(summaries: DataFrame, specs: Sequence[Ewm], keys: Sequence[str]) -> DataFrame:
     """For each chunk: the average and the number of values before it, and its first value's decay.
 
@@ -238,11 +243,11 @@ def _end_states(summaries: DataFrame, specs: Sequence[Ewm], keys: Sequence[str])
     partial = [i for i, s in enumerate(specs) if s.alpha < 1]
     if not partial:
         return out
-    out = out.withColumns({f"__total{i}": F.sum(F.coalesce(F.col(f"__L{i}"), F.lit(0.0)) + F.coalesce(F.col(f"__d{i}"), F.lit(0.0))).over(upto) for i in partial})
+    out = out.withColumns({f"__total{i}": F.sum(F.coalesce(F.col(f"__k{i}") * -math.log1p(-specs[i].alpha) + F.col(f"__w{i}"), F.lit(0.0)) + F.coalesce(F.col(f"__d{i}"), F.lit(0.0))).over(upto) for i in partial})
     # The first chunk with values takes its first value whole.
     share = {i: F.lit(1.0) - F.when(F.col(f"__d{i}").isNull(), F.lit(0.0)).otherwise(F.exp(-F.col(f"__d{i}"))) for i in partial}
     out = out.withColumns({f"__s{i}": F.floor(F.col(f"__total{i}") / _SEGMENT) for i in partial})
-    term = {i: F.when(F.col(f"__m{i}") > 0, F.exp(-F.col(f"__L{i}")) * (share[i] * F.col(f"__xf{i}") + F.col(f"__V{i}"))) for i in partial}
+    term = {i: F.when(F.col(f"__m{i}") > 0, _raised(i, specs[i].alpha, 1) * (share[i] * F.col(f"__xf{i}") + F.col(f"__V{i}"))) for i in partial}
     out = out.withColumns({f"__t{i}": term[i] * F.exp(F.col(f"__total{i}") - F.col(f"__s{i}") * _SEGMENT) for i in partial})
     ends = {}
     for i in partial:
@@ -288,13 +293,17 @@ def ewm(
         places |= {f"__m{i}": F.count(x).over(upto)}
         summary += [F.max(f"__m{i}").alias(f"__m{i}"), F.min(row).alias(f"__rf{i}"), F.max(row).alias(f"__rl{i}")]
         if s.alpha < 1:
-            places[f"__e{i}"] = F.when(x.isNotNull(), F.coalesce(_decay(F.col(rn) - F.last(row, ignorenulls=True).over(before), s.alpha), F.lit(0.0)))
+            places[f"__g{i}"] = F.when(x.isNotNull(), F.col(rn) - F.last(row, ignorenulls=True).over(before))
             places[f"__xf{i}"] = F.first(x, ignorenulls=True).over(upto)
-            decayed[f"__L{i}"] = F.coalesce(F.sum(f"__e{i}").over(upto), F.lit(0.0))
-            enters = (F.lit(1.0) - F.exp(-F.col(f"__e{i}"))) * x * F.exp(F.col(f"__L{i}"))
+            # Steps of one row are counted, not summed: no rounding piles up.
+            gap = F.col(f"__g{i}")
+            decayed[f"__k{i}"] = F.count(F.when(gap == 1, 1)).over(upto)
+            decayed[f"__w{i}"] = F.coalesce(F.sum(F.when(gap > 1, _decay(gap, s.alpha))).over(upto), F.lit(0.0))
+            share = F.when(gap == 1, s.alpha).otherwise(F.lit(1.0) - F.exp(-_decay(gap, s.alpha)))
+            enters = F.when(gap.isNotNull(), share * x * _raised(i, s.alpha, -1))
             sums[f"__V{i}"] = F.coalesce(F.sum(enters).over(upto), F.lit(0.0))
             # Sums of a chunk are those of its last row.
-            summary += [F.max_by(c, rn).alias(c) for c in (f"__xf{i}", f"__L{i}", f"__V{i}")]
+            summary += [F.max_by(c, rn).alias(c) for c in (f"__xf{i}", f"__k{i}", f"__w{i}", f"__V{i}")]
         else:
             places[f"__xl{i}"] = F.last(x, ignorenulls=True).over(upto)
             summary.append(F.max_by(f"__xl{i}", rn).alias(f"__xl{i}"))
@@ -311,12 +320,12 @@ def ewm(
         if s.alpha < 1:
             kept = F.exp(-F.col(f"__d{i}"))
             start = F.when(F.col(f"__d{i}").isNull(), F.col(f"__xf{i}")).otherwise(kept * old + (F.lit(1.0) - kept) * F.col(f"__xf{i}"))
-            y = F.when(F.col(f"__m{i}") == 0, old).otherwise(F.exp(-F.col(f"__L{i}")) * (start + F.col(f"__V{i}")))
+            y = F.when(F.col(f"__m{i}") == 0, old).otherwise(_raised(i, s.alpha, 1) * (start + F.col(f"__V{i}")))
         else:
             y = F.coalesce(F.col(f"__xl{i}"), old)
         final[name] = F.when(F.col(f"__n{i}") + F.col(f"__m{i}") >= s.min_periods, y)
     out = out.withColumns(final)
-    scratch = [f"__{p}{i}" for i in range(len(specs)) for p in ("x", "m", "e", "xf", "L", "V", "xl", "n", "c", "d")]
+    scratch = [f"__{p}{i}" for i in range(len(specs)) for p in ("x", "m", "g", "xf", "k", "w", "V", "xl", "n", "c", "d")]
     return out.drop("__chunk", *scratch)
 
 
