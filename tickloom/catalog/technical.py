@@ -452,8 +452,8 @@ _SPEC = ft.FeatureSpec(
 )
 
 
-def _ff0(expr: str, name: str) -> str:
-    return f"round(coalesce(last_value({expr} IGNORE NULLS) {_CUM}, 0.0), 6) + 0.0 AS {name}"
+def _ff0(expr: str, name: str, digits: int = 6) -> str:
+    return f"round(coalesce(last_value({expr} IGNORE NULLS) {_CUM}, 0.0), {digits}) + 0.0 AS {name}"
 
 
 @query(
@@ -464,14 +464,16 @@ def _ff0(expr: str, name: str) -> str:
       lead(close, 5) OVER (PARTITION BY symbol ORDER BY rn) / close - 1 AS fut FROM ix),
     o AS (SELECT symbol, ts, rn, open, high, low, close, volume, fut, {_ff0('ret', 'ret')}, {_ff0('ln(ret + 1)', 'log_return')}, {_ff0('c1', 'close_lag1')},
       isodow(ts)::INT - 1 AS day_of_week, {_ff0('r5', 'roc_5')}, {_ff0('r10', 'roc_10')}, {_ff0('r20', 'roc_20')}, bullish AS bullish_fractal_5, bearish AS bearish_fractal_5,
-      {_ff0('sma', 'sma_length20')}, {_ff0('CASE WHEN rn >= 10 THEN y END', 'atr_length10')}, {r('CASE WHEN rn >= 10 THEN y / close ELSE 0.0 END', '"ATRr_10"')}
+      {_ff0('sma', 'sma_length20')}, {_ff0('CASE WHEN rn >= 10 THEN y END', 'atr_length10', 3)}, {r('CASE WHEN rn >= 10 THEN y / close ELSE 0.0 END', '"ATRr_10"')}
       FROM f JOIN e USING (symbol, rn))
     SELECT symbol, ts, open, high, low, close, volume, ret AS "return", log_return, close_lag1, day_of_week, roc_5, roc_10, roc_20,
     bullish_fractal_5, bearish_fractal_5, sma_length20, atr_length10, "ATRr_10",
     CASE WHEN fut > 0.01 THEN 1 WHEN fut < -0.01 THEN -1 ELSE 0 END AS directional_label FROM o WHERE fut IS NOT NULL"""
 )
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ft.build_features(bars(spark, folder, "priority"), _SPEC), raw=("open", "high", "low", "close", "volume"))
+    out = rounded(ft.build_features(bars(spark, folder, "priority"), _SPEC), raw=("open", "high", "low", "close", "volume", "atr_length10"))
+    # Ranges of some 100,000 out of a long recursion: 3 digits are 9 significant ones.
+    return rounded(out, 3, raw=[c for c in out.columns if c != "atr_length10"])
 
 
 def _barrier_sql(which: str, tp: float, sl: float, h: int, threshold: float) -> str:
