@@ -160,11 +160,12 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     idf = np.log((1 + total[WIDTH]) / (1 + total[:WIDTH])) + 1
 
     def cluster(table: pa.Table) -> pa.Table:
+        # A fixed order: the same sample always gives the same centroids.
+        table = table.sort_by([("places", "ascending"), ("counts", "ascending")])
         rows = np.zeros((len(table), WIDTH), np.float32)
         for i, (p, c) in enumerate(zip(table["places"].to_pylist(), table["counts"].to_pylist(), strict=True)):
             at = np.frombuffer(p, "<i4")
             rows[i, at] = weights(at, np.frombuffer(c, "<i8"), idf)
-        rows = rows[np.lexsort(rows[:, :8].T)]
         centers, least = spherical_kmeans(rows[np.abs(rows).sum(axis=1) > 0], centroids) if rows.any() else (np.zeros((0, WIDTH), np.float32), np.zeros(0))
         return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(centers), pa.string()), "center": pa.array([x.astype("<f4").tobytes() for x in centers], pa.binary()), "least": pa.array(least.astype(float), pa.float64())})
 
@@ -176,7 +177,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     return Model([r.lang for r in found], np.stack([np.frombuffer(r.center, "<f4") for r in found]), np.array([r.least for r in found]), idf)
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", slack: float = 0.2, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, text: str = "text", slack: float = 0.1, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (default: all) with lang_pred, score and rejected; columns of these names are replaced."""
     added = ("lang_pred", "score", "rejected")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
