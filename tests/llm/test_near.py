@@ -1,6 +1,6 @@
 import random
 import re
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -57,6 +57,16 @@ def test_groups_are_those_of_all_pairs(docs_of, sentences, odd, monkeypatch, wor
     assert found(docs_of(texts), words=words) == {k: (n, g, k == g) for k, (n, g) in enumerate(zip(sizes, root, strict=True))}
 
 
+@pytest.mark.parametrize("n", [4, 5, 6, 7, 8])
+def test_a_chain_is_one_group_in_any_order(n):
+    # Neighbours share 16 of 20 shingles, others at most 14 of 22.
+    sets = [np.arange(2 * k, 2 * k + 18, dtype=np.uint64).tobytes() for k in range(n)]
+    compare = near_dedup._compare_sets(80)
+    for order in permutations(range(n)):
+        rows = [{"slice": 0, "id": bytes([i]), "shingles": sets[k]} for k, i in enumerate(order)]
+        assert sorted(compare((b"", 0, 0), rows)) == [(bytes([i]), b"\0") for i in range(1, n)]
+
+
 def test_documents_that_no_token_parts_form_a_star(docs_of, sentences, monkeypatch):
     monkeypatch.setattr(near_dedup, "NODE", 3)
     monkeypatch.setattr(near_dedup, "LEVELS", 1)

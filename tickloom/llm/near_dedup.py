@@ -86,14 +86,15 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The least connected number for each of n numbers."""
     label = np.arange(n)
     while len(left):
-        least = np.minimum(label[left], label[right])
-        np.minimum.at(label, left, least)
-        np.minimum.at(label, right, least)
-        label = label[label]
+        # Labels are roots here. A root that gets a lesser one takes its whole tree along.
+        a, b = label[left], label[right]
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label[label] != label).any():
+            label = label[label]
         keep = label[left] != label[right]
         left, right = left[keep], right[keep]
-    while (label[label] != label).any():
-        label = label[label]
     return label
 
 
