@@ -67,6 +67,37 @@ def test_a_chain_is_one_group_in_any_order(n):
         assert sorted(compare((b"", 0, 0), rows)) == [(bytes([i]), b"\0") for i in range(1, n)]
 
 
+def test_hubs_and_pivots_lose_no_link(docs_of, sentences, odd, monkeypatch):
+    # Every group is compared with hubs first and every node with pivots; bridges tie sources that share three quarters.
+    monkeypatch.setattr(near_dedup, "NODE", 4)
+    monkeypatch.setattr(near_dedup, "SLICE_SETS", 8)
+    monkeypatch.setattr(near_dedup, "SLICES", 0)
+    monkeypatch.setattr(near_dedup, "HUBS", 3)
+    texts = edited(sentences, 6, 100, seed=3) + odd
+    for k in range(6):
+        words = sentences(900 + k % 2, 120).split(" ")
+        texts += [" ".join(words[: 120 - cut] + sentences(70 + k, cut).split(" ")) for cut in range(2, 60, 3)]
+    root, sizes = groups(texts)
+    assert found(docs_of(texts)) == {k: (n, g, k == g) for k, (n, g) in enumerate(zip(sizes, root, strict=True))}
+
+
+def test_ten_thousand_variants_of_a_text_are_one_group(docs_of, sentences, monkeypatch):
+    # All limits are those of production. The second text shares half with the first, too little for a link.
+    rows = []
+    monkeypatch.setattr(near_dedup, "_branch", lambda nodes, least, own=near_dedup._branch: rows.append(own(nodes, least)) or rows[0])
+    base = sentences(1, 120).split(" ")
+    other = base[:60] + sentences(2, 60).split(" ")
+    texts = []
+    for k in range(10_500):
+        words = list(base if k % 21 else other)
+        words[k * 7 % 120] = f"v{k}"
+        texts.append(" ".join(words))
+    result = found(docs_of(texts))
+    assert {k: v[1] for k, v in result.items()} == {k: 1 if k % 21 else 0 for k in range(10_500)}
+    # Nodes don't multiply: 16 trees give a document at most 16 rows.
+    assert rows[0][0].count() <= 16 * len(texts)
+
+
 def test_documents_that_no_token_parts_form_a_star(docs_of, sentences, monkeypatch):
     monkeypatch.setattr(near_dedup, "NODE", 3)
     monkeypatch.setattr(near_dedup, "LEVELS", 1)
