@@ -130,6 +130,24 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("wrapper", ['class="container has-sidebar"', 'class="layout-with-nav"', 'id="search-page"', 'id="nav"', 'class="sidebar"'])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_with_noisy_names_keep_the_article(wrapper, tag):
+    page = f'<body><div {wrapper}><{tag}><h1>A title of it</h1><p>{PROSE}</p><p>{PROSE}</p></{tag}><div class="related-posts"><p>Other things to read here.</p></div></div><div id="comments"><article><p>{PROSE}</p></article></div>'
+    assert html_text.main_text(page) == f"A title of it {PROSE} {PROSE}"
+
+
+def test_headings_sections_and_formulas_of_an_article_stay():
+    page = (
+        f'<body><article><div class="article-header"><h1>Its title</h1></div><h2 id="how-to-share-a-menu">How to share</h2><p>{PROSE}</p><h2 id="legal">Legal</h2><p id="search">{PROSE}</p>'
+        f'<section id="related-work"><p>{PROSE}</p></section><p>So <math><mi>x</mi><annotation>\\x</annotation></math> and <label>this</label>.</p><div class="share">Share it</div></article>'
+    )
+    assert html_text.main_text(page) == f"Its title How to share {PROSE} Legal {PROSE} {PROSE} So x and this."
+
+
+PROSE = "A paragraph of the article says a few things, and then some more, at some length."
+
+
 def test_long_and_odd_pages():
     paragraphs = [f"Paragraph {k} has some words in it." for k in range(3000)]
     page = AROUND % ("<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>")

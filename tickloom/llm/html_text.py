@@ -4,8 +4,10 @@
   ends a block. Each line has its characters, the tags met since the last line, the share
   of its text in links, and the elements that hold it.
 * Lines inside menus, page headers, footers, sidebars, notices, adverts, scripts, styles and
-  reader comments, known by tag, role, class or id, are set aside. A form is set aside
-  unless it holds most of the page's text.
+  comments, known by tag, role, class or id, are set aside. Of a class or id the last word counts
+  that says more than a place or a container; headings and paragraphs are not judged by it. A block
+  so named stays if it holds every article of the page, or most text, mostly outside links; comments
+  never do. A form is set aside unless it holds most of the page's text.
 * The others' ratios of characters to tags are smoothed by a Gaussian over neighbouring lines
   and split into two clusters by a threshold between their means; the upper one is content.
 * The region is the smallest element that holds nearly all content: `article` or `main` where
@@ -46,7 +48,7 @@ CLOSES = {
     "option": (("option",), ("select", "datalist")),
 }
 SCOPES = frozenset("article section div td th li blockquote body main table button".split())
-NOISE_TAGS = frozenset("head title nav footer aside script style noscript template svg math button select option textarea iframe object canvas dialog menu input label".split())
+NOISE_TAGS = frozenset("head title nav footer aside script style noscript template svg annotation button select option textarea iframe object canvas dialog menu input".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form".split())
 # Words of class and id names that mark what is not the article.
 NOISE_WORDS = frozenset(
@@ -55,6 +57,16 @@ NOISE_WORDS = frozenset(
     "comment comments commentlist disqus respond replies reply discussion newsletter subscribe subscription signup login share sharing social follow related recommended recommendations "
     "popular trending widget widgets toolbar skip copyright legal disclaimer search searchbox form".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
+# Words after which a name still means what stands before.
+PLACE_WORDS = frozenset(
+    "area bar block box bottom btn button buttons center col column container content count desktop group icon icons inner item items left link links list main message mobile outer "
+    "panel posts primary right row secondary section sections slot stories articles small large teaser text title tools top unit wide wrap wrapper zone".split()
+)
+# A name with one of these tells of a layout, and a header after one of the others is the article's.
+LAYOUT_WORDS = frozenset("has is no with without".split())
+ARTICLE_WORDS = frozenset("article content entry post story".split())
+UNNAMED = frozenset("html body main p h1 h2 h3 h4 h5 h6".split())
 MAIN = ("article", "main")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -62,32 +74,44 @@ _MARKED = re.compile(r"<!\[[^>]*(>|$)")
 
 
 class Line:
-    __slots__ = ("form", "links", "path", "tags", "text")
+    __slots__ = ("form", "links", "named", "path", "tags", "text")
 
-    def __init__(self, text: str, tags: int, links: int, path: tuple[int, ...], form: int | None):
-        self.text, self.tags, self.links, self.path, self.form = text, tags, links, path, form
+    def __init__(self, text: str, tags: int, links: int, path: tuple[int, ...], form: int | None, named: tuple[int, ...]):
+        self.text, self.tags, self.links, self.path, self.form, self.named = text, tags, links, path, form, named
 
 
 class Element:
-    __slots__ = ("form", "inside", "noise", "number", "tag")
+    __slots__ = ("form", "inside", "named", "noise", "number", "tag")
+
+    def __init__(self, tag: str, number: int, noise: bool, form: int | None, inside: bool, named: tuple[int, ...]):
+        self.tag, self.number, self.noise, self.form, self.inside, self.named = tag, number, noise, form, inside, named
+
+
+def _noise_word(name: str) -> str | None:
+    """The word that makes a class or id name noise."""
+    words = _WORD.findall(_CAMEL.sub(r"\1 \2", name).lower())
+    if LAYOUT_WORDS.intersection(words[:-1]):
+        return None
+    while len(words) > 1 and words[-1] in PLACE_WORDS and words[-1] not in NOISE_WORDS:
+        words.pop()
+    if not words or words[-1] not in NOISE_WORDS or words[-1] == "header" and ARTICLE_WORDS.intersection(words):
+        return None
+    return words[-1]
 
-    def __init__(self, tag: str, number: int, noise: bool, form: int | None, inside: bool):
-        self.tag, self.number, self.noise, self.form, self.inside = tag, number, noise, form, inside
 
+def _named(attributes: list[tuple[str, str | None]], tag: str) -> set[str]:
+    """Words of class and id that mark an element as noise."""
+    if tag in UNNAMED:
+        return set()
+    found = {w for name, value in attributes if value and name in ("class", "id") for w in map(_noise_word, value.split()) if w}
+    # An article is only set aside as a comment or an advert.
+    return found & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related", "recommended"} if tag == "article" else found
 
-def _names_noise(attributes: list[tuple[str, str | None]], tag: str) -> bool:
-    for name, value in attributes:
-        if not value:
-            continue
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") or name in ("class", "id") and tag == "article":
-            words = _WORD.findall(_CAMEL.sub(r"\1 \2", value).lower())
-            found = NOISE_WORDS.intersection(words)
-            # An article is only set aside as a comment or an advert.
-            if found and (tag != "article" or found & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related", "recommended"}):
-                return True
-        elif name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+
+def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    return any(
+        value and (name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true") for name, value in attributes
+    )
 
 
 class Events(HTMLParser):
@@ -95,15 +119,18 @@ class Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.tags_of: dict[int, str] = {0: ""}
-        self.open: list[Element] = [Element("", 0, False, None, False)]
+        self.open: list[Element] = [Element("", 0, False, None, False, ())]
         self.pieces: list[str] = []
+        # Named blocks, and whether as comments; and the named blocks around each article.
+        self.comments: dict[int, bool] = {}
+        self.articles: list[tuple[int, ...]] = []
         self.tags = self.linked = self.count = self.anchors = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.pieces).split())
         top = self.open[-1]
         if text and not top.noise:
-            self.lines.append(Line(text, self.tags, self.linked, tuple(e.number for e in self.open), top.form))
+            self.lines.append(Line(text, self.tags, self.linked, tuple(e.number for e in self.open), top.form, top.named))
         if text:
             self.tags = 0
         self.pieces, self.linked = [], 0
@@ -134,14 +161,21 @@ class Events(HTMLParser):
             return
         top = self.open[-1]
         inside = top.inside or tag in MAIN
-        noise = top.noise or tag in NOISE_TAGS or tag == "header" and not top.inside or _names_noise(attributes, tag)
-        if noise and tag in MAIN and not _names_noise(attributes, tag) and all(e.tag in ("nav", "header") for e in self.open if e.noise):
+        words, hidden = _named(attributes, tag), _hidden(attributes)
+        noise = top.noise or tag in NOISE_TAGS or tag in ("header", "label") and not top.inside or hidden or bool(words) and tag not in BLOCKS
+        if noise and tag in MAIN and not hidden and all(e.tag in ("nav", "header") for e in self.open if e.noise):
             # A menu or header that was never closed.
             noise = False
         self.count += 1
         self.tags_of[self.count] = tag
+        named = top.named
+        if words and not noise:
+            named = (*named, self.count)
+            self.comments[self.count] = bool(words & COMMENT_WORDS)
+        if tag in MAIN and not noise and not words and not any(self.comments[n] for n in named):
+            self.articles.append(named)
         form = self.count if tag == "form" and top.form is None else top.form
-        self.open.append(Element(tag, self.count, noise, form, inside))
+        self.open.append(Element(tag, self.count, noise, form, inside, named))
         self.anchors += tag == "a"
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
@@ -217,6 +251,31 @@ def _region(lines: list[Line], content: list[bool], tags_of: dict[int, str]) ->
     return [x for x in lines if root in x.path], False
 
 
+def _unnamed(events: Events) -> list[Line]:
+    """The lines outside blocks named as noise, except blocks that hold the article."""
+    size: dict[int, int] = {}
+    links: dict[int, int] = {}
+    whole = 0
+    for x in events.lines:
+        whole += len(x.text)
+        for n in x.named:
+            size[n] = size.get(n, 0) + len(x.text)
+            links[n] = links.get(n, 0) + x.links
+    kept = set()
+    for n, is_comment in events.comments.items():
+        holds_all = all(n in around for around in events.articles)
+        much = 2 * size.get(n, 0) >= whole and 2 * links.get(n, 0) < size.get(n, 0)
+        if not is_comment and holds_all and (events.articles or much):
+            kept.add(n)
+    out, tags = [], 0
+    for x in events.lines:
+        tags += x.tags
+        if kept.issuperset(x.named):
+            x.tags, tags = tags, 0
+            out.append(x)
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -224,7 +283,7 @@ def main_text(html: str | None) -> str:
     events.feed(_MARKED.sub("", html))
     events.close()
     events.end_line()
-    lines = events.lines
+    lines = _unnamed(events)
     sizes: dict[int | None, int] = {}
     for x in lines:
         sizes[x.form] = sizes.get(x.form, 0) + len(x.text)
