@@ -9,7 +9,7 @@
   what the classifier sees. Each centroid keeps the least similarity of its own sample.
 * Prediction: the language of the centroid of greatest cosine. A text is rejected where
   that cosine is below `slack` times the centroid's least similarity, and where it has no
-  letters.
+  letters. The default `slack` is so low that hardly any text with letters is rejected.
 
 Training documents have a language and an id whose CRC-32, as text, leaves another remainder
 than `fold` by `folds`; null ids are never learned from and never held out. Null texts
