@@ -1,14 +1,12 @@
-"""Repeated word sequences, by parsing every document relative to an index of all others.
+"""Repeated word sequences, by looking up windows in an index of all documents.
 
 * Seeds: of each window of `length` words, the least of its (length + 1) // 2-word grams.
   Equal windows have equal seeds, and neighbouring windows mostly share theirs, so seeds are
   about a tenth of the words. Seeds that occur at two places or more call for an index.
 * Reference blocks: all windows over such seeds, of all documents, are indexed by
   fingerprint; each block of the index holds one range of fingerprints.
-* Parse: a document is factored greedily against every block that holds one of its
-  seeds: a factor goes on as long as the next window occurs again. Windows at the two ends of
-  a factor are looked up like all others, so a factor is never longer or shorter than what
-  occurs elsewhere. Factors of `length` words or more are the repeated spans.
+* Lookup: each window over a repeated seed is looked up on its own; what windows that occur
+  again cover is removed. There are no factors and no reference positions.
 
 Fingerprints have 64 bits inside blocks chosen by an independent hash.
 

@@ -1,17 +1,17 @@
 """Repeated byte strings, found by a difference-cover sample of suffixes.
 
-Suffixes are ordered only as far as `length` bytes, which is all that the result needs.
+Suffixes are not ordered: whether windows of `length` bytes are equal, which is all that the
+result needs, is told by fingerprints.
 
 * Sample: positions whose remainder by 91 lies in a difference cover of ten remainders.
   Two equal windows of `length` bytes have a sampled position at equal distance, within 91
   bytes, from which at least length - 90 bytes agree.
-* Names: sampled suffixes are named by their first length - 90 bytes. Names are compared by
-  sorting; only samples whose name occurs again go on.
-* Recursion on names: samples of equal name are named again, by all bytes that the windows
+* Names: sampled suffixes are named by their first length - 90 bytes. Only samples whose
+  name occurs again go on.
+* Second names: samples of equal name are named again, by all bytes that the windows
   reaching them span. Where this longer name occurs again, all those windows do.
-* Merge: the remaining suffixes, those that reach a sample whose longer name is its own,
-  are sorted by their first `length` bytes together with one representative of each longer
-  name, and neighbours compared.
+* Windows: those that reach a sample whose longer name is its own are looked up by
+  fingerprint, together with one representative of each longer name.
 
 Names are 64-bit fingerprints inside buckets chosen by an independent hash.
 
