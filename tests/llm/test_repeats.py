@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tickloom.llm import blocks, substring_dedup, suffix_dedup
-from tickloom.llm.bytestext import ROLLS, sliding
+from tickloom.llm.bytestext import ROLLS, mix, sliding
 
 
 def strings(texts, length):
@@ -101,6 +101,49 @@ def test_hashes_tell_substrings_apart():
         assert len(set(hashes.tolist())) == len({data[i : i + 5].tobytes() for i in range(len(data) - 4)})
 
 
+def thue_morse(n):
+    """Two words of n letters that hash alike modulo 2**64 for every odd base, once n is 1,024."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 1 << 15])
+def test_hashes_tell_thue_morse_words_apart(n):
+    data = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+    for roll in ROLLS:
+        one, other = roll.spans(roll.prefixes(data), np.array([0, n]), np.array([n, 2 * n]))
+        assert one != other
+        sequence = data.astype(np.uint64)
+        one, other = roll.spans(roll.prefixes(sequence), np.array([0, n]), np.array([n, 2 * n]))
+        assert one != other
+
+
+def test_hash_is_the_polynomial():
+    rng = np.random.default_rng(1)
+    prime = (1 << 61) - 1
+    for data in (rng.integers(0, 256, 300).astype(np.uint8), rng.integers(0, 1 << 64, 300, dtype=np.uint64)):
+        for roll in ROLLS:
+            letters = [int(x) + (data.dtype == np.uint8) for x in data]
+            starts, ends = rng.integers(0, 150, 30), rng.integers(150, 301, 30)
+            plain = [sum(x * pow(roll.base, i, prime) for i, x in enumerate(letters[a:z])) % prime for a, z in zip(starts, ends, strict=True)]
+            assert roll.spans(roll.prefixes(data), starts, ends).tolist() == mix(np.array(plain, np.uint64)).tolist()
+
+
+def test_words_that_collided_are_kept(docs_of, sentences):
+    """Documents that differ in one Thue-Morse word only share no window with that word."""
+    head, tail = sentences(3, 17), sentences(4, 17)
+    texts = [f"{head} {w} {tail}" for w in thue_morse(2048)]
+    store = blocks.store(docs_of(texts))
+    found = {bytes(r.key): (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed_words(store, 35).collect()}
+    for text, want in zip(texts, word_runs(texts, 35), strict=True):
+        assert found[hashlib.md5(text.encode()).digest()] == want
+    assert all(x[1] == 0 for x in found.values())
+    texts = [w for n in (1024, 2048) for w in thue_morse(n)]
+    found = {bytes(r.key): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_spans(blocks.store(docs_of(texts)), 400).collect()}
+    for text, want in zip(texts, strings(texts, 400), strict=True):
+        assert found[hashlib.md5(text.encode()).digest()] == want
+
+
 def test_sliding_extremes():
     values = np.random.default_rng(0).integers(0, 99, 50)
     for width in (1, 2, 3, 18, 50):

@@ -1,7 +1,8 @@
 """Texts of an Arrow column as one byte array, with positional hashes in numpy.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D. Hashes are 64 bits wide: a
-polynomial over a random byte table, modulo 2**64, followed by a mixer. Equal byte
+Words are runs of bytes other than 0x20 and 0x09-0x0D. Hashes are polynomials modulo the
+prime 2**61 - 1, followed by a mixer to 64 bits: two different strings of n letters share one for at most
+n of the 2**61 bases. (Modulo a power of two some strings collide for every base.) Equal byte
 strings always have equal hashes, on every machine.
 """
 
@@ -28,45 +29,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+P = U((1 << 61) - 1)
+_LOW, _MID = U((1 << 31) - 1), U((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits modulo P."""
+    x = (x & P) + (x >> U(61))
+    # Below zero wraps to the largest numbers.
+    return np.minimum(x, x - P)
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x >> U(31), x & _LOW
+
+
+def _product(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Products modulo P of numbers given as halves; 2**61 counts as 1."""
+    middle = a[0] * b[1] + a[1] * b[0]
+    return _reduced((a[0] * b[0] << U(1)) + (middle >> U(30)) + ((middle & _MID) << U(31)) + a[1] * b[1])
+
+
 class Roll:
-    """Prefix sums of byte values times powers of an odd base: hashes of all substrings."""
+    """Sums of letters times powers of a base up to each place: hashes of all substrings.
+
+    Sums are kept as two columns, of the upper and the lower halves of their terms, so that
+    adding up never leaves 64 bits.
+    """
 
     def __init__(self, seed: int):
         self.seed = seed
-        self.table = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 0xD1342543DE82EF95 % (1 << 64)))
-        self.base = int(mix(np.array([seed + 77], U))[0]) | 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.backs = np.ones(1, U)
+        self.base = int(mix(np.array([seed + 77], U))[0]) % int(P)
+        self.inverse = pow(self.base, -1, int(P))
+        self.powers = self.backs = _halves(np.ones(1, U))
 
     def __reduce__(self) -> tuple:
         # Tables of powers stay behind when code travels to workers.
         return Roll, (self.seed,)
 
     def _grow(self, n: int) -> None:
-        if len(self.powers) >= n:
+        if len(self.powers[0]) >= n:
             return
         size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("powers", self.base), ("backs", self.inverse)):
             have, step = np.ones(1, U), base
             while len(have) < size:
-                have = np.concatenate([have, have * U(step)])
-                step = step * step % (1 << 64)
-            setattr(self, name, have)
+                have = np.concatenate([have, _product(_halves(have), _halves(np.array([step], U)))])
+                step = step * step % int(P)
+            setattr(self, name, _halves(have))
 
     def prefixes(self, data: np.ndarray) -> np.ndarray:
-        """Prefix sums over bytes, or over 64-bit values as they are."""
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, U)
-        values = (self.table[data] if data.dtype == np.uint8 else data) * self.powers[: len(data)]
-        np.cumsum(values, out=out[1:])
+        """Sums up to each of the bytes, or of the 64-bit values."""
+        n = len(data)
+        self._grow(n + 1)
+        high, low = self.powers[0][:n], self.powers[1][:n]
+        if data.dtype == np.uint8:
+            # A byte's letter is one more than it, so zero bytes count too: both products have at most 40 bits.
+            letters = data.astype(U) + U(1)
+            high, low = high * letters, low * letters
+        else:
+            high, low = _halves(_product((high, low), _halves(_reduced(data))))
+        out = np.zeros((2, n + 1), U)
+        np.cumsum(high, out=out[0, 1:])
+        np.cumsum(low, out=out[1, 1:])
         return out
 
+    def _hash(self, high: np.ndarray, low: np.ndarray, backs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        total = ((high & _MID) << U(31)) + (high >> U(30)) + (low & P) + (low >> U(61))
+        return mix(_product(_halves((total & P) + (total >> U(61))), backs))
+
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((sums[ends] - sums[starts]) * self.backs[starts])
+        high, low = sums
+        return self._hash(high[ends] - high[starts], low[ends] - low[starts], (self.backs[0][starts], self.backs[1][starts]))
 
     def windows(self, sums: np.ndarray, first: int, last: int, length: int) -> np.ndarray:
         """Hashes of the substrings of one length that start at first..last-1."""
-        return mix((sums[first + length : last + length] - sums[first:last]) * self.backs[first:last])
+        high, low = sums[:, first + length : last + length] - sums[:, first:last]
+        return self._hash(high, low, (self.backs[0][first:last], self.backs[1][first:last]))
 
 
 ROLLS = (Roll(1), Roll(2))
