@@ -13,6 +13,9 @@ from tickloom.llm.tokens import Encoder, vocabulary
 HARD = [
     " a", "  a  b", "a\n b", "a\xa0 b\xa0\n c", "it's  \n\n x", "\t\tq", "x " * 5 + "\n", "ΑΣ ΣΑ", "á e", "a\x1cb \x1c c", "\"'ll we'll  \n",
     "don’t", "\n\n", "\r\n x", "İstanbul", "<|endoftext|> a<|endoftext|>b", "日本 語", "l‘été.", "été…x", "a.…b", "÷.a×", "'s's", "x''s.'t", "é's", "1.a2", "ß.ß’s",
+    "<|endoftext|>", " <|startoftext|>\xa0x <|endoftext|>", "<|endoftext", "|><|END", "<|EndOfText|> a", "a<|endoftext|>" * 40 + " b. c",
+    # Words that hash alike modulo a power of two.
+    *("".join("abab"[(bin(i).count("1") + k) & 1] for i in range(2048)) for k in (0, 1)),
 ]
 
 
@@ -20,7 +23,6 @@ def plain(name):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(vocabulary(name))
-    tool.encode_special_tokens = True
     return lambda text: tool.encode(text or "", add_special_tokens=False).ids
 
 

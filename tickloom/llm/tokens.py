@@ -10,7 +10,11 @@ are the ids of the text:
 * both: between a letter (of ASCII or Latin-1) and ASCII punctuation, except after an
   apostrophe, which may begin a contraction.
 
-Chunks meet by 64-bit hash; a worker keeps at most `CACHE` of them.
+The string of a special token in a text is that token's id, as the library has it by default; a text
+with one is a single chunk.
+
+Chunks meet by the 64-bit hashes of `bytestext`; a worker keeps at most `CACHE` of them, so two of them
+share a hash with a probability of about one in a million.
 """
 
 from __future__ import annotations
@@ -62,8 +66,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.mark = next((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark = special[0]
+        self.specials = re.compile(b"|".join(re.escape(text.encode()) for _, text in special))
         self.spaced = spaced
         self.size = self.tokenizer.get_vocab_size()
         self._clear()
@@ -108,6 +113,11 @@ class Encoder:
         self.n += len(hashes)
         self.n_ids += len(ids)
 
+    @staticmethod
+    def _rows(pattern: re.Pattern, raw: bytes, offsets: np.ndarray) -> set[int]:
+        """The rows that hold a match."""
+        return {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in pattern.finditer(raw)}
+
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends."""
         n = len(data)
@@ -118,17 +128,23 @@ class Encoder:
         before = np.concatenate([[False], inside[:-1]])
         word = inside & (~before | first_of_row)
         inner = _inner_cuts(data)
+        raw = data.tobytes()
+        whole = self._rows(self.specials, raw, offsets)
         if not self.spaced:
-            starts = np.flatnonzero(word | inner)
+            opens = word | inner
             stop = inside.copy()
             stop[:-1] &= ~inside[1:] | first_of_row[1:] | inner[1:]
-            return starts, np.flatnonzero(stop) + 1
+            for row in whole:
+                a, z = offsets[row], offsets[row + 1]
+                opens[a:z], stop[a:z] = False, False
+                opens[a], stop[z - 1] = True, True
+            return np.flatnonzero(opens), np.flatnonzero(stop) + 1
         opens = first_of_row | inner
         opens |= ~inside & before
         preceded = np.flatnonzero(word & ~first_of_row)
         opens[preceded - 1] = True
         opens[preceded[data[preceded - 1] != 0x20]] = True
-        for row in {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in _WIDE_SPACE.finditer(data.tobytes())}:
+        for row in whole | self._rows(_WIDE_SPACE, raw, offsets):
             opens[offsets[row] + 1 : offsets[row + 1]] = False
         starts = np.flatnonzero(opens)
         return starts, np.append(starts[1:], n)
@@ -137,7 +153,7 @@ class Encoder:
         """Ids of all chunks in turn and their number for each.
 
         Special tokens cut a text before anything else, so chunks with one between them are
-        encoded in one call as if alone. Chunks that may hold one themselves go singly.
+        encoded in one call as if alone. Chunks that may hold one, or a part of one, go singly.
         """
         if any(b"<" in c for c in chunks):
             own = [self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids if b"<" in c else None for c in chunks]
@@ -149,9 +165,7 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         number, mark = self.mark
         text = (mark.encode().join(chunks) + mark.encode()).decode("utf-8", "replace")
-        self.tokenizer.encode_special_tokens = False
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-        self.tokenizer.encode_special_tokens = True
         ends = np.flatnonzero(ids == number)
         return ids[ids != number], np.diff(ends, prepend=-1) - 1
 
