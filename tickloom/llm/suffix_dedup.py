@@ -250,4 +250,5 @@ def repeated_strings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    return repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = repeated_strings(docs).withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept")
