@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import ledger, performance, signals
 from tickloom.operators.ledger import LedgerSpec
+from tickloom.plans import gate
 from tickloom.plans.series import index_series
 
 
@@ -128,8 +129,9 @@ def test_position_fraction(spark, entry, stop, vol, want):
     assert row.collect()[0]["f"] == pytest.approx(want)
 
 
-@pytest.mark.parametrize("hours", [24 * 6, 24 * 4000])
-def test_portfolio_limits_equal_the_plain_loop(spark, hours):
+@pytest.mark.parametrize("chunk_rows", [40, 1 << 17])
+def test_portfolio_limits_equal_the_plain_loop(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(gate.admit, "__defaults__", (chunk_rows,))
     rng = np.random.default_rng(2)
     rows = []
     for i in range(250):
@@ -143,7 +145,7 @@ def test_portfolio_limits_equal_the_plain_loop(spark, hours):
             open_.append((s, g, b))
             want.add((s, a))
     df = spark.createDataFrame(rows, "portfolio string, symbol string, sector string, entry_time timestamp_ntz, exit_time timestamp_ntz")
-    got = ledger.concurrent_limits(df, 3, 2, "sector", chunk_trades_hours=hours)
+    got = ledger.concurrent_limits(df, 3, 2, "sector")
     assert {(r["symbol"], r["entry_time"]) for r in got.collect()} == want
 
 

@@ -466,6 +466,82 @@ def portfolio_limits(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(kept.select("symbol", "entry_time", "exit_time", "realized_pnl"), 5)
 
 
+def _portfolio_sql(spec: ledger.LedgerSpec, max_open: int, max_correlated: int) -> str:
+    """Every candidate's exit on its own, then one walk over the candidates of all symbols in order of time.
+
+    The walk carries what is open and each symbol's capital and peak.
+    """
+    live = f"bool_or(pnl >= {spec.trailing_activation}) OVER p" if spec.trailing is not None else "false"
+    trail = spec.trailing if spec.trailing is not None else 0
+    return (
+        with_bars("priority", True)
+        + _candidate_sql(spec)
+        + f""", w AS (SELECT a.symbol, a.rn, b.rn AS brn, a.d, a.e, a.st, a.tg, b.close, a.d * (b.close - a.e) / a.e AS pnl
+        FROM cand a JOIN ix b ON a.symbol = b.symbol AND b.rn > a.rn WHERE a.d <> 0 AND a.f > 0),
+      act AS (SELECT *, {live} AS live FROM w WINDOW p AS (PARTITION BY symbol, rn ORDER BY brn)),
+      bst AS (SELECT *, CASE WHEN d = 1 THEN max(CASE WHEN live THEN close END) OVER p ELSE min(CASE WHEN live THEN close END) OVER p END AS best FROM act WINDOW p AS (PARTITION BY symbol, rn ORDER BY brn)),
+      hit AS (SELECT *, best * (1 - d * {trail}) AS tl, CASE WHEN d * (close - st) <= 0 THEN 'Stop Loss' WHEN live AND d * (close - best * (1 - d * {trail})) <= 0 THEN 'Trailing Stop'
+        WHEN d * (close - tg) >= 0 THEN 'Take Profit' END AS why FROM bst),
+      fst AS (SELECT symbol, rn, min(CASE WHEN why IS NOT NULL THEN brn END) AS x FROM hit GROUP BY 1, 2),
+      ls AS (SELECT symbol, last(close ORDER BY rn) AS lc FROM ix GROUP BY 1),
+      ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c.ts, c.symbol) AS k, c.symbol, c.rn, c.ts, c.n_rows, c.f, c.e, c.d, CASE WHEN c.symbol < '3' THEN 'urgent' ELSE 'normal' END AS g,
+        coalesce(f.x, c.n_rows - 1) AS x, f.x IS NULL AS at_end, coalesce(h.why, 'End of Backtest') AS why, i.ts AS left_at,
+        c.d * (coalesce(CASE h.why WHEN 'Stop Loss' THEN h.st WHEN 'Trailing Stop' THEN h.tl WHEN 'Take Profit' THEN h.tg END, CASE WHEN c.rn = c.n_rows - 1 THEN c.close ELSE lc END) - c.e) / c.e AS pnl
+        FROM cand c LEFT JOIN fst f USING (symbol, rn) LEFT JOIN hit h ON h.symbol = c.symbol AND h.rn = c.rn AND h.brn = f.x JOIN ls ON ls.symbol = c.symbol
+        JOIN ix i ON i.symbol = c.symbol AND i.rn = coalesce(f.x, c.n_rows - 1) WHERE c.d <> 0),
+      pf(k, held, caps, ok, tried, cap) AS (
+        SELECT 0::BIGINT, []::STRUCT(b TIMESTAMP, s VARCHAR, g VARCHAR)[], (SELECT list({{'s': symbol, 'cap': {spec.initial_capital}::DOUBLE, 'peak': {spec.initial_capital}::DOUBLE}}) FROM ls), false, false, 0.0::DOUBLE
+        UNION ALL
+        SELECT k, CASE WHEN ok THEN list_append(o, {{'b': CASE WHEN at_end THEN left_at + INTERVAL 1 MICROSECOND ELSE left_at END, 's': symbol, 'g': g}}) ELSE o END,
+          CASE WHEN try THEN list_transform(caps, lambda zz: CASE WHEN zz.s = symbol THEN {{'s': zz.s, 'cap': zz.cap * (1 - {spec.cost}) * (CASE WHEN ok THEN 1 + f * pnl ELSE 1 END), 'peak': greatest(zz.peak, zz.cap)}} ELSE zz END) ELSE caps END, ok, try, mine.cap
+        FROM (SELECT *, try AND f > 0 AND len(o) < {max_open} AND len(list_filter(o, lambda zz: zz.g = g)) < {max_correlated}
+            AND (greatest(mine.peak, mine.cap) - mine.cap) / greatest(mine.peak, mine.cap) < {spec.max_drawdown} AS ok
+          FROM (SELECT *, len(list_filter(o, lambda zz: zz.s = symbol)) = 0 AS try FROM (
+            SELECT t.*, p.caps, list_filter(p.held, lambda zz: zz.b > t.ts) AS o, list_filter(p.caps, lambda zz: zz.s = t.symbol)[1] AS mine FROM pf p JOIN ord t ON t.k = p.k + 1)))),
+      done AS (SELECT ord.*, pf.ok, pf.cap FROM ord JOIN pf USING (k) WHERE pf.tried),
+      ev AS (SELECT symbol, CASE WHEN ok AND at_end THEN least(rn + 1, n_rows - 1) ELSE rn + 1 END AS rn, (1 - {spec.cost})::DOUBLE AS m FROM done
+        UNION ALL SELECT symbol, x, (1 + f * pnl)::DOUBLE FROM done WHERE ok),
+      curve AS (SELECT i.symbol, i.ts, i.rn, {spec.initial_capital} * exp(sum(coalesce(l, 0)) OVER (PARTITION BY i.symbol ORDER BY i.rn)) AS equity
+        FROM ix i LEFT JOIN (SELECT symbol, rn, sum(ln(m)) AS l FROM ev GROUP BY 1, 2) e USING (symbol, rn))"""
+    )
+
+
+def _portfolio(spark: SparkSession, folder: str, spec: ledger.LedgerSpec, max_open: int, max_correlated: int) -> ledger.Backtest:
+    df = predicted(spark, folder).withColumn("sector", F.when(F.col("symbol") < "3", "urgent").otherwise("normal"))
+    return ledger.backtest(df, spec, portfolio=ledger.Portfolio(max_open, max_correlated, "sector"))
+
+
+_HELD = f" SELECT symbol, d::INT AS direction, ts AS entry_time, left_at AS exit_time, why AS exit_reason, {r('pnl', 'realized_pnl', 5)}, {r('cap * (1 - {cost}) * f / e', 'size', 5)} FROM done WHERE ok"
+_HELD_COLS = ("symbol", "direction", "entry_time", "exit_time", "exit_reason", "realized_pnl", "size")
+
+
+@query(_portfolio_sql(SPEC, 2, 1) + _HELD.replace("{cost}", str(SPEC.cost)))
+def portfolio_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    """Trades of all symbols that compete for two places, one per priority group."""
+    return rounded(_portfolio(spark, folder, SPEC, 2, 1).trades.select(*_HELD_COLS), 5)
+
+
+@query(_portfolio_sql(SPEC, 2, 1) + f" SELECT symbol, ts, {r('equity', digits=3)} FROM curve WHERE rn > 0")
+def portfolio_equity(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_portfolio(spark, folder, SPEC, 2, 1).equity, 3)
+
+
+@query(
+    _portfolio_sql(SPEC, 2, 1)
+    + f""", t AS (SELECT symbol, count(*) AS n, count(*) FILTER (pnl > 0) AS wins, avg(pnl) AS mean FROM done WHERE ok GROUP BY symbol), f AS (SELECT symbol, last(equity ORDER BY rn) AS equity FROM curve GROUP BY symbol)
+    SELECT symbol, coalesce(n, 0) AS num_trades, coalesce(wins, 0) AS num_winning_trades, {r('100 * mean', 'avg_trade_pnl_pct', 5)}, {r('equity', 'final_capital', 3)} FROM f LEFT JOIN t USING (symbol)"""
+)
+def portfolio_summary(spark: SparkSession, folder: str) -> DataFrame:
+    out = _portfolio(spark, folder, SPEC, 2, 1).summary.select("symbol", "num_trades", "num_winning_trades", "avg_trade_pnl_pct", "final_capital")
+    return rounded(rounded(out, 5, raw=("final_capital",)), 3, raw=("avg_trade_pnl_pct",))
+
+
+@query(_portfolio_sql(STRICT, 3, 2) + _HELD.replace("{cost}", str(STRICT.cost)))
+def portfolio_drawdown_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols that reach their drawdown limit leave their places to the others."""
+    return rounded(_portfolio(spark, folder, STRICT, 3, 2).trades.select(*_HELD_COLS), 5)
+
+
 # --- performance ------------------------------------------------------------
 
 _RETURNS = f", rt AS (SELECT symbol, ts, rn, 0.001 * (close / nullif({lag('close')}, 0) - 1) AS ret FROM ix), rr AS MATERIALIZED (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, ret FROM rt WHERE rn > 0)"

@@ -4,7 +4,8 @@ Every signal is a candidate entry whose exit does not depend on the other
 trades, so exits are found for all candidates at once. Which candidates are
 taken is a chain (the next entry is the first one at or after the last exit).
 Capital is a product over the taken trades, because size is a fraction of
-capital and each key holds one position at a time.
+capital and each key holds one position at a time. With a `Portfolio` the keys
+compete for places, and candidates are taken in the order of time over all keys.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import div, pct_change, require
 from tickloom.operators.performance import return_metrics, running_product
+from tickloom.plans.gate import NEVER, admit
 from tickloom.plans.search import chain, first_exit
 from tickloom.plans.series import (
     KEYS,
@@ -53,6 +54,26 @@ class LedgerSpec:
     same_bar_reentry: bool = True
 
 
+@dataclass(frozen=True)
+class Portfolio:
+    """How many trades all keys may hold together.
+
+    At most `max_open` at once, `max_correlated` of them with the same value of `group`, a column
+    of the bars, and as many with one of the key's partners in `pairs`, a table of (symbol, other)
+    read both ways. Keys named in `apart` are portfolios of their own.
+    """
+
+    max_open: int = 5
+    max_correlated: int = 2
+    group: str | None = None
+    pairs: DataFrame | None = None
+    apart: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if min(self.max_open, self.max_correlated) < 1:
+            raise ValueError("limits must be at least 1")
+
+
 def position_fraction(
     entry: Column, stop: Column, volatility: Column, risk: Column | float, cap: float, capital: Column | None = None
 ) -> Column:
@@ -72,8 +93,9 @@ def candidate_entries(
     signal: str = "prediction",
     regime_actions: dict[int, str] | None = None,
     keys: Sequence[str] = KEYS,
+    group: str | None = None,
 ) -> DataFrame:
-    """One row per bar that follows a signal: prices, levels, fraction and tags.
+    """One row per bar that follows a signal: prices, levels, fraction and tags, and `team` from a `group` column.
 
     A signal acts at the next bar's open with slippage. Levels come from the
     signal bar's range column, else fixed percentages of the open. In a regime
@@ -122,7 +144,7 @@ def candidate_entries(
     rows = rows.withColumn("fraction", F.when(F.abs(d) == 1, fraction).otherwise(0.0)).withColumn("tags", tags)
     return rows.select(
         *keys, N_ROWS, "entry_rn", "entry_time", "direction", "entry_price", "stop", "target", "fraction", "tags",
-        F.col("close").alias("entry_close"),
+        F.col("close").alias("entry_close"), *([F.col(group).cast("string").alias("team")] if group else []),
     )
 
 
@@ -156,10 +178,16 @@ def exits(
     return out.withColumn("realized_pnl", pnl).drop("activation", "trail", "last_rn", "last_price")
 
 
-def attempts(candidates: DataFrame, bars: DataFrame, spec: LedgerSpec = LedgerSpec(), keys: Sequence[str] = KEYS) -> DataFrame:
+def attempts(
+    candidates: DataFrame,
+    bars: DataFrame,
+    spec: LedgerSpec = LedgerSpec(),
+    keys: Sequence[str] = KEYS,
+    portfolio: Portfolio | None = None,
+) -> DataFrame:
     """The entries tried, in order: trades, and tries that only pay the cost.
 
-    A try has no size if its fraction is 0 or the drawdown limit is reached.
+    A try has no size if its fraction is 0, the portfolio is full or the drawdown limit is reached.
     Being flat, capital cannot recover, so from that try on every later
     candidate only pays the cost as well.
     """
@@ -168,27 +196,106 @@ def attempts(candidates: DataFrame, bars: DataFrame, spec: LedgerSpec = LedgerSp
     flat = sized.filter("fraction = 0")
     wait = 0 if spec.same_bar_reentry else 1
     free = F.when(F.col("at_end"), F.col(N_ROWS)).otherwise(F.greatest(F.col("exit_rn") + wait, F.col("entry_rn") + 1))
-    tried = cut(real.withColumn("free", free).unionByName(flat.withColumn("free", F.col("entry_rn") + 1), allowMissingColumns=True))
-    taken = chain(tried, "entry_rn", "free", keys)
-
-    gain = F.lit(1.0) + F.col("fraction") * F.coalesce("realized_pnl", F.lit(0.0))
-    factor = F.lit(1.0 - spec.cost) * gain
-    grown = running_product(taken.withColumn("__f", factor), F.col("__f"), "__after", keys, "entry_rn")
-    grown = grown.withColumn("__before", F.coalesce(F.try_divide(F.col("__after"), F.col("__f")), F.lit(0.0)))
-    peaked = running(grown, {"__peak": ("max", "__before")}, keys, "entry_rn")
-    stuck = div(F.col("__peak") - F.col("__before"), "__peak") >= spec.max_drawdown
-    limits = cut(peaked.filter(stuck).groupBy(*keys).agg(F.min("entry_rn").alias("__limit")))
-    ok = join_on_keys(taken, limits, keys, "left").filter("__limit IS NULL OR entry_rn < __limit").drop("__limit")
-    late = join_on_keys(sized, limits, keys).filter("entry_rn >= __limit").drop("__limit")
-    late = late.withColumn("fraction", F.lit(0.0))
-    every = ok.unionByName(late, allowMissingColumns=True).withColumn("__f", factor)
-    out = running_product(every, F.col("__f"), "capital_after", keys, "entry_rn")
+    real = real.withColumn("free", free)
+    if portfolio is not None:
+        every = _competing(sized, cut(real), bars, spec, keys, portfolio)
+    else:
+        tried = cut(real.unionByName(flat.withColumn("free", F.col("entry_rn") + 1), allowMissingColumns=True))
+        taken = chain(tried, "entry_rn", "free", keys)
+        limits = _drawdown_limits(taken, spec, keys)
+        ok = join_on_keys(taken, limits, keys, "left").filter("__limit IS NULL OR entry_rn < __limit").drop("__limit")
+        late = join_on_keys(sized, limits, keys).filter("entry_rn >= __limit").drop("__limit")
+        every = ok.unionByName(late.withColumn("fraction", F.lit(0.0)), allowMissingColumns=True)
+    out = running_product(every.withColumn("__f", _factor(spec)), F.col("__f"), "capital_after", keys, "entry_rn")
     return out.withColumns(
         {
             "capital_before": F.lit(spec.initial_capital) * F.coalesce(F.try_divide(F.col("capital_after"), F.col("__f")), F.lit(0.0)),
             "capital_after": F.lit(spec.initial_capital) * F.col("capital_after"),
         }
-    ).drop("__f", "free")
+    ).drop("__f", "free", "team")
+
+
+def _factor(spec: LedgerSpec) -> Column:
+    """What a try makes of the key's capital."""
+    return F.lit(1.0 - spec.cost) * (F.lit(1.0) + F.col("fraction") * F.coalesce("realized_pnl", F.lit(0.0)))
+
+
+def _drawdown_limits(taken: DataFrame, spec: LedgerSpec, keys: Sequence[str]) -> DataFrame:
+    """Per key with one: the first try (`__limit`) that finds capital too far below its peak."""
+    grown = running_product(taken.withColumn("__f", _factor(spec)), F.col("__f"), "__after", keys, "entry_rn")
+    grown = grown.withColumn("__before", F.coalesce(F.try_divide(F.col("__after"), F.col("__f")), F.lit(0.0)))
+    peaked = running(grown, {"__peak": ("max", "__before")}, keys, "entry_rn")
+    stuck = div(F.col("__peak") - F.col("__before"), "__peak") >= spec.max_drawdown
+    return cut(peaked.filter(stuck).groupBy(*keys).agg(F.min("entry_rn").alias("__limit")))
+
+
+def _competing(
+    sized: DataFrame, real: DataFrame, bars: DataFrame, spec: LedgerSpec, keys: Sequence[str], portfolio: Portfolio
+) -> DataFrame:
+    """The tries of all keys under the limits of a portfolio.
+
+    A candidate that is turned away leaves its key free, so the next one is tried. Which keys reach
+    their drawdown limit depends on who got in, and the other way round: each round of the loop
+    settles at least the earliest limit that is still wrong, as nothing before it changes any more.
+    """
+    micros = F.unix_micros(F.col(TS).cast("timestamp")) if dict(bars.dtypes)[TS] != "timestamp_ntz" else _micros(F.col(TS))
+    times = bars.select(*keys, F.col(RN).alias("exit_rn"), micros.alias("__exit"))
+    starts = bars.select(*keys, F.col(RN).alias("entry_rn"), micros.alias("a"))
+    end = F.col("at_end")
+    who = [k for k in keys if k not in portfolio.apart]
+    placed = cut(
+        real.join(times, [*keys, "exit_rn"])
+        .join(starts, [*keys, "entry_rn"])
+        .select(
+            *keys,
+            "entry_rn",
+            "a",
+            F.when(end, F.col("__exit") + 1).otherwise(F.col("__exit")).alias("gone"),
+            F.when(end, F.lit(NEVER)).otherwise(F.col("__exit") + (0 if spec.same_bar_reentry else 1)).alias("free"),
+            _name(portfolio.apart).alias("portfolio"),
+            _name(who).alias("who"),
+            (F.col("team") if portfolio.group else F.lit(None).cast("string")).alias("team"),
+        )
+    )
+    placed = _with_peers(placed, portfolio.pairs)
+    limits: DataFrame | None = None
+    while True:
+        open_ = placed
+        if limits is not None:
+            open_ = join_on_keys(placed, limits, keys, "left").filter("__limit IS NULL OR entry_rn < __limit").drop("__limit")
+        got = admit(open_, portfolio.max_open, portfolio.max_correlated)
+        inside = open_.join(got, ["portfolio", "who", "a"], "left_semi").select(*keys, "entry_rn")
+        taken = real.join(inside, [*keys, "entry_rn"], "left_semi")
+        until = taken.select(*keys, "entry_rn", F.col("free").alias("__until"))
+        seen = running(sized.join(until, [*keys, "entry_rn"], "left"), {"__busy": ("max", "__until")}, keys, "entry_rn")
+        tries = seen.filter("__until IS NULL AND (__busy IS NULL OR entry_rn >= __busy)").drop("__until", "__busy")
+        every = cut(taken.unionByName(tries.withColumn("fraction", F.lit(0.0)), allowMissingColumns=True))
+        found = _drawdown_limits(every, spec, keys)
+        if limits is None and found.isEmpty():
+            return every
+        columns = [*keys, "__limit"]
+        if limits is not None and limits.count() == found.count() and found.join(limits, columns, "left_anti").isEmpty():
+            return every
+        limits = found
+
+
+def _micros(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
+def _name(columns: Sequence[str]) -> Column:
+    """Key columns as one string: a single one as it is, several as JSON."""
+    if not columns:
+        return F.lit("")
+    return F.col(columns[0]).cast("string") if len(columns) == 1 else F.to_json(F.struct(*columns))
+
+
+def _with_peers(rows: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    if pairs is None:
+        return rows.withColumn("peers", F.lit(None).cast("array<string>"))
+    both = pairs.select(F.col("symbol").cast("string").alias("who"), F.col("other").cast("string").alias("other"))
+    both = both.unionByName(both.select(F.col("other").alias("who"), F.col("who").alias("other"))).filter("who <> other")
+    return join_on_keys(rows, both.groupBy("who").agg(F.collect_set("other").alias("peers")), ["who"], "left")
 
 
 def trade_summary(tried: DataFrame, bars: DataFrame, spec: LedgerSpec = LedgerSpec(), keys: Sequence[str] = KEYS) -> DataFrame:
@@ -317,10 +424,15 @@ def backtest(
     signal: str = "prediction",
     regime_actions: dict[int, str] | None = None,
     keys: Sequence[str] = KEYS,
+    portfolio: Portfolio | None = None,
 ) -> Backtest:
-    """Trades, equity and one summary row per key for bars with a signal column."""
+    """Trades, equity and one summary row per key for bars with a signal column.
+
+    Under the limits of a `portfolio`, all of them come from the trades that got in.
+    """
     bars = df if RN in df.columns else index_series(df, keys)
-    tried = cut(attempts(candidate_entries(bars, spec, signal, regime_actions, keys), bars, spec, keys))
+    group = portfolio.group if portfolio is not None else None
+    tried = cut(attempts(candidate_entries(bars, spec, signal, regime_actions, keys, group), bars, spec, keys, portfolio))
     trades = trade_summary(tried, bars, spec, keys)
     equity = equity_curve(tried, bars, spec, keys)
     final = tried.groupBy(*keys).agg(F.max_by("capital_after", "entry_rn").alias("final_capital"))
@@ -345,70 +457,24 @@ def concurrent_limits(
     max_correlated: int = 2,
     group: str | None = None,
     portfolio: Sequence[str] = ("portfolio",),
-    chunk_trades_hours: int = 24 * 30,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Candidates a portfolio accepts when it may hold `max_open` trades at once.
-
-    Also one trade per symbol, and at most `max_correlated` per `group` if one
-    is named. `candidates` needs symbol, entry_time and exit_time; a trade
-    leaves before another enters at the same time.
+    """Given trades that a portfolio accepts when it may hold `max_open` trades at once.
 
-    What is open when a time chunk begins depends on the chunks before it, yet
-    holds at most `max_open` trades. Each chunk is first run as if nothing
-    were open, then again with what its predecessor left open, as long as it
-    is handed anything new. Such chunks run in parallel, the others rest; the
-    usual two or three rounds are the time an early choice keeps mattering.
+    Also one trade per symbol, and at most `max_correlated` per `group` if one is named, and
+    with partners in `pairs`. `candidates` needs symbol, entry_time and exit_time; a trade
+    leaves before another enters at the same time. To let a portfolio choose among entries, pass a `Portfolio` to `backtest`.
     """
-    tagged = cut(
-        candidates.withColumn("__chunk", time_slice("entry_time", chunk_trades_hours)).withColumn(
-            "__group", F.col(group).cast("string") if group else F.lit(None).cast("string")
-        )
-    )
-    keys = list(portfolio)
-    fields = {f.name: f.dataType.simpleString() for f in tagged.schema.fields}
-    key_schema = ", ".join(f"{k} {fields[k]}" for k in keys)
-    exit_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("exit_time").cast("timestamp_ntz"))
-    entry_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("entry_time").cast("timestamp_ntz"))
-    slim = tagged.select(*keys, "__chunk", "symbol", "__group", entry_us.alias("a"), exit_us.alias("b"))
-
-    def run(pdf: pd.DataFrame, emit_state: bool) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "symbol"])
-        held = pdf["held"].iloc[0]
-        open_ = [(int(h["b"]), h["s"], h["g"]) for h in held] if held is not None else []
-        took = []
-        for i, (a, b, s, g) in enumerate(zip(pdf["a"], pdf["b"], pdf["symbol"], pdf["__group"])):
-            open_ = [o for o in open_ if o[0] > a]
-            crowded = g is not None and sum(o[2] == g for o in open_) >= max_correlated
-            if len(open_) < max_open and not crowded and all(o[1] != s for o in open_):
-                open_.append((b, s, g))
-                took.append(i)
-        if not emit_state:
-            return pdf.iloc[took][[*keys, "symbol", "a"]]
-        head = {k: [pdf[k].iloc[0]] for k in (*keys, "__chunk")}
-        return pd.DataFrame({**head, "left": [[dict(zip("bsg", o)) for o in sorted(open_, key=str)]]})
-
-    shape = "array<struct<b:bigint,s:string,g:string>>"
-    chunks = cut(slim.select(*keys, "__chunk").distinct())
-    order = index_by(chunks, keys, F.floor(F.col("__chunk") / 4096), [F.col("__chunk")]).drop(N_ROWS)
-    state = cut(order.withColumn("held", F.lit(None).cast(shape)))
-    todo = state
-    while True:
-        with_state = slim.join(todo.select(*keys, "__chunk", "held"), [*keys, "__chunk"])
-        left = with_state.groupBy(*keys, "__chunk").applyInPandas(
-            lambda pdf: run(pdf, True), f"{key_schema}, __chunk bigint, left {shape}"
-        )
-        handed = todo.select(*keys, "__chunk", RN).join(left, [*keys, "__chunk"]).select(*keys, (F.col(RN) + 1).alias(RN), F.col("left").alias("__new"))
-        other = F.coalesce(F.to_json("held"), F.lit("[]")) != F.coalesce(F.to_json("__new"), F.lit("[]"))
-        # Only chunks that are handed something else than before run again.
-        todo = cut(state.join(handed, [*keys, RN]).filter(other).drop("held").withColumnRenamed("__new", "held"))
-        if todo.isEmpty():
-            break
-        state = cut(state.join(todo.select(*keys, RN), [*keys, RN], "left_anti").unionByName(todo))
-    accepted = slim.join(state.select(*keys, "__chunk", "held"), [*keys, "__chunk"]).groupBy(*keys, "__chunk").applyInPandas(
-        lambda pdf: run(pdf, False), f"{key_schema}, symbol string, a bigint"
-    )
-    return (
-        tagged.withColumn("a", entry_us)
-        .join(accepted, [*keys, "symbol", "a"], "left_semi")
-        .drop("a", "__chunk", "__group")
+    named = candidates.withColumns({"__p": _name(portfolio), "__a": _micros(F.col("entry_time"))})
+    slim = named.select(
+        F.col("__p").alias("portfolio"),
+        F.col("symbol").cast("string").alias("who"),
+        F.col("__a").alias("a"),
+        _micros(F.col("exit_time")).alias("gone"),
+        _micros(F.col("exit_time")).alias("free"),
+        (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("team"),
     )
+    got = admit(_with_peers(slim, pairs), max_open, max_correlated)
+    got = got.select(F.col("portfolio").alias("__p"), F.col("who").alias("__w"), F.col("a").alias("__a"))
+    named = named.withColumn("__w", F.col("symbol").cast("string"))
+    return named.join(got, ["__p", "__w", "__a"], "left_semi").drop("__p", "__w", "__a")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ledger import Backtest, LedgerSpec, backtest
+from tickloom.operators.ledger import Backtest, LedgerSpec, Portfolio, backtest
 from tickloom.operators.performance import product
 from tickloom.plans.series import KEYS, N_ROWS, RN, TS, index_series
 from tickloom.plans.storage import once
@@ -93,12 +93,23 @@ def fold_testing(df: DataFrame, folds: Folds, fold: int) -> DataFrame:
 
 
 def fold_backtests(
-    df: DataFrame, folds: Folds = Folds(), spec: LedgerSpec = LedgerSpec(), signal: str = "signal", keys: Sequence[str] = KEYS
+    df: DataFrame,
+    folds: Folds = Folds(),
+    spec: LedgerSpec = LedgerSpec(),
+    signal: str = "signal",
+    keys: Sequence[str] = KEYS,
+    portfolio: Portfolio | None = None,
+    regime_actions: dict[int, str] | None = None,
 ) -> Backtest:
-    """Backtest every test slice of every key in one job; results are keyed by (key, fold)."""
+    """Backtest every test slice of every key in one job; results are keyed by (key, fold).
+
+    A portfolio holds trades of one fold of all keys.
+    """
     tagged = fold_rows(df, folds, "test", keys).drop(RN, N_ROWS)
     fold_keys = [*keys, "fold"]
-    done = backtest(index_series(tagged, fold_keys), spec, signal, keys=fold_keys)
+    if portfolio is not None:
+        portfolio = replace(portfolio, apart=(*portfolio.apart, "fold"))
+    done = backtest(index_series(tagged, fold_keys), spec, signal, regime_actions, fold_keys, portfolio)
     bounds = fold_table(df, folds, keys).select(*fold_keys, "train_start", "train_end", "test_start", "test_end")
     return Backtest(done.attempts, done.trades, done.equity, done.summary.join(bounds, fold_keys))
 
