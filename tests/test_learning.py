@@ -287,12 +287,15 @@ def test_model_defaults_and_counterparts():
     forest = models.create_model("random_forest")
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getWeightCol()) == (200, 30, models.WEIGHT)
     assert not models.create_model("random_forest", {"class_weight": None, "max_features": None, "max_depth": 4}).isSet("weightCol")
-    assert models.create_model("lightgbm").getMaxDepth() == 5 and models.create_model("lightgbm", {"num_leaves": 63}).getMaxDepth() == 6
-    assert models.create_model("xgboost", {"colsample_bytree": 0.9}).getFeatureSubsetStrategy() == "0.9"
-    assert models.create_model("catboost").getMaxDepth() == 6 and models.create_model("gradient_boosting").getMaxDepth() == 3
+    light, wide = models.create_model("lightgbm").spec, models.create_model("lightgbm", {"num_leaves": 63, "max_depth": 5}).spec
+    assert (light.leaves, light.depth, light.rounds, light.min_rows) == (31, None, 100, 20) and (wide.leaves, wide.depth) == (63, 5)
+    assert models.create_model("xgboost", {"colsample_bytree": 0.9, "gamma": 0.2}, 3, 10).spec.columns == 0.9
+    assert models.create_model("gradient_boosting", {"max_features": "sqrt", "max_depth": None}, 2, 16).spec.columns == 0.25
+    even = models.create_model("catboost", {"l2_leaf_reg": 7, "verbose": False}).spec
+    assert (even.symmetric, even.depth, even.l2) == (True, 6, 7) and models.create_model("gradient_boosting", {"min_samples_split": 9}).spec.min_split_rows == 9
     network = models.create_model("neural_network", {"learning_rate": 0.05}, 3, 4)
     assert (network.getSolver(), network.getStepSize(), network.getLayers()) == ("gd", 0.05, [4, 64, 32, 3])
-    for name, bad in (("neural_network", "batch_size"), ("catboost", "l2_leaf_reg"), ("random_forest", "min_samples_split")):
+    for name, bad in (("neural_network", "batch_size"), ("catboost", "bogus"), ("random_forest", "min_samples_split")):
         with pytest.raises(ValueError, match=bad):
             models.create_model(name, {bad: 1})
     assert len(models.search_points(models.DEFAULT_GRIDS["random_forest"], "grid")) == 216

@@ -11,14 +11,7 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    OneVsRestModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -28,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import quoted
 from tickloom.operators import evaluation
+from tickloom.operators.boosting import BoostedModel, BoostedTrees, BoostSpec, cross_validated
 from tickloom.operators.selection import SEED, Preprocessor, chronological_split, indexed_label, select_features
 from tickloom.plans.series import KEYS
 from tickloom.plans.storage import cut, once
@@ -92,34 +86,50 @@ def random_forest(params: Mapping, n_classes: int, n_features: int, n_rows: int)
     return RandomForestClassifier(labelCol=LABEL, featuresCol=FEATURES, **weights, **args)
 
 
+# Settings of the boosting names that say how, not what, to fit.
+_INERT = frozenset("objective eval_metric use_label_encoder n_jobs thread_count verbose verbosity silent".split())
+
+
+def _column_share(value, n_features: int) -> float:
+    """sqrt, log2, a number of columns or a share of them."""
+    if value is None:
+        return 1.0
+    if value in ("sqrt", "auto"):
+        return math.sqrt(n_features) / n_features
+    if value == "log2":
+        return max(1.0, math.log2(n_features)) / n_features
+    return value / n_features if isinstance(value, int) and value > 1 else float(value)
+
+
 def _boosted(defaults: Mapping) -> Factory:
     names = {
-        "n_estimators": "maxIter", "iterations": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth", "depth": "maxDepth", "subsample": "subsamplingRate",
-        "colsample_bytree": "featureSubsetStrategy", "max_features": "featureSubsetStrategy", "min_samples_leaf": "minInstancesPerNode", "min_child_samples": "minInstancesPerNode",
-        "gamma": "minInfoGain", "random_state": "seed", "random_seed": "seed",
+        "n_estimators": "rounds", "iterations": "rounds", "learning_rate": "rate", "max_depth": "depth", "depth": "depth", "num_leaves": "leaves", "max_leaf_nodes": "leaves", "max_leaves": "leaves",
+        "subsample": "rows", "colsample_bytree": "columns", "max_features": "columns", "rsm": "columns", "l2_leaf_reg": "l2", "reg_lambda": "l2", "gamma": "gamma", "min_split_gain": "gamma",
+        "min_samples_leaf": "min_rows", "min_child_samples": "min_rows", "min_samples_split": "min_split_rows", "min_child_weight": "min_curvature", "max_bin": "bins", "border_count": "bins",
+        "random_state": "seed", "random_seed": "seed",
     }
 
     def build(params: Mapping, n_classes: int, n_features: int, n_rows: int) -> Estimator:
-        params = {**defaults, **params}
-        leaves = params.pop("num_leaves", None)
-        if leaves and params.get("max_depth", -1) in (None, -1):
-            # The shallowest trees with room for as many leaves.
-            params["max_depth"] = max(1, math.ceil(math.log2(leaves)))
-        params = _depth(_depth(params), "depth")
-        for c in ("colsample_bytree", "max_features"):
-            if c in params:
-                params[c] = "all" if params[c] in (None, 1, 1.0) else str(params[c])
-        trees = GBTClassifier(labelCol=LABEL, featuresCol=FEATURES, **_take(params, names, {"seed": SEED}))
-        return trees if n_classes <= 2 else OneVsRest(classifier=trees, labelCol=LABEL, featuresCol=FEATURES)
+        params = {k: v for k, v in {**defaults, **params}.items() if k not in _INERT}
+        symmetric, weights = params.pop("symmetric", False), _weighted(params, None)
+        args = _take(params, names, {"seed": SEED})
+        if args.get("depth") is not None and args["depth"] < 0:
+            args["depth"] = None
+        if not args.get("leaves"):
+            args["leaves"] = None
+        if args["leaves"] is None and args.get("depth") is None:
+            args["depth"] = DEEPEST
+        args["columns"] = _column_share(args.get("columns"), n_features)
+        return BoostedTrees(BoostSpec(symmetric=symmetric, **args), n_classes, n_features, LABEL, FEATURES, weights.get("weightCol"))
 
     return build
 
 
 # Default settings of the boosting names.
-register_model("gradient_boosting")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}))
-register_model("xgboost")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "subsample": 0.8, "colsample_bytree": 0.8}))
-register_model("lightgbm")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "max_depth": -1, "subsample": 0.8, "colsample_bytree": 0.8}))
-register_model("catboost")(_boosted({"iterations": 100, "learning_rate": 0.1, "depth": 6}))
+register_model("gradient_boosting")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "min_samples_split": 2, "min_samples_leaf": 1, "subsample": 1.0}))
+register_model("xgboost")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "subsample": 0.8, "colsample_bytree": 0.8, "reg_lambda": 1.0, "min_child_weight": 1.0}))
+register_model("lightgbm")(_boosted({"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "max_depth": -1, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_samples": 20, "min_child_weight": 0.001}))
+register_model("catboost")(_boosted({"iterations": 100, "learning_rate": 0.1, "depth": 6, "l2_leaf_reg": 3, "symmetric": True}))
 
 
 @register_model("logistic_regression")
@@ -163,17 +173,10 @@ def _sigmoid(c: Column) -> Column:
 def class_scores(model: Model, df: DataFrame, n_classes: int) -> DataFrame:
     """Add `__p`, an array with one probability per class.
 
-    One-vs-rest boosting has no probabilities of its own: the sigmoids of its
-    margins are rescaled to sum to one. A model without scores gives 0 and 1.
+    A model without scores gives 0 and 1.
     """
-    if isinstance(model, OneVsRestModel):
-        out = df
-        for i, binary in enumerate(model.models):
-            one = binary.copy({})
-            one.setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__o{i}")
-            out = one.transform(out).withColumn(f"__s{i}", vector_to_array(f"__p{i}")[1]).drop(f"__r{i}", f"__o{i}", f"__p{i}")
-        total = sum(F.col(f"__s{i}") for i in range(n_classes))
-        return out.withColumn("__p", F.array(*[F.try_divide(F.col(f"__s{i}"), total) for i in range(n_classes)])).drop(*[f"__s{i}" for i in range(n_classes)])
+    if isinstance(model, BoostedModel):
+        return model.transform(df)
     scored = model.transform(df)
     if "probability" in scored.columns:
         return scored.withColumn("__p", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction")
@@ -397,8 +400,8 @@ def tune(
     """Best parameters by cross-validated weighted F1 (grid, random or bayesian).
 
     A row's fold follows from its values, so it does not depend on partitions. Grid
-    and random points are fitted `parallel` at a time; the bayesian search chooses
-    each point from the results of the earlier ones.
+    and random points of boosted trees are fitted all at once, others `parallel` at a time; the
+    bayesian search chooses each point from the results of the earlier ones.
     """
     if method not in ("grid", "random", "bayesian"):
         raise ValueError(f"unknown tuning method {method!r}")
@@ -420,8 +423,11 @@ def tune(
             total += report.filter("kind = 'weighted'").collect()[0]["f1"] or 0.0
         return total / max(1, len(sizes))
 
-    if method != "bayesian":
-        points = search_points(space, method, n_iter)
+    points = search_points(space, method, n_iter) if method != "bayesian" else []
+    if points and isinstance(create_model(name, {**(fixed or {}), **points[0]}, n_classes, n_features, rows), BoostedTrees):
+        makers = [create_model(name, {**(fixed or {}), **p}, n_classes, n_features, rows) for p in points]
+        results = list(zip(points, _weighted_f1(cross_validated(folded, makers, "__fold", sorted(sizes)), len(points), len(sizes)), strict=True))
+    elif points:
         with ThreadPool(parallel) as pool:
             results = list(zip(points, pool.map(score, points), strict=True))
     else:
@@ -433,6 +439,21 @@ def tune(
     return max(results, key=lambda r: r[1])[0], results
 
 
+def _weighted_f1(counted: DataFrame, n_points: int, n_folds: int) -> list[float]:
+    """The mean over folds of each point's F1, weighted by class sizes; counts by (number, fold, label, guess)."""
+    by: dict[tuple[int, int], dict] = {}
+    for r in counted.collect():
+        by.setdefault((r["number"], r["fold"]), {})[r["label"], r["guess"]] = r["n"]
+    out = [0.0] * n_points
+    for (number, _), cells in by.items():
+        total = sum(cells.values())
+        for c in {y for y, _ in cells}:
+            hit = cells.get((c, c), 0)
+            real, said = (sum(n for pair, n in cells.items() if pair[side] == c) for side in (0, 1))
+            out[number] += real / total * 2 * hit / (real + said) / n_folds
+    return out
+
+
 def score_table(trained: TrainedModel, df: DataFrame, on: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     scored = trained.score(df)
     return scored.select(*on, *[quoted(f"probability_{c}") for c in trained.classes])
@@ -507,9 +528,6 @@ def calibrate(df: DataFrame, classes: Sequence, label: str = "y", method: str =
 
 
 def _own_importances(model: Model) -> list[float] | None:
-    if isinstance(model, OneVsRestModel):
-        each = [_own_importances(m) for m in model.models]
-        return None if None in each else [sum(v) / len(each) for v in zip(*each, strict=True)]
     if hasattr(model, "featureImportances"):
         return [float(v) for v in model.featureImportances.toArray()]
     if hasattr(model, "coefficientMatrix"):
@@ -518,7 +536,7 @@ def _own_importances(model: Model) -> list[float] | None:
 
 
 def importances(trained: TrainedModel) -> list[float] | None:
-    """Tree importances, averaged over one-vs-rest models, or sizes of the first class's coefficients."""
+    """Tree importances, or sizes of the first class's coefficients."""
     return _own_importances(trained.model)
 
 
