@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tickloom.catalog.technical import _MOVE, _TR, ewm_cte, lag, roll
 from tickloom.catalog.trading import _PREDICTED, _TRADE_COLS, SPEC, _cross_sql, _shown, _sim_sql, predicted
 from tickloom.functions.columns import rounded
 from tickloom.operators import evaluation, features, ledger, models, performance, regimes, selection, statistics, strategy, walkforward
-from tickloom.plans.series import RN
+from tickloom.plans.series import N_ROWS, RN, over_chunks
 from tickloom.plans.storage import cut, scratch_path
 from tickloom.sources.derived import table
 from tickloom.streaming.bars import closing_tick, stream_bars
@@ -259,14 +260,139 @@ def random_forest_report(spark: SparkSession, folder: str) -> DataFrame:
     return _report(spark, folder, models.TrainSpec("random_forest", {"max_depth": 10}, top_after=3))
 
 
-@query(_report_sql(two=True))
+# --- models of the next day's direction, with SQL that fits them as well -------------------------
+
+_CALENDAR = ("weekday", "month", "day")
+
+
+def direction_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Indexed daily bars with calendar columns and whether the next close is higher."""
+    df = over_chunks(indexed(spark, folder, "priority"), lambda d, w: d.withColumn("__next", F.lead("close").over(w)), ahead=1)
+    days = {"weekday": F.weekday("ts"), "month": F.month("ts"), "day": F.dayofmonth("ts")}
+    df = df.where("__next IS NOT NULL").withColumns({c: v.cast("double") for c, v in days.items()} | {"y": (F.col("__next") > F.col("close")).cast("int")})
+    return df.withColumn(N_ROWS, F.col(N_ROWS) - 1).drop("__next")
+
+
+# Rows, and their counts by calendar cell: a model of calendar columns knows nothing else of a row.
+_DIRECTION = (
+    with_bars("priority", True)
+    + f""", nx AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY rn) AS nxt FROM ix),
+    dr AS MATERIALIZED (SELECT symbol, ts, rn, (isodow(ts) - 1)::DOUBLE AS weekday, month(ts)::DOUBLE AS month, day(ts)::DOUBLE AS day, CASE WHEN nxt > close THEN 1 ELSE 0 END AS y,
+      rn < floor((n_rows - 1) * (1 - {_SHARE})) AS early FROM nx WHERE nxt IS NOT NULL),
+    cell AS MATERIALIZED (SELECT weekday, month, day, sum(CASE WHEN early THEN y ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN early THEN 1 ELSE 0 END)::DOUBLE AS n FROM dr GROUP BY ALL)"""
+)
+
+
+def _newton_sql(name: str, columns: Sequence[str], steps: int = 12) -> str:
+    """CTEs that end in {name}_p: the probability of class 1 per cell, by Newton's steps on standardised columns."""
+    k = len(columns) + 1
+    x = ["1.0", *[f"z_{c}" for c in columns]]
+    scale = ", ".join(f"sum(n * {c}) / sum(n) AS m_{c}, sqrt(sum(n * {c} * {c}) / sum(n) - (sum(n * {c}) / sum(n)) ** 2) AS s_{c}" for c in columns)
+    scaled = ", ".join(f"({c} - m_{c}) / s_{c} AS z_{c}" for c in columns)
+    out = f", {name}_z AS MATERIALIZED (SELECT cell.*, {scaled} FROM cell CROSS JOIN (SELECT {scale} FROM cell))"
+    out += f", {name}_0 AS (SELECT ln(sum(pos) / (sum(n) - sum(pos))) AS b0, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(1, k))} FROM cell)"
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {det([r[:j] + r[j + 1 :] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+    hess = [[f"h{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+    for t in range(steps):
+        p = "1 / (1 + exp(-(" + " + ".join(f"b{i} * {x[i]}" for i in range(k)) + ")))"
+        sums = ", ".join(f"sum((n * q - pos) * {x[i]}) AS g{i}" for i in range(k)) + ", " + ", ".join(f"sum(n * q * (1 - q) * {x[i]} * {x[j]}) AS h{i}{j}" for i in range(k) for j in range(i, k))
+        moved = ", ".join(f"b{i} - {det([[f'g{r}' if c == i else hess[r][c] for c in range(k)] for r in range(k)])} / {det(hess)} AS b{i}" for i in range(k))
+        firsts = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(k))
+        out += f", {name}_{t + 1} AS MATERIALIZED (SELECT {moved} FROM (SELECT {firsts}, {sums} FROM (SELECT *, {p} AS q FROM {name}_z CROSS JOIN {name}_{t})))"
+    p = "1 / (1 + exp(-(" + " + ".join(f"b{i} * {x[i]}" for i in range(k)) + ")))"
+    return out + f", {name}_p AS MATERIALIZED (SELECT weekday, month, day, {p} AS p FROM {name}_z CROSS JOIN {name}_{steps})"
+
+
+def _boosted_sql(rounds: int, rate: float, depth: int) -> str:
+    """A recursive CTE with one step per round: `depth` times, each node's cut of the greatest gain; then the leaves' values."""
+    out = f""", boost(t, weekday, month, day, pos, n, m) AS (
+      SELECT 0, weekday, month, day, pos, n, ln((SELECT sum(pos) / (sum(n) - sum(pos)) FROM cell)) FROM cell
+      UNION ALL (WITH l0 AS (SELECT *, 1 / (1 + exp(-m)) AS p, 1 AS node FROM boost WHERE t < {rounds}),
+      k0 AS (SELECT *, n * p - pos AS g, n * p * (1 - p) AS h FROM l0)"""
+    for d in range(depth):
+        sums = " UNION ALL ".join(f"SELECT node, {i} AS f, {c} AS v, sum(g) AS g, sum(h) AS h, sum(n) AS n FROM k{d} GROUP BY ALL" for i, c in enumerate(_CALENDAR))
+        value = "CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_CALENDAR)) + " END"
+        out += f""",
+      u{d} AS (SELECT node, f, v, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(n) OVER o AS nl, sum(g) OVER a AS gt, sum(h) OVER a AS ht, sum(n) OVER a AS nt
+        FROM ({sums}) WINDOW o AS (PARTITION BY node, f ORDER BY v), a AS (PARTITION BY node, f)),
+      w{d} AS (SELECT *, 0.5 * (gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht) AS gain FROM u{d} WHERE nl >= 1 AND nt - nl >= 1),
+      c{d} AS (SELECT node, f, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS r FROM w{d} WHERE gain > 0) WHERE r = 1),
+      k{d + 1} AS (SELECT k{d}.* EXCLUDE (node), 2 * k{d}.node + CASE WHEN c.node IS NOT NULL AND {value} > v THEN 1 ELSE 0 END AS node FROM k{d} LEFT JOIN c{d} c ON c.node = k{d}.node)"""
+    return out + f"""
+      SELECT t + 1, weekday, month, day, pos, n, m - {rate} * (sum(g) OVER (PARTITION BY node)) / (sum(h) OVER (PARTITION BY node)) FROM k{depth})),
+    boost_p AS MATERIALIZED (SELECT weekday, month, day, 1 / (1 + exp(-m)) AS p FROM boost WHERE t = {rounds})"""
+
+
+def _scores_sql(name: str) -> str:
+    """The metrics of a report, from probabilities by cell."""
+    return f""", gs AS (SELECT CASE WHEN early THEN 'train' ELSE 'test' END AS part, y, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS guess FROM dr JOIN {name}_p USING (weekday, month, day)),
+    pc AS (SELECT part, c, count(*) FILTER (y = c AND guess = c) AS hit, count(*) FILTER (guess = c) AS said, count(*) FILTER (y = c) AS actual FROM gs CROSS JOIN (VALUES (0), (1)) AS k(c) GROUP BY ALL),
+    fg AS (SELECT part, actual, coalesce(hit / nullif(said, 0), 0) AS precision, coalesce(hit / nullif(actual, 0), 0) AS recall, coalesce(2 * hit / nullif(said + actual, 0), 0) AS f1 FROM pc),
+    mt AS (SELECT part, 'accuracy' AS metric, avg(CASE WHEN y = guess THEN 1.0 ELSE 0.0 END) AS value FROM gs GROUP BY part
+      """ + " ".join(f"UNION ALL SELECT part, '{m}_macro', avg({m}) FROM fg GROUP BY part UNION ALL SELECT part, '{m}_weighted', sum({m} * actual) / sum(actual) FROM fg GROUP BY part" for m in ("precision", "recall", "f1")) + f""")
+    SELECT part, metric, {r('value', digits=4)} FROM mt"""
+
+
+def _direction_report(spark: SparkSession, folder: str, columns: Sequence[str], spec: models.TrainSpec) -> DataFrame:
+    out = models.train(direction_rows(spark, folder), "y", columns, dataclasses.replace(spec, test_size=_SHARE))[1]
+    return rounded(out.where(F.col("metric").rlike("^(accuracy|(precision|recall|f1)_(macro|weighted))$")), 4)
+
+
+@query(_DIRECTION + _boosted_sql(100, 0.1, 3) + _scores_sql("boost"))
 def gradient_boosting_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("lightgbm", {"n_estimators": 10, "subsample": 1.0, "colsample_bytree": 1.0}), two=True)
+    """All default settings: 100 rounds of trees of depth 3."""
+    return _direction_report(spark, folder, _CALENDAR, models.TrainSpec("gradient_boosting"))
 
 
-@query(_report_sql())
+_EXACT = models.TrainSpec("logistic_regression", {"penalty": "none", "tol": 1e-9})
+
+
+@query(_DIRECTION + _newton_sql("lg", ("weekday", "month")) + _scores_sql("lg"))
 def logistic_regression_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("logistic_regression", {"penalty": "none"}, selection="mutual_info", n_features=1))
+    return _direction_report(spark, folder, ("weekday", "month"), _EXACT)
+
+
+def _fitted_days(spark: SparkSession, folder: str, *columns: Sequence[str]) -> tuple[list[models.TrainedModel], DataFrame]:
+    early, late = selection.chronological_split(cut(direction_rows(spark, folder)), _SHARE)
+    return [models.fit_model(early, "y", c, _EXACT) for c in columns], late
+
+
+@query(_DIRECTION + _newton_sql("lg", _CALENDAR) + f" SELECT symbol, ts, {r('p', 'probability_1', 4)} FROM dr JOIN lg_p USING (weekday, month, day) WHERE NOT early")
+def direction_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of a model that was stored and read back."""
+    (model,), late = _fitted_days(spark, folder, _CALENDAR)
+    path = scratch_path(spark, "model")
+    model.save(path)
+    return rounded(models.TrainedModel.load(path).score(late).select("symbol", "ts", "probability_1"), 4)
+
+
+@query(_DIRECTION + _newton_sql("a", ("weekday",)) + _newton_sql("b", ("month", "day")) + f" SELECT symbol, ts, {r('(2 * a_p.p + b_p.p) / 3', 'probability_1', 4)} FROM dr JOIN a_p USING (weekday, month, day) JOIN b_p USING (weekday, month, day) WHERE NOT early")
+def direction_soft_vote(spark: SparkSession, folder: str) -> DataFrame:
+    (a, b), late = _fitted_days(spark, folder, ("weekday",), ("month", "day"))
+    return rounded(models.vote({"a": a, "b": b}, late, "soft", {"a": 2.0}).select("symbol", "ts", "probability_1"), 4)
+
+
+@query(
+    _DIRECTION
+    + "".join(_newton_sql(c, (c,)) for c in _CALENDAR)
+    + " SELECT symbol, ts, CASE WHEN " + " + ".join(f"(CASE WHEN {c}_p.p > 0.5 THEN 1 ELSE 0 END)" for c in _CALENDAR) + " >= 2 THEN 1 ELSE 0 END AS prediction FROM dr "
+    + " ".join(f"JOIN {c}_p USING (weekday, month, day)" for c in _CALENDAR) + " WHERE NOT early"
+)
+def direction_hard_vote(spark: SparkSession, folder: str) -> DataFrame:
+    fitted, late = _fitted_days(spark, folder, *[(c,) for c in _CALENDAR])
+    return models.vote(dict(zip("abc", fitted, strict=True)), late, "hard")
+
+
+@query(_DIRECTION + _newton_sql("lg", _CALENDAR) + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'abs(b{i + 1})', 'importance', 4)} FROM lg_12" for i, c in enumerate(_CALENDAR)))
+def coefficient_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of a model's coefficients, of standardised columns."""
+    (model,), _ = _fitted_days(spark, folder, _CALENDAR)
+    return rounded(models.built_in_importance(model).select("feature", "importance"), 4)
 
 
 @query(_report_sql())
