@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import quoted
-from tickloom.operators import evaluation
+from tickloom.operators import evaluation, logistic
 from tickloom.operators.boosting import BoostedModel, BoostedTrees, BoostSpec, cross_validated
 from tickloom.operators.selection import SEED, Preprocessor, chronological_split, indexed_label, select_features
 from tickloom.plans.series import KEYS
@@ -400,8 +400,8 @@ def tune(
     """Best parameters by cross-validated weighted F1 (grid, random or bayesian).
 
     A row's fold follows from its values, so it does not depend on partitions. Grid
-    and random points of boosted trees are fitted all at once, others `parallel` at a time; the
-    bayesian search chooses each point from the results of the earlier ones.
+    and random points of boosted trees and of logistic regressions are fitted all at once, over
+    all folds, others `parallel` at a time; the bayesian search chooses each point from the results of the earlier ones.
     """
     if method not in ("grid", "random", "bayesian"):
         raise ValueError(f"unknown tuning method {method!r}")
@@ -427,6 +427,10 @@ def tune(
     if points and isinstance(create_model(name, {**(fixed or {}), **points[0]}, n_classes, n_features, rows), BoostedTrees):
         makers = [create_model(name, {**(fixed or {}), **p}, n_classes, n_features, rows) for p in points]
         results = list(zip(points, _weighted_f1(cross_validated(folded, makers, "__fold", sorted(sizes)), len(points), len(sizes)), strict=True))
+    elif points and name == "logistic_regression" and all(_ridge({**(fixed or {}), **p}) for p in points):
+        cs = [None if {**(fixed or {}), **p}.get("penalty", "l2") in ("none", None) else {**(fixed or {}), **p}.get("C", 1.0) for p in points]
+        counted = logistic.cross_validated(folded, cs, n_classes, n_features, LABEL, FEATURES, "__fold", sorted(sizes))
+        results = list(zip(points, _weighted_f1(counted, len(points), len(sizes)), strict=True))
     elif points:
         with ThreadPool(parallel) as pool:
             results = list(zip(points, pool.map(score, points), strict=True))
@@ -439,6 +443,11 @@ def tune(
     return max(results, key=lambda r: r[1])[0], results
 
 
+def _ridge(params: Mapping) -> bool:
+    """Whether a logistic regression has nothing but a squared penalty, or none."""
+    return set(params) <= {"C", "penalty", "max_iter", "tol"} and params.get("penalty", "l2") in ("l2", "none", None)
+
+
 def _weighted_f1(counted: DataFrame, n_points: int, n_folds: int) -> list[float]:
     """The mean over folds of each point's F1, weighted by class sizes; counts by (number, fold, label, guess)."""
     by: dict[tuple[int, int], dict] = {}
