@@ -43,6 +43,28 @@ def test_correlation_filter_drops_the_later_name(spark):
     assert set(kept.columns) == {"symbol", "ts", "a_feature", "other", "close"}
 
 
+def test_a_thousand_columns_correlate_as_in_pairs(spark, monkeypatch):
+    """Nulls in different rows, large offsets, a constant and a column that is empty."""
+    rng = np.random.default_rng(1)
+    n = 60
+    x = rng.normal(size=(n, 1000)) + 0.8 * rng.normal(size=(n, 1))
+    x[:, 3] += 1e9
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 7], x[:, 8] = 4.0, np.nan
+    names = [f"f {i}" for i in range(1000)]
+    pdf = pd.DataFrame(x, columns=names)
+    table = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in x], ", ".join(f"`{c}` double" for c in names)).repartition(3)
+    got = ft.correlation_matrix(table, names).toPandas()
+    assert len(got) == 1000 * 999 // 2
+    want = pdf.corr(min_periods=2).to_numpy()
+    place = {c: i for i, c in enumerate(names)}
+    a, b = got["a"].map(place).to_numpy(), got["b"].map(place).to_numpy()
+    assert (a < b).all()
+    flat = np.isin(a, (7, 8)) | np.isin(b, (7, 8))
+    assert got.loc[flat, "corr"].isna().all()
+    np.testing.assert_allclose(got.loc[~flat, "corr"], want[a, b][~flat], atol=1e-6)
+
+
 def test_constant_columns_have_no_correlation(spark):
     df = frame(spark, x=[1.0, 2.0, 3.0], flat=[1.0, 1.0, 1.0])
     assert ft.correlation_matrix(df, ["x", "flat"]).collect()[0]["corr"] is None

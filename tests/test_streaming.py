@@ -1,10 +1,14 @@
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators.features import FeatureSpec, LabelSpec, build_features
+from tickloom.operators.indicators import add_indicators
 from tickloom.operators.models import TrainSpec, fit_model
 from tickloom.sources.derived import bars_from_ticks
 from tickloom.streaming.bars import closing_tick, stream_bars
+from tickloom.streaming.indicators import KeyState, score_indicators, stream_indicators
 from tickloom.streaming.scoring import score_latest, score_stream
 
 
@@ -75,3 +79,66 @@ def test_newest_scores_equal_the_batch_table(spark, walk):
     assert len(got) == 2
     for c in ("probability_-1", "probability_1", "confidence"):
         assert (got[c] - want[c]).abs().max() < 1e-12
+
+
+INDICATORS = [
+    {"indicator": "sma", "length": 10},
+    {"indicator": "ema", "length": 12},
+    {"indicator": "rsi", "length": 14},
+    {"indicator": "atr", "length": 14},
+    {"indicator": "macd"},
+    {"indicator": "bbands", "length": 20},
+    {"indicator": "obv"},
+]
+
+
+def test_streamed_indicators_equal_the_batch_table_after_a_restart(spark, walk, tmp_path):
+    """Three files, the stream stopped after each; gaps in prices, bars sent again and a late one."""
+    bars = walk.copy()
+    bars.loc[bars.index % 37 == 5, "close"] = np.nan
+    bars = bars[~((bars["symbol"] == "TINY") & bars["close"].isna())]
+    schema = spark.createDataFrame(bars).schema
+    feed, out, state = (str(tmp_path / p) for p in ("feed", "out", "state"))
+
+    def run(part):
+        spark.createDataFrame(part.sample(frac=1, random_state=1), schema).selectExpr(*[f"nullif({c}, double('NaN')) {c}" if c == "close" else c for c in bars.columns]).coalesce(1).write.mode("append").parquet(feed)
+        job = stream_indicators(spark.readStream.schema(schema).parquet(feed), INDICATORS).writeStream.format("parquet").outputMode("append")
+        job.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    cuts = [pd.Timestamp("2021-05-01"), pd.Timestamp("2022-02-01")]
+    run(bars[bars["ts"] < cuts[0]])
+    run(bars[(bars["ts"] >= cuts[0] - pd.Timedelta(days=3)) & (bars["ts"] < cuts[1])])
+    run(pd.concat([bars[bars["ts"] >= cuts[1]], bars[bars["ts"] < cuts[0]].tail(1)]))
+    plain = spark.createDataFrame(bars).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    want = add_indicators(plain, INDICATORS).toPandas().sort_values(["symbol", "ts"], ignore_index=True)
+    got = spark.read.parquet(out).toPandas().sort_values(["symbol", "ts"], ignore_index=True)
+    assert len(got) == len(bars)
+    # A key that stays short has no values in the batch table.
+    want, got = (x[x["symbol"] != "TINY"].reset_index(drop=True) for x in (want, got))
+    for c in got.columns[len(bars.columns) :]:
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, err_msg=c)
+
+
+def test_a_state_does_not_grow():
+    state = KeyState(INDICATORS)
+    sizes = []
+    for i in range(400):
+        state = KeyState(INDICATORS, state.kept())
+        state.add(i, 2.0 + i % 3, 1.0, 1.5 + i % 2, 10.0)
+        sizes.append(len(state.closes))
+    assert max(sizes) == 21 and len(state.kept()) < 2000
+
+
+def test_scores_from_states(spark, walk, tmp_path):
+    data = spark.createDataFrame(walk[walk["symbol"] != "TINY"])
+    wanted = [{"indicator": "ema", "length": 12}, {"indicator": "rsi", "length": 14}]
+    table = add_indicators(data, wanted).na.drop().withColumn("y", (F.col("rsi_length14") > 50).cast("int"))
+    model = fit_model(table, "y", ["ema_length12", "rsi_length14"], TrainSpec("logistic_regression"))
+    feed = str(tmp_path / "feed")
+    data.coalesce(1).write.parquet(feed)
+    score_indicators(spark.readStream.schema(data.schema).parquet(feed), str(tmp_path / "out"), str(tmp_path / "state"), model, wanted).start().awaitTermination()
+    got = {r.symbol: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    last = model.score(table).toPandas().sort_values("ts").groupby("symbol").last()
+    assert set(got) == {"HOT", "MID"}
+    for s, r in got.items():
+        assert r.probability_1 == pytest.approx(last.loc[s, "probability_1"], abs=1e-9)

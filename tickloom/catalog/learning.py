@@ -18,6 +18,7 @@ from tickloom.plans.series import N_ROWS, RN, over_chunks
 from tickloom.plans.storage import cut, scratch_path
 from tickloom.sources.derived import table
 from tickloom.streaming.bars import closing_tick, stream_bars
+from tickloom.streaming.indicators import stream_indicators
 from tickloom.streaming.scoring import score_latest, score_stream
 
 # --- statistics ---------------------------------------------------------------
@@ -767,6 +768,31 @@ def streamed_bars(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+_STREAMED = ({"indicator": "sma", "length": 10}, {"indicator": "ema", "length": 12}, {"indicator": "rsi", "length": 14}, {"indicator": "atr", "length": 14}, {"indicator": "obv"})
+
+
+@query(
+    with_bars("brand", True)
+    + f""", d AS MATERIALIZED (SELECT *, greatest({_MOVE}, 0.0) AS g, greatest(-({_MOVE}), 0.0) AS l, {_TR} AS tr, coalesce(volume * sign(close - {lag('close')}), 0.0) AS f FROM ix), """
+    + ewm_cte("e", "d", {"em": ("close", 2 / 13), "eg": ("g", 1 / 14), "el": ("l", 1 / 14), "et": ("tr", 1 / 14)})
+    + f""" SELECT symbol, ts, {r('CASE WHEN rn >= 9 THEN avg(close) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END', 'sma_length10')}, {r('CASE WHEN rn >= 11 THEN em END', 'ema_length12')},
+      {r('CASE WHEN rn >= 14 AND el <> 0 THEN 100 - 100 / (1 + eg / el) END', 'rsi_length14')}, {r('CASE WHEN rn >= 14 THEN et END', 'atr_length14')}, {r('sum(f) OVER (PARTITION BY symbol ORDER BY rn)', 'obv')} FROM d JOIN e USING (symbol, rn)"""
+)
+def streamed_indicators(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekly bars as a stream of one file a year, stopped and started again on the way: states per brand, no history."""
+    week = cut(bars(spark, folder, "brand").withColumn("part", F.year("ts")))
+    source, path, state = (scratch_path(spark, n) for n in ("feed", "indicators", "indicator-state"))
+    years = sorted(row.part for row in week.select("part").distinct().collect())
+    for some in (years[: len(years) // 2], years[len(years) // 2 :]):
+        for part in some:
+            week.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+        feed = spark.readStream.schema(week.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(source)
+        job = stream_indicators(feed, _STREAMED).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", state)
+        job.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(path)
+    return rounded(found.select("symbol", "ts", "sma_length10", "ema_length12", "rsi_length14", "atr_length14", "obv"))
+
+
 @query(with_bars("priority") + f" SELECT symbol, ts, {_CLASS} AS prediction FROM ix QUALIFY row_number() OVER (PARTITION BY symbol, year(ts) ORDER BY ts DESC) = 1")
 def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Replay the daily bars as a stream of one file a year and score each file's newest bars."""

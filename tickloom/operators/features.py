@@ -8,10 +8,11 @@ table costs one shuffle however many bounded features it has.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -237,15 +238,56 @@ def differenced(columns: Sequence[str], period: int = 1) -> FeatureSet:
     return FeatureSet(build, back=period)
 
 
+GRAM_COLUMNS = 128
+_GRAM = "i int, j int, sums binary"
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair over the rows where both are present.
+    """Pearson correlation of every column pair over the rows where both are present: a, b, corr.
 
-    All pairs are merged aggregates of one pass; the result has one row per pair.
+    Columns go in blocks of `GRAM_COLUMNS`. Each task multiplies its rows' blocks with each other, which gives
+    counts, sums and products of all their pairs; one shuffle by pair of blocks adds up the tasks' matrices. Any number of
+    columns makes the same short plan. Pairs without two different values on either side have NULL.
     """
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*[correlation(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
-    return one.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
+    names = list(columns)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    rows = once(df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(names)]))
+    # Sums of centred values lose no digits to a common offset.
+    means = np.array([0.0 if m is None or m != m or abs(m) == np.inf else m for m in rows.agg(*[F.avg(f"c{i}") for i in range(len(names))]).first()])
+    blocks = [slice(k, min(k + GRAM_COLUMNS, len(names))) for k in range(0, len(names), GRAM_COLUMNS)]
+    pairs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks))]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            x = np.where(here > 0, x - means, 0.0)
+            for i, j in pairs:
+                m, n, u, v = here[:, blocks[i]], here[:, blocks[j]], x[:, blocks[i]], x[:, blocks[j]]
+                sums = np.stack([m.T @ n, u.T @ n, m.T @ v, (u * u).T @ n, m.T @ (v * v), u.T @ v])
+                total[i, j] = total.get((i, j), 0.0) + sums
+        for (i, j), sums in total.items():
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    def finish(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = names[blocks[i]], names[blocks[j]]
+        n, sa, sb, qa, qb, p = sum(np.frombuffer(s, float) for s in table["sums"].to_pylist()).reshape(6, len(left), len(right))
+        va, vb = n * qa - sa * sa, n * qb - sb * sb
+        # Rounding leaves constants a spread of about 1e-16 of their squares.
+        flat = (va <= 1e-13 * n * qa) | (vb <= 1e-13 * n * qb)
+        with np.errstate(all="ignore"):
+            corr = np.clip((n * p - sa * sb) / (np.sqrt(va) * np.sqrt(vb)), -1, 1)
+        at, to = (x.ravel() for x in np.indices(corr.shape))
+        keep = np.ones(len(at), bool) if i != j else at < to
+        at, to, value, none = at[keep], to[keep], corr.ravel()[keep], flat.ravel()[keep]
+        return pa.table({"a": pa.array([left[k] for k in at], pa.string()), "b": pa.array([right[k] for k in to], pa.string()), "corr": pa.array(value, pa.float64(), mask=none)})
+
+    return rows.mapInArrow(multiply, _GRAM).groupBy("i", "j").applyInArrow(finish, "a string, b string, corr double")
 
 
 def uncorrelated_columns(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) -> list[str]:
