@@ -293,9 +293,9 @@ def test_model_defaults_and_counterparts():
     assert models.create_model("gradient_boosting", {"max_features": "sqrt", "max_depth": None}, 2, 16).spec.columns == 0.25
     even = models.create_model("catboost", {"l2_leaf_reg": 7, "verbose": False}).spec
     assert (even.symmetric, even.depth, even.l2) == (True, 6, 7) and models.create_model("gradient_boosting", {"min_samples_split": 9}).spec.min_split_rows == 9
-    network = models.create_model("neural_network", {"learning_rate": 0.05}, 3, 4)
+    network = models.create_model("neural_network", {"learning_rate": 0.05, "activation": "sigmoid"}, 3, 4)
     assert (network.getSolver(), network.getStepSize(), network.getLayers()) == ("gd", 0.05, [4, 64, 32, 3])
-    for name, bad in (("neural_network", "batch_size"), ("catboost", "bogus"), ("random_forest", "min_samples_split")):
+    for name, bad in (("neural_network", "momentum"), ("catboost", "bogus"), ("random_forest", "min_samples_split")):
         with pytest.raises(ValueError, match=bad):
             models.create_model(name, {bad: 1})
     assert len(models.search_points(models.DEFAULT_GRIDS["random_forest"], "grid")) == 216

@@ -398,7 +398,7 @@ def coefficient_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_report_sql())
 def neural_network_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, models.TrainSpec("neural_network"))
+    return _report(spark, folder, models.TrainSpec("neural_network", {"activation": "sigmoid"}))
 
 
 _LOGIT = models.TrainSpec("logistic_regression", {"penalty": "none"})

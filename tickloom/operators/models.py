@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import quoted
 from tickloom.operators import evaluation, logistic
 from tickloom.operators.boosting import BoostedModel, BoostedTrees, BoostSpec, cross_validated
+from tickloom.operators.network import NetworkModel, NetworkSpec, NetworkTrainer
 from tickloom.operators.selection import SEED, Preprocessor, chronological_split, indexed_label, select_features
 from tickloom.plans.series import KEYS
 from tickloom.plans.storage import cut, once
@@ -146,9 +147,18 @@ def logistic_regression(params: Mapping, n_classes: int, n_features: int, n_rows
 
 @register_model("neural_network")
 def neural_network(params: Mapping, n_classes: int, n_features: int, n_rows: int) -> Estimator:
-    """Sigmoid layers. A learning rate needs gradient descent; without one Spark's l-bfgs sets its own steps."""
-    params = dict(params)
-    hidden = list(params.pop("hidden_layers", (64, 32)))
+    """Rectified layers with dropout and Adam; `activation` "sigmoid" chooses Spark's network instead.
+
+    There a learning rate needs gradient descent; without one Spark's l-bfgs sets its own steps.
+    """
+    params = {k: v for k, v in params.items() if k not in _INERT | {"input_dim", "num_classes", "output_activation"}}
+    kind, hidden = params.pop("activation", "relu"), tuple(params.pop("hidden_layers", (64, 32)))
+    if kind == "relu":
+        names = {"dropout_rate": "dropout", "learning_rate": "rate", "epochs": "epochs", "batch_size": "batch", "random_state": "seed"}
+        spec = NetworkSpec(hidden, **_take(params, names, {"seed": SEED}))
+        return NetworkTrainer(spec, n_classes, n_features, LABEL, FEATURES)
+    if kind != "sigmoid":
+        raise ValueError(f"unknown activation {kind!r}")
     solver = {"solver": "gd"} if "learning_rate" in params else {}
     args = _take(params, {"epochs": "maxIter", "learning_rate": "stepSize", "random_state": "seed"}, {"maxIter": 100, "seed": SEED})
     return MultilayerPerceptronClassifier(labelCol=LABEL, featuresCol=FEATURES, layers=[n_features, *hidden, n_classes], **solver, **args)
@@ -175,7 +185,7 @@ def class_scores(model: Model, df: DataFrame, n_classes: int) -> DataFrame:
 
     A model without scores gives 0 and 1.
     """
-    if isinstance(model, BoostedModel):
+    if isinstance(model, BoostedModel | NetworkModel):
         return model.transform(df)
     scored = model.transform(df)
     if "probability" in scored.columns:
