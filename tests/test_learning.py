@@ -329,12 +329,17 @@ def test_the_learning_search_comes_closer_than_its_start():
     assert all(g >= 0 for g, _ in gains) and np.mean([b for _, b in gains]) > 0
 
 
-def test_importance_of_one_against_the_rest_is_the_mean(learnable):
-    three = learnable.withColumn("y", F.when(F.col("y") == 0, 0).otherwise(F.when(F.col("useful") > 0.5, 2).otherwise(1)))
+def test_importance_of_boosted_trees_is_their_share_of_gains(learnable):
+    three = learnable.withColumn("y", F.when(F.col("useful") > 0.5, 2).when(F.col("useful") > -0.5, 1).otherwise(0))
     trained = models.fit_model(three, "y", FEATURES, models.TrainSpec("gradient_boosting", {"n_estimators": 2, "max_depth": 2}))
-    each = [m.featureImportances.toArray() for m in trained.model.models]
-    assert len(each) == 3
-    np.testing.assert_allclose(models.importances(trained), np.mean(each, axis=0))
+    total = dict.fromkeys(range(3), 0.0)
+    for trees in trained.model.parts[0]:
+        for feature, _, _, _, gain in (node for tree in trees for node in tree):
+            if feature >= 0:
+                total[feature] += gain
+    assert models.importances(trained) == pytest.approx([v / sum(total.values()) for v in total.values()])
+    found = models.built_in_importance(trained).collect()
+    assert found[0].feature == "useful" and sum(r.importance for r in found) == pytest.approx(1)
 
 
 def test_a_network_is_judged_by_exchanging_values(learnable):

@@ -52,7 +52,7 @@ def test_a_portfolio_holds_only_so_many_trades(opposite):
     exits = {(t.symbol, t.entry_time): t.exit_time + pd.Timedelta(microseconds=int(t.exit_reason == "End of Backtest")) for t in limited.trades.collect()}
     assert 0 < len(exits) < free
     # A signal acts on the next day: the place goes to each entry that finds it free, and to no other.
-    asked = sorted((r.ts + pd.Timedelta(days=1), r.symbol) for r in limited.signals.where("signal <> 0").collect())
+    asked = sorted((r.ts + pd.Timedelta(days=1), r.symbol) for r in limited.signals.where("signal <> 0 AND atr IS NOT NULL").collect())
     last, until = max(r.ts for r in limited.signals.select("ts").collect()), None
     for entry, symbol in asked:
         if entry <= last and (until is None or entry >= until):
