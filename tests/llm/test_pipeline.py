@@ -55,7 +55,7 @@ def test_empty_table(spark, docs_of, shared, tmp_path):
 
 def test_every_operator_has_its_query():
     queries = importlib.import_module("tickloom.llm.queries")
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "decontamination", "secrets", "packing"]
     assert near_dedup.FUNCTIONS >= 16 * near_dedup.DEPTH and secrets.RULES[: len(secrets.BASE)] == secrets.BASE
