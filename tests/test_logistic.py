@@ -49,3 +49,16 @@ def test_boosted_points_are_searched_side_by_side(table):
     scores = {(p["n_estimators"], p["max_depth"]): s for p, s in results}
     assert len(scores) == 4 and best == {"n_estimators": 4, "max_depth": max((1, 2), key=lambda d: scores[4, d])}
     assert all(scores[4, d] > scores[1, d] for d in (1, 2))
+
+
+def test_a_bayesian_search_fits_no_point_twice(table, monkeypatch):
+    """Two possible points and two folds make four fits, however many points are tried."""
+    k, df = table
+    ready = df.select(F.col("label").cast("double").alias(models.LABEL), F.col("f").alias(models.FEATURES), F.lit(1.0).alias(models.WEIGHT))
+    made, create = [], models.create_model
+    monkeypatch.setattr(models, "create_model", lambda name, params, *args: made.append(params["max_depth"]) or create(name, params, *args))
+    fixed = {"n_estimators": 2, "max_features": None}
+    best, results = models.tune(ready, "random_forest", {"max_depth": ["int", 1, 2]}, "bayesian", k, 3, n_iter=5, folds=2, fixed=fixed)
+    assert len(results) == 5 and len({s for _, s in results}) == len({p["max_depth"] for p, _ in results})
+    assert sorted(made) == sorted(2 * list({p["max_depth"] for p, _ in results}))
+    assert best == max(results, key=lambda r: r[1])[0]
