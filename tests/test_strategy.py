@@ -1,3 +1,4 @@
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -5,10 +6,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators import strategy
 from tickloom.operators.features import FeatureSpec, LabelSpec
 from tickloom.operators.ledger import LedgerSpec
 from tickloom.operators.models import TrainSpec, fit_model
 from tickloom.operators.strategy import StrategySpec, run_strategy
+from tickloom.operators.walkforward import Folds
+from tickloom.plans.series import KEYS, index_series
 
 ROOMY = LedgerSpec(stop_multiple=1.0, target_multiple=1.0, trailing=None)
 
@@ -62,3 +66,19 @@ def test_a_portfolio_holds_only_so_many_trades(opposite):
         if entry <= last and (until is None or entry >= until):
             until = exits.pop((symbol, entry))
     assert not exits
+
+
+def test_models_of_folds_are_fitted_side_by_side(opposite, monkeypatch):
+    """Each of two fits waits until the other has begun."""
+    both = threading.Barrier(2)
+
+    def waiting(df, *args):
+        both.wait(60)
+        return fit_model(df, *args)
+
+    monkeypatch.setattr(strategy, "fit_model", waiting)
+    table = index_series(opposite.select("symbol", "ts", *strategy.PRICES)).withColumns({"x": F.weekday("ts").cast("double"), "y": (F.weekday("ts") < 3).cast("int")})
+    spec = StrategySpec("ml", training=TrainSpec("random_forest", {"n_estimators": 2, "max_depth": 3}), folds=Folds(200, 100, 100))
+    scored = strategy._scores(table, spec, "y", ["x"], KEYS)
+    assert scored.count() == scored.select("symbol", "ts").distinct().count() == 400
+    assert scored.where("(probability_1 > 0.5) <> (weekday(ts) < 3)").isEmpty()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from tickloom.plans.series import KEYS, N_ROWS, RN, TS, index_series
 from tickloom.plans.storage import cut
 
 PRICES = ("open", "high", "low", "close", "volume")
+#: Models of folds that are fitted side by side.
+FITS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -102,19 +106,22 @@ def _scores(table: DataFrame, spec: StrategySpec, label: str, names: Sequence[st
         for fold in range(1, most + 1):
             model_fold = fold - (fold - 1) % spec.folds.retrain_every
             parts.append((model_fold, fold))
-    scored, models = None, {}
-    for a, b in parts:
-        if spec.folds is None:
-            model, rows = fit_model(a, label, names, spec.training), b
-        else:
-            if a not in models:
-                models = {a: fit_model(fold_training(table, spec.folds, a), label, names, spec.training)}
-            model, rows = models[a], fold_testing(table, spec.folds, b)
-        part = model.score(rows)
-        columns = [f"probability_{c}" for c in model.classes]
-        fresh = cut(part.select(*keys, TS, *PRICES, *[quoted(c) for c in columns]))
-        scored = fresh if scored is None else scored.unionByName(fresh, allowMissingColumns=True)
-    return scored
+    if spec.folds is None:
+        fits = {1: parts[0][0]}
+        scoring = [(1, parts[0][1])]
+    else:
+        fits = {a: fold_training(table, spec.folds, a) for a, _ in parts}
+        scoring = [(a, fold_testing(table, spec.folds, b)) for a, b in parts]
+
+    def fitted_scores(a: int) -> list[DataFrame]:
+        model = fit_model(fits[a], label, names, spec.training)
+        columns = [quoted(f"probability_{c}") for c in model.classes]
+        return [cut(model.score(rows).select(*keys, TS, *PRICES, *columns)) for b, rows in scoring if b == a]
+
+    # Folds wait for nothing from each other.
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        fresh = [part for own in pool.map(fitted_scores, fits, chunksize=1) for part in own]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), fresh) if fresh else None
 
 
 def _model_signals(bars: DataFrame, spec: StrategySpec, keys: Sequence[str]) -> DataFrame:
