@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.bytestext import LOWER, U, mix, runs_of_words, slices, utf8, word_bounds, word_hashes
+from tickloom.llm.bytestext import LOWER, U, lean, mix, runs_of_words, slices, utf8, word_bounds, word_hashes
 
 TOKENS = 12
 PART_BYTES = 8 << 20
@@ -123,7 +123,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
                     names=["doc_id", "item_id", "n_shingles", "n_shared"],
                 )
 
-        return table.mapInArrow(search, FOUND)
+        return table.mapInArrow(lean(search), FOUND)
 
     found = None
     for index in _parts(items, item_id, item_text, words):
@@ -140,7 +140,7 @@ def without_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: in
                 held = {r for r, *_ in _search(batch.column(at).cast(pa.string()), index, percent)}
                 yield batch.take(pa.array([r for r in range(batch.num_rows) if r not in held], pa.int64()))
 
-        return table.mapInArrow(keep, table.schema)
+        return table.mapInArrow(lean(keep), table.schema)
 
     at = docs.columns.index(text)
     for index in _parts(items, item_id, item_text, words):

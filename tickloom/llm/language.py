@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.bytestext import U, mix, slices, utf8
+from tickloom.llm.bytestext import U, lean, mix, slices, utf8
 
 WIDTH = 1 << 13
 GRAMS = 4
@@ -148,7 +148,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([None], pa.string()), "places": pa.array([b""], pa.binary()), "counts": [frequency.astype("<i8").tobytes()]})
 
     lot = F.xxhash64("id", "text")
-    gathered = learned.select("text", "lang", lot.alias("lot")).mapInArrow(gather, "lang string, places binary, counts binary").checkpoint()
+    gathered = learned.select("text", "lang", lot.alias("lot")).mapInArrow(lean(gather), "lang string, places binary, counts binary").checkpoint()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()], axis=0)
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", slack: fl
                 rejected[r] = scores[r] < slack * model.least[best]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=[*kept, *added])
 
-    return table.mapInArrow(predict, ", ".join([*kinds, "lang_pred string, score double, rejected boolean"]))
+    return table.mapInArrow(lean(predict), ", ".join([*kinds, "lang_pred string, score double, rejected boolean"]))
 
 
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:

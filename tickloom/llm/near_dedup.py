@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import blocks
 from tickloom.llm.blocks import Block, bucket_of
-from tickloom.llm.bytestext import LOWER, U, mix, runs_of_words, slices, word_bounds, word_hashes
+from tickloom.llm.bytestext import LOWER, U, lean, mix, runs_of_words, slices, word_bounds, word_hashes
 from tickloom.llm.components import components
 
 FUNCTIONS = 128
@@ -270,7 +270,7 @@ def _branch(nodes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
         # The pivots of a node are the same in every tree that holds them.
         pivots = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "sketch")) for k in range(PIVOTS)]
         pivots = inside.groupBy("node").agg(F.array(*pivots).alias("pivots"))
-        met = inside.join(pivots, "node").mapInArrow(_meet_pivots(least), ROUND).checkpoint()
+        met = inside.join(pivots, "node").mapInArrow(lean(_meet_pivots(least)), ROUND).checkpoint()
         stars = with_stars(met.where("hub <> id").select(F.col("id").alias("a"), F.col("hub").alias("b")))
         nearest = F.greatest(*[F.min(F.col("agree")[k]) for k in range(PIVOTS)])
         left = met.groupBy("node").agg(nearest.alias("nearest"), F.count("sketch").alias("n")).where(F.col("nearest") < RING)
@@ -293,7 +293,7 @@ def _around_hubs(large: DataFrame, n_parts: int, percent: int) -> tuple[DataFram
     slice_of = F.pmod(F.xxhash64("id"), F.col("slices"))
     docs = large.select("root", F.lit(-1).cast("long").alias("i"), slice_of.alias("j"), slice_of.alias("slice"), "id", "shingles")
     ordered = hubs.unionByName(docs).repartition(n_parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    measured = ordered.mapInArrow(lambda batches: _by_group(batches, 3, _measure_sets(percent), _measures), MEASURED).checkpoint()
+    measured = ordered.mapInArrow(lean(lambda batches: _by_group(batches, 3, _measure_sets(percent), _measures)), MEASURED).checkpoint()
     links = measured.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a <> b")
     found = components(links)
     parts = large.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("part")).checkpoint()
@@ -343,7 +343,7 @@ def classes(docs: DataFrame, text: str = "text", words: int = 5, percent: int =
     least = int(FUNCTIONS * (percent / 100 - 0.15))
     nodes, stars = _branch(blocks.with_answers(texts, shared, members, "node long, id binary, sketch binary").checkpoint(), least)
     ordered = nodes.repartition(n_parts, "node").sortWithinPartitions("node")
-    proposed = ordered.mapInArrow(lambda batches: _by_group(batches, 1, _compare_sketches(least)), EDGES)
+    proposed = ordered.mapInArrow(lean(lambda batches: _by_group(batches, 1, _compare_sketches(least))), EDGES)
     groups = components(proposed if stars is None else proposed.unionByName(stars))
     groups = groups.unionByName(groups.select(F.col("root").alias("id"), "root").distinct())
     told = groups.select(F.expr("cast(conv(hex(substring(id, 1, 4)), 16, 10) as int)").alias("block"), "id", "root")
@@ -369,7 +369,7 @@ def classes(docs: DataFrame, text: str = "text", words: int = 5, percent: int =
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
         rows = rows.select("root", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "id", "shingles")
         ordered = rows.repartition(n_parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-        return ordered.mapInArrow(lambda batches: _by_group(batches, 3, _compare_sets(percent)), EDGES)
+        return ordered.mapInArrow(lean(lambda batches: _by_group(batches, 3, _compare_sets(percent))), EDGES)
 
     dealt = grouped.join(sizes.where(F.col("slices") <= SLICES), "root").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
     links = cells(dealt.withColumn("others", F.col("slices")))

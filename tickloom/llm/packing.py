@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.bytestext import U, mix, slices, utf8
+from tickloom.llm.bytestext import U, lean, mix, slices, utf8
 from tickloom.llm.tokens import encoder, vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id:
         table = table.append_column("sequence_id", pa.array(number + (key[0].as_py() << 32)))
         return table.append_column("offset", pa.array([0] * whole + offsets, pa.int64()))
 
-    cut = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(pieces, f"{PIECES}, batch_group long")
+    cut = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(lean(pieces), f"{PIECES}, batch_group long")
     return cut.groupBy("batch_group").applyInArrow(fill, f"{PIECES}, sequence_id long, offset long")
 
 
